@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import whole_groups
 from ..session import durable
 
 
@@ -132,32 +133,6 @@ def _fit_for_tail(x: np.ndarray, s: Signal) -> np.ndarray:
     return (x >= s.low) & (x <= s.high) & ~_stuck(x, s)
 
 
-def _groups(batches: Iterator[pd.DataFrame], ids: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups, one at a time, of rows that come sorted by ``ids``."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        new = np.zeros(len(pdf), bool)
-        for c in ids:
-            v = pdf[c]
-            new |= ~(v.eq(v.shift()) | (v.isna() & v.shift().isna())).to_numpy()
-        new[0] = bool(held) and not _same(held[-1][ids].iloc[-1], pdf[ids].iloc[0])
-        cut = np.flatnonzero(new)
-        for a, b in zip(np.r_[0, cut], np.r_[cut, len(pdf)]):
-            if a in cut and held:
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            if b > a:
-                held.append(pdf.iloc[a:b])
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
-
-
-def _same(a: pd.Series, b: pd.Series) -> bool:
-    return all((pd.isna(x) and pd.isna(y)) or x == y for x, y in zip(a, b))
-
-
 def flag_spikes(
     readings: DataFrame,
     keys: list[str],
@@ -231,7 +206,7 @@ def flag_spikes(
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        for group in _groups(batches, [*keys, "__block"]):
+        for group in whole_groups(batches, [*keys, "__block"]):
             held += judged(group, lambda s, r: tail_cutoff(histogram(r), s))
             if len(held) > 200:
                 yield pd.concat(held)
@@ -264,7 +239,7 @@ def flag_spikes(
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Histogram of residuals and the runs at both edges, per block and signal."""
-        for group in _groups(batches, [*keys, "__block"]):
+        for group in whole_groups(batches, [*keys, "__block"]):
             ids = group["__id"].to_numpy()
             out = []
             for s in signals:
@@ -305,7 +280,7 @@ def flag_spikes(
     apply_rows = in_order(cut_up.alias("a").join(F.broadcast(cuts.alias("b")), cond).select("a.*", *[f"b.__cut_{s.name}" for s in signals]))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(batches, [*keys, "__block"]):
+        for group in whole_groups(batches, [*keys, "__block"]):
             given = {s.name: group[f"__cut_{s.name}"].iloc[0] for s in signals}
             # runs inside a block are settled here; those at its edges below
             yield from judged(group, lambda s, r: given[s.name] if given[s.name] is not None and not math.isnan(given[s.name]) else math.inf)
