@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .canonical import map_to_list
+from .language import label_languages
+from .mixing import mix
+from .packing import fill_report, pack
+from .tokens import with_tokens
 
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
@@ -28,5 +32,31 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("src", F.col("row_key").cast("bigint").alias("row_key"), F.coalesce("id", F.lit(0)).cast("int").alias("behaviour_id"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_mapping)}
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return pack(with_tokens(documents, ["doc_id"]), table(spark, d, "pack_sizes"), documents.count())
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p8_packing(spark, d))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mix(with_tokens(table(spark, d, "documents"), ["doc_id", "source"]), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix(with_tokens(table(spark, d, "documents"), ["doc_id", "source"]), table(spark, d, "mix_targets"))[1]
+
+
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    return label_languages(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = p10_languages(spark, d).where("lang is not null and (cue_no > 0 or label is distinct from lang)")
+    return rows.select("doc_id", "cue_no", "lang")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_mapping, p8_packing, p8_fill, p9_mixture, p9_shares, p10_found, p10_languages)}
 ORACLE: dict[str, str] = {}
