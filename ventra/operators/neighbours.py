@@ -34,3 +34,26 @@ def with_neighbour(
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     joined = rows.join(edges, same, "left")
     return joined.withColumn("__near", F.coalesce("__near", "__edge")).drop("__block", "__b", "__edge", *[f"__k{i}" for i in range(len(keys))])
+
+
+def with_rank(df: DataFrame, keys: list[str], order: str, then: list[str], block: int = 4096, out: str = "rank", total: str | None = None) -> DataFrame:
+    """Adds the 1-based place of each row among those of its keys by ``order`` (a whole number, nulls last) and ``then``.
+
+    Rows are ranked within blocks of the order axis, and blocks are offset by the counts of those
+    before them, so no task sorts a whole key.  ``total`` names a column for the number of rows.
+    """
+    top = F.lit(2**62)
+    blocked = df.withColumn("__block", F.coalesce(F.floor(F.col(order) / F.lit(block)), top))
+    inner = Window.partitionBy(*keys, "__block").orderBy(F.col(order).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in then])
+    counts = blocked.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys)))
+    counts = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__block").alias("__b"), "__off", "__all")
+    same = F.col("__block") == F.col("__b")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    ranked = blocked.withColumn("__r", F.row_number().over(inner)).join(counts, same)
+    ranked = ranked.withColumn(out, (F.col("__r") + F.col("__off")).cast("bigint"))
+    if total:
+        ranked = ranked.withColumn(total, F.col("__all").cast("bigint"))
+    return ranked.drop("__block", "__b", "__r", "__off", "__all", *[f"__k{i}" for i in range(len(keys))])

@@ -1,4 +1,588 @@
-"""Queries for the analysis operators."""
+"""Queries for the analysis operators, over recordings, scored events and raw files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import align, asof, bins, breaths, coverage
+from ..operators.neighbours import with_rank
+from ..session import table
+
+FILE = ["recording_id", "file_no"]
+HOUR = 3_600_000  # milliseconds; the width of the pieces of a source's time axis
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query with its SQL twin."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _ms(c: str):
+    return F.when(~F.isnan(c), F.round(F.col(c) * 1000)).cast("bigint")
+
+
+def readings(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "telemetry")
+    return t.withColumn("ms", _ms("timesincereference"))
+
+
+def valid(spark: SparkSession, d: str, signal: str) -> DataFrame:
+    """Readings of a signal, one per time: the first valid one in the order of lines."""
+    r = readings(spark, d).where(align.present(signal).isNotNull())
+    return align.first_valid(r, FILE, "ms", "line_no", [signal]).drop("n_lines")
+
+
+def _valid_sql(signal: str, name: str = "v") -> str:
+    return f"""{name} as (
+  select recording_id, file_no, cast(round(timesincereference * 1000) as bigint) ms, arg_min({signal}, line_no) {signal}
+  from telemetry where {signal} is not null and not isnan({signal}) and timesincereference is not null and not isnan(timesincereference)
+  group by 1, 2, 3)"""
+
+
+_COVER = f"""with {_valid_sql('smoothedpressure')}, marked as (
+  select *, ms - lag(ms) over (partition by recording_id, file_no order by ms) step from v
+), islands as (
+  select *, sum(case when step is null or step > 5000 then 1 else 0 end) over (partition by recording_id, file_no order by ms rows unbounded preceding) island from marked
+), cover as (
+  select recording_id, file_no, min(ms) start_at, max(ms) end_at from islands group by recording_id, file_no, island
+)"""
+
+
+@query(_COVER + " select * from cover")
+def coverage_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return coverage.coverage_intervals(valid(spark, d, "smoothedpressure"), FILE, "ms", 5000, HOUR)
+
+
+@query(_COVER + " select recording_id, file_no, start_at + 1000 start_at, end_at - 1000 end_at from cover where end_at - start_at >= 2000")
+def analyzable_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return coverage.trim_intervals(coverage_intervals(spark, d), 1000)
+
+
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "event_file")
+    n = lambda c: F.when(~F.isnan(c), F.col(c))
+    return e.select(
+        F.col("event_id").alias("window_id"), *FILE, "event", n("start_s").alias("start_at"), n("end_s").alias("end_at"), n("duration_s").alias("duration")
+    )
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    seconds = coverage_intervals(spark, d).withColumns({c: F.col(c) / 1000 for c in ("start_at", "end_at")})
+    return coverage.classify_windows(_windows(spark, d), seconds, FILE)
+
+
+_CLASS = (
+    _COVER
+    + """, w as (
+  select event_id window_id, recording_id, file_no, event, case when not isnan(start_s) then start_s end s, case when not isnan(end_s) then end_s end e,
+    case when not isnan(duration_s) then duration_s end dur from event_file
+), flags as (
+  select window_id, bool_or(c.start_at / 1000 <= s and e <= c.end_at / 1000) inside
+  from w join cover c using (recording_id, file_no) where e >= c.start_at / 1000 and s <= c.end_at / 1000 group by 1
+), classed as (
+  select w.*, case when s is null or e is null or dur is null or dur < 30 or s > e or s > 5400 or e > 5400 then 'filtered'
+    when inside then 'fully_covered' when inside is not null then 'partially_covered' else 'unavailable' end status
+  from w left join flags using (window_id)
+)"""
+)
+
+
+@query(_CLASS + " select window_id, event, status from classed")
+def window_classification(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(spark, d).select("window_id", "event", "status")
+
+
+@query(_CLASS + " select status, count(*) n from classed group by 1")
+def coverage_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_CLASS + " select window_id, event, round(s, 3) start_at, round(e, 3) end_at from classed where status = 'fully_covered'")
+def selected_windows(spark: SparkSession, d: str) -> DataFrame:
+    w = _classified(spark, d).where("status = 'fully_covered'")
+    return w.select("window_id", "event", F.round("start_at", 3).alias("start_at"), F.round("end_at", 3).alias("end_at"))
+
+
+@query(
+    """select event_id, event, row_number() over (partition by recording_id, file_no, event
+      order by case when not isnan(start_s) then cast(round(start_s * 1000) as bigint) end nulls last, event_id) instance
+    from event_file where event is not null"""
+)
+def instance_number(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "event_file").where("event is not null").select("event_id", *FILE, "event", _ms("start_s").alias("ms"))
+    return with_rank(e, [*FILE, "event"], "ms", ["event_id"], HOUR, "instance").select("event_id", "event", "instance")
+
+
+@query(
+    """select recording_id, file_no, cast(round(timesincereference * 1000) as bigint) ms,
+      arg_min(smoothedpressure, line_no) filter (smoothedpressure is not null and not isnan(smoothedpressure)) smoothedpressure,
+      arg_min(temp, line_no) filter (temp is not null and not isnan(temp)) as temp,
+      arg_min(activity, line_no) filter (activity is not null and not isnan(activity)) activity, count(*) n_lines
+    from telemetry where timesincereference is not null and not isnan(timesincereference) group by 1, 2, 3"""
+)
+def first_valid_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return align.first_valid(readings(spark, d), FILE, "ms", "line_no", ["smoothedpressure", "temp", "activity"])
+
+
+@query(
+    """with r as (select row_id, recording_id, file_no, timesincereference t,
+      coalesce(case when not isnan(smoothedpressure) then smoothedpressure end, case when not isnan(temp) then temp end, case when not isnan(activity) then activity end) a,
+      case when not isnan(smoothedpressure) then smoothedpressure end p from telemetry)
+    select row_id from r join (select recording_id, file_no, min(t) filter (a is not null) lo, max(t) filter (p is not null) hi from r group by all) using (recording_id, file_no)
+    where t between lo and hi"""
+)
+def trim_to_first_valid(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "telemetry").select("row_id", *FILE, "timesincereference", "smoothedpressure", "temp", "activity")
+    return align.trim_to_valid(r, FILE, "timesincereference", ["smoothedpressure", "temp", "activity"], "smoothedpressure").select("row_id")
+
+
+@query(
+    """select event_id, round((epoch_us(entered_at) - epoch_us(device_start_utc)) / 1e6, 3) as seconds
+    from event_file join recording_files using (recording_id, file_no) where entered_at is not null and device_start_utc is not null"""
+)
+def time_since_reference(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "event_file").select("event_id", *FILE, "entered_at").join(table(spark, d, "recording_files").select(*FILE, "device_start_utc"), FILE)
+    return e.select("event_id", F.round(align.seconds_since("entered_at", "device_start_utc"), 3).alias("seconds")).where("seconds is not null")
+
+
+@query(
+    """select recording_id, file_no, count(*) filter (t < before) n_jumps from (
+      select recording_id, file_no, timesincereference t, lag(timesincereference) over (partition by recording_id, file_no order by line_no) before from telemetry)
+    group by 1, 2"""
+)
+def backward_jumps(spark: SparkSession, d: str) -> DataFrame:
+    return align.backward_jumps(table(spark, d, "telemetry"), FILE, "timesincereference", "line_no")
+
+
+@query(
+    """select row_id, round(floor(timesincereference) + (row_number() over (partition by recording_id, file_no, floor(timesincereference) order by line_no) - 1) * 0.1, 3) t_s
+    from telemetry where timesincereference is not null and not isnan(timesincereference)"""
+)
+def subsecond_reconstruct(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "telemetry").select("row_id", *FILE, "line_no", F.floor("timesincereference").cast("double").alias("sec")).where("sec is not null")
+    return align.spread_within_second(r, FILE, "sec", "line_no", F.lit(10.0)).select("row_id", F.round("t_s", 3).alias("t_s"))
+
+
+@query(
+    r"""select file_id, line_no, round(sum(case when regexp_matches(x, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') then try_cast(x as double) end), 3) total,
+      count(case when regexp_matches(x, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') then 1 end) n_numbers
+    from (select file_id, line_no, trim(unnest(string_split(line_text, ','))) x from raw_lines) group by 1, 2"""
+)
+def numeric_coercion(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "raw_lines").select("file_id", "line_no", F.explode(F.split("line_text", ",", -1)).alias("x"))
+    n = align.number(F.col("x"))
+    return lines.groupBy("file_id", "line_no").agg(F.round(F.sum(n), 3).alias("total"), F.count(n).alias("n_numbers"))
+
+
+@query(
+    """select event_id window_id, round(start_s - 8, 3) start_at, round(end_s - 8, 3) end_at, round(duration_s, 3) duration
+    from event_file where not isnan(start_s) and not isnan(end_s) and not isnan(duration_s)"""
+)
+def adjusted_behaviours(spark: SparkSession, d: str) -> DataFrame:
+    w = align.shift_windows(_windows(spark, d), F.lit(-8.0)).where("start_at is not null and end_at is not null and duration is not null")
+    return w.select("window_id", *[F.round(c, 3).alias(c) for c in ("start_at", "end_at", "duration")])
+
+
+_ASOF = f"""with {_valid_sql('temp', 'src')}, tgt as ({{tgt}}), b as (
+  select tgt.*, l.ms lm, l.temp lv, r.ms rm, r.temp rv
+  from tgt asof left join src l on tgt.recording_id = l.recording_id and tgt.file_no = l.file_no and tgt.ms >= l.ms
+  asof left join src r on tgt.recording_id = r.recording_id and tgt.file_no = r.file_no and tgt.ms <= r.ms
+)"""
+
+
+@query(
+    _ASOF.replace("{tgt}", "select recording_id, file_no, cast(round(timesincereference * 1000) as bigint) ms, row_id from telemetry where atmpressure is not null and not isnan(atmpressure)")
+    + " select row_id, round(case when lm is null or rm is null then null when lm = rm then lv else lv + (rv - lv) * ((ms - lm) / (rm - lm)) end, 5) as temp from b"
+)
+def interp_asof(spark: SparkSession, d: str) -> DataFrame:
+    targets = readings(spark, d).where(align.present("atmpressure").isNotNull()).select("row_id", *FILE, "ms")
+    near = asof.neighbours(targets, valid(spark, d, "temp"), FILE, "ms", "temp", HOUR)
+    return near.select("row_id", F.round(asof.interpolated("ms"), 5).alias("temp"))
+
+
+@query(
+    _ASOF.replace("{tgt}", "select recording_id, file_no, cast(round(start_s * 1000) as bigint) ms, event_id from event_file where not isnan(start_s)")
+    + " select event_id, case when lm is null then rv when rm is null or ms - lm <= rm - ms then lv else rv end as temp from b"
+)
+def nearest_asof(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "event_file").select("event_id", *FILE, _ms("start_s").alias("ms")).where("ms is not null")
+    near = asof.neighbours(targets, valid(spark, d, "temp"), FILE, "ms", "temp", HOUR)
+    return near.select("event_id", asof.nearest("ms").alias("temp"))
+
+
+@query(
+    """select recording_id, file_no, round(avg(atmpressure), 7) mean, round(stddev_samp(atmpressure), 5) sd, min(atmpressure) min, max(atmpressure) max
+    from telemetry where atmpressure is not null and not isnan(atmpressure) group by 1, 2"""
+)
+def session_stats(spark: SparkSession, d: str) -> DataFrame:
+    s = bins.session_stats(table(spark, d, "telemetry"), FILE, "atmpressure")
+    return s.withColumns({"mean": F.round("mean", 7), "sd": F.round("sd", 5)})
+
+
+@query("select recording_id, file_no, min(timesincereference) lo, max(timesincereference) hi from telemetry where not isnan(timesincereference) group by 1, 2")
+def time_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "telemetry").where("not isnan(timesincereference)").groupBy(*FILE).agg(F.min("timesincereference").alias("lo"), F.max("timesincereference").alias("hi"))
+
+
+@query(
+    f"""with {_valid_sql('smoothedpressure', 'p')}, {_valid_sql('atmpressure', 'a')}, g as (
+      select recording_id, file_no, min(ms) lo, greatest(1, cast(ceil((max(ms) - min(ms)) / 300000.0) as bigint)) n from p join recording_files using (recording_id, file_no)
+      where clock_kind = 'elapsed' group by 1, 2
+    ), spine as (select *, unnest(generate_series(0, n - 1)) b from g),
+    s as (select recording_id, file_no, least(cast(floor((ms - lo) / 300000.0) as bigint), n - 1) b, avg(atmpressure) mean, stddev_samp(atmpressure) sd, count(*) c
+      from a join g using (recording_id, file_no) where ms between lo and lo + n * 300000 group by 1, 2, 3)
+    select recording_id, file_no, lo + b * 300000 bin_start, round(mean, 7) mean, round(sd, 5) sd, coalesce(c, 0) n from spine left join s using (recording_id, file_no, b)"""
+)
+def time_bins_closed_last(spark: SparkSession, d: str) -> DataFrame:
+    elapsed = table(spark, d, "recording_files").where("clock_kind = 'elapsed'").select(*FILE)
+    spans = valid(spark, d, "smoothedpressure").groupBy(*FILE).agg(F.min("ms").alias("lo"), F.max("ms").alias("hi")).join(elapsed, FILE, "left_semi")
+    b = bins.time_bins(valid(spark, d, "atmpressure"), spans, FILE, "ms", "atmpressure", 300_000)
+    return b.select(*FILE, "bin_start", F.round("mean", 7).alias("mean"), F.round("sd", 5).alias("sd"), "n")
+
+
+_ANCHOR = """anchor as (
+  select recording_id, file_no, min(cast(round(start_s * 1000) as bigint)) anchor from event_file where event = 'injection' and not isnan(start_s) group by 1, 2)"""
+
+
+def _anchors(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "event_file").where("event = 'injection'").select(*FILE, _ms("start_s").alias("ms"))
+    return e.groupBy(*FILE).agg(F.min("ms").alias("anchor")).where("anchor is not null")
+
+
+def _aligned(spark: SparkSession, d: str, signals: list[str]) -> DataFrame:
+    return bins.aligned_bins(readings(spark, d).select(*FILE, "ms", *signals), _anchors(spark, d), FILE, "ms", signals, 600_000, 1_200_000, 60_000)
+
+
+def _aligned_sql(signals: list[str]) -> str:
+    cols = ", ".join(
+        f"avg({s}) filter (not isnan({s})) {s}_mean, stddev_samp({s}) filter (not isnan({s})) / sqrt(count({s}) filter (not isnan({s}))) {s}_sem" for s in signals
+    )
+    out = ", ".join(f"round({s}_{k}, {7 if k == 'mean' else 5}) {s}_{k}" for s in signals for k in ("mean", "sem"))
+    return f"""with {_ANCHOR}, spine as (select *, unnest(generate_series(0, 29)) b from anchor),
+    s as (select recording_id, file_no, cast(floor((cast(round(timesincereference * 1000) as bigint) - anchor + 600000) / 60000.0) as bigint) b, {cols}
+      from telemetry join anchor using (recording_id, file_no) group by 1, 2, 3)
+    select recording_id, file_no, b * 60000 - 600000 bin_start, {out} from spine left join s using (recording_id, file_no, b)"""
+
+
+@query(_aligned_sql(["temp"]))
+def signal_bins_mean_sem(spark: SparkSession, d: str) -> DataFrame:
+    b = _aligned(spark, d, ["temp"])
+    return b.select(*FILE, F.col("bin_start").cast("bigint").alias("bin_start"), F.round("temp_mean", 7).alias("temp_mean"), F.round("temp_sem", 5).alias("temp_sem"))
+
+
+@query(_aligned_sql(["smoothedpressure", "temp", "activity"]))
+def combine_bins(spark: SparkSession, d: str) -> DataFrame:
+    b = _aligned(spark, d, ["smoothedpressure", "temp", "activity"])
+    rounded = [F.round(c, 7 if c.endswith("_mean") else 5).alias(c) for c in b.columns if c.endswith(("_mean", "_sem"))]
+    return b.select(*FILE, F.col("bin_start").cast("bigint").alias("bin_start"), *rounded)
+
+
+@query(
+    """select recording_id, file_no, cast(round_even(timesincereference * 0.1, 0) as bigint) slot,
+      arg_min(atmpressure, {'t': timesincereference, 'l': line_no}) atmpressure
+    from telemetry where atmpressure is not null and not isnan(atmpressure) group by 1, 2, 3"""
+)
+def downsample_first_per_bin(spark: SparkSession, d: str) -> DataFrame:
+    return bins.down_sample(table(spark, d, "telemetry"), FILE, "timesincereference", "line_no", "atmpressure", 0.1).select(*FILE, "slot", "atmpressure")
+
+
+@query(
+    """with m as (select recording_id, file_no, cast(floor(timesincereference / 60) as bigint) as minute, avg(activity) mean
+      from telemetry where activity is not null and not isnan(activity) group by 1, 2, 3)
+    select recording_id, file_no, minute, round(mean, 7) mean, round(mean / nullif(max(mean) over (partition by recording_id, file_no), 0), 7) scaled from m"""
+)
+def minute_activity(spark: SparkSession, d: str) -> DataFrame:
+    m = bins.minute_means(table(spark, d, "telemetry"), FILE, "timesincereference", "activity")
+    return m.select(*FILE, "minute", F.round("mean", 7).alias("mean"), F.round("scaled", 7).alias("scaled"))
+
+
+@query(
+    f"""with {_valid_sql('smoothedpressure')}, s as (select *, ms - lag(ms) over (partition by recording_id, file_no order by ms) step from v)
+    select recording_id, file_no, round(1000.0 / median(step), 6) rate from s where step > 0 group by 1, 2"""
+)
+def sample_rate(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.neighbours import with_neighbour
+
+    v = with_neighbour(valid(spark, d, "smoothedpressure"), FILE, "ms", ["ms"], HOUR).withColumn("step", F.col("ms") - F.col("__near.ms"))
+    return v.where("step > 0").groupBy(*FILE).agg(F.round(F.lit(1000.0) / F.median("step"), 6).alias("rate"))
+
+
+_EXTREMES = f"""with {_valid_sql('smoothedpressure')}, n as (
+  select *, lag(smoothedpressure) over w p, lead(smoothedpressure) over w x from v window w as (partition by recording_id, file_no order by ms)
+), ext as (
+  select recording_id, file_no, ms, smoothedpressure, case when smoothedpressure > p and smoothedpressure > x then 'peak' when smoothedpressure < p and smoothedpressure < x then 'trough' end kind from n
+), e as (select * from ext where kind is not null)"""
+
+
+def _extremes(spark: SparkSession, d: str) -> DataFrame:
+    return breaths.local_extremes(valid(spark, d, "smoothedpressure"), FILE, "ms", "smoothedpressure", HOUR)
+
+
+def _peaks(spark: SparkSession, d: str) -> DataFrame:
+    return _extremes(spark, d).where("kind = 'peak' and smoothedpressure > 0").drop("kind")
+
+
+_PEAKS = _EXTREMES + ", peaks as (select recording_id, file_no, ms, smoothedpressure from e where kind = 'peak' and smoothedpressure > 0)"
+
+
+@query(_EXTREMES + " select * from e")
+def peak_local_max(spark: SparkSession, d: str) -> DataFrame:
+    return _extremes(spark, d)
+
+
+@query(
+    _PEAKS
+    + """ select *, row_number() over w ordinal, cast(lead(ms) over w - ms as double) as "interval" from peaks window w as (partition by recording_id, file_no order by ms)"""
+)
+def isi_and_rank(spark: SparkSession, d: str) -> DataFrame:
+    return breaths.peak_intervals(_peaks(spark, d), FILE, "ms", HOUR).withColumn("interval", F.col("interval").cast("double"))
+
+
+@query(
+    _PEAKS
+    + f""", {_ANCHOR}, spine as (select *, unnest(generate_series(0, 29)) b from anchor), i as (
+      select recording_id, file_no, smoothedpressure, ms, cast(floor((ms - anchor + 600000) / 60000.0) as bigint) b from peaks join anchor using (recording_id, file_no)
+    ), j as (select *, lead(ms) over (partition by recording_id, file_no, b order by ms) - ms step from i),
+    s as (select recording_id, file_no, b, count(*) n_peaks, avg(smoothedpressure) amplitude, avg(step) as "interval" from j group by 1, 2, 3)
+    select recording_id, file_no, b * 60000 - 600000 bin_start, coalesce(n_peaks, 0) n_peaks, round(amplitude, 7) amplitude, round("interval", 7) as "interval"
+    from spine left join s using (recording_id, file_no, b)"""
+)
+def peak_bins(spark: SparkSession, d: str) -> DataFrame:
+    b = breaths.peak_bins(_peaks(spark, d), _anchors(spark, d), FILE, "ms", "smoothedpressure", 600_000, 1_200_000, 60_000, HOUR)
+    return b.select(*FILE, "bin_start", "n_peaks", F.round("amplitude", 7).alias("amplitude"), F.round("interval", 7).alias("interval"))
+
+
+_CYCLES = (
+    _EXTREMES
+    + """, ranked as (
+  select *, row_number() over (partition by recording_id, file_no, kind order by ms) k,
+    min(case when kind = 'peak' then ms end) over (partition by recording_id, file_no) first_p,
+    min(case when kind = 'trough' then ms end) over (partition by recording_id, file_no) first_t from e
+), zipped as (
+  select recording_id, file_no, t.k, t.ms trough_t, t.smoothedpressure trough_v, p.ms peak_t, p.smoothedpressure peak_v
+  from (select * from ranked where kind = 'trough') t
+  join (select *, case when first_t > first_p then k - 1 else k end kk from ranked where kind = 'peak') p using (recording_id, file_no) where t.k = p.kk
+), cyc as (
+  select recording_id, file_no, k, trough_t, peak_t, peak_t - trough_t t_in, lead(trough_t) over w - peak_t t_out, lead(trough_t) over w - trough_t t_total,
+    abs(peak_v - trough_v) swing, lead(peak_t) over w - peak_t peak_to_peak
+  from zipped window w as (partition by recording_id, file_no order by k)
+)"""
+)
+
+
+def _breaths(spark: SparkSession, d: str) -> DataFrame:
+    return breaths.cycles(_extremes(spark, d), FILE, "ms", "smoothedpressure", HOUR)
+
+
+@query(
+    _CYCLES
+    + """ select recording_id, file_no, k, trough_t, peak_t, t_in, cast(t_out as double) t_out, cast(t_total as double) t_total, round(t_in / nullif(t_total, 0), 6) duty, round(swing, 4) swing,
+      round(swing / nullif(t_in, 0), 6) drive, cast(peak_to_peak as double) peak_to_peak from cyc"""
+)
+def breath_cycles(spark: SparkSession, d: str) -> DataFrame:
+    return _breaths(spark, d).withColumns({"duty": F.round("duty", 6), "swing": F.round("swing", 4), "drive": F.round("drive", 6), **{c: F.col(c).cast("double") for c in ("t_out", "t_total", "peak_to_peak")}})
+
+
+@query(
+    _CYCLES
+    + """ select coalesce(recording_id, 'all') recording_id, coalesce(file_no, -1) file_no, count(*) n, round(avg(t_in), 7) t_in, round(avg(t_out), 7) t_out, round(avg(t_total), 7) t_total, round(avg(t_in / nullif(t_total, 0)), 7) duty,
+      round(stddev_pop(t_total), 5) t_total_sd, round(avg(1000.0 / nullif(peak_to_peak, 0)), 7) frequency, round(avg(swing), 7) swing
+    from cyc group by grouping sets ((recording_id, file_no), (recording_id), ())"""
+)
+def breath_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = breaths.cycle_summary(_breaths(spark, d), [FILE, ["recording_id"], []])
+    digits = {"t_in": 7, "t_out": 7, "t_total": 7, "duty": 7, "t_total_sd": 5, "frequency": 7, "swing": 7}
+    return s.select(F.coalesce("recording_id", F.lit("all")).alias("recording_id"), F.coalesce("file_no", F.lit(-1)).alias("file_no"), "n", *[F.round(c, n).alias(c) for c, n in digits.items()])
+
+
+@query(
+    _CYCLES
+    + """, bins as (select *, cast(floor((peak_t - min(trough_t) over (partition by recording_id, file_no)) / 60000.0) as bigint) bin from cyc)
+    select recording_id, file_no, bin, count(*) n, round(avg(t_in), 7) t_in, round(avg(t_total), 7) t_total, round(avg(swing), 7) swing from bins group by 1, 2, 3 having count(*) >= 2"""
+)
+def binned_cycle_metrics(spark: SparkSession, d: str) -> DataFrame:
+    b = _breaths(spark, d)
+    b = b.join(b.groupBy(*FILE).agg(F.min("trough_t").alias("lo")), FILE).withColumn("bin", F.floor((F.col("peak_t") - F.col("lo")) / 60_000))
+    s = b.groupBy(*FILE, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("t_in").alias("t_in"), F.avg("t_total").alias("t_total"), F.avg("swing").alias("swing"))
+    return s.where("n >= 2").select(*FILE, "bin", "n", F.round("t_in", 7).alias("t_in"), F.round("t_total", 7).alias("t_total"), F.round("swing", 7).alias("swing"))
+
+
+def _periods(spark: SparkSession, d: str) -> DataFrame:
+    return breaths.valid_periods(_peaks(spark, d), FILE, "ms", min_peaks=10, interval_window=10, break_multiplier=3.0)
+
+
+@query()
+def valid_periods(spark: SparkSession, d: str) -> DataFrame:
+    return _periods(spark, d)
+
+
+@query()
+def peaks_per_period(spark: SparkSession, d: str) -> DataFrame:
+    return breaths.peaks_per_period(_peaks(spark, d), _periods(spark, d), FILE, "ms")
+
+
+_TRACE = _PEAKS + """, tr as (select * from (select recording_id, file_no, ms, lead(ms) over (partition by recording_id, file_no order by ms) - ms as iv from peaks) where iv is not null)"""
+
+
+@query(_TRACE + """ select recording_id, file_no, ms, iv as "interval" from tr""")
+def ttot_trace(spark: SparkSession, d: str) -> DataFrame:
+    return breaths.interval_trace(_peaks(spark, d), FILE, "ms", HOUR)
+
+
+@query(
+    _TRACE
+    + """ select recording_id, file_no, ms, iv as "interval" from (select *, row_number() over (partition by recording_id, file_no order by ms) k, count(*) over (partition by recording_id, file_no) n from tr)
+    where n > 20 and k > 10 and k <= n - 10"""
+)
+def trim_ends(spark: SparkSession, d: str) -> DataFrame:
+    return breaths.interval_trace(_peaks(spark, d), FILE, "ms", HOUR, trim=10)
+
+
+_SEGMENTS = (
+    _TRACE
+    + """, sp as (select recording_id, file_no, min(ms) lo, cast(floor((max(ms) - min(ms)) / 50000.0) as bigint) n from tr group by 1, 2),
+spine as (select *, unnest(generate_series(0, n - 1)) segment from sp where n > 0),
+st as (select recording_id, file_no, cast(floor((ms - lo) / 50000.0) as bigint) segment, count(*) c,
+  case when var_pop(cast(iv as double)) = 0 then 0.0 else greatest(0.0, regr_r2(cast(iv as double), (ms - lo) / 1000.0)) end r2
+  from tr join sp using (recording_id, file_no) group by 1, 2, 3)"""
+)
+
+
+@query(
+    _SEGMENTS
+    + """ select recording_id, file_no, segment, lo + segment * 50000 start_at, lo + (segment + 1) * 50000 end_at, coalesce(c, 0) n_breaths, round(r2, 5) drift_r2
+    from spine left join st using (recording_id, file_no, segment) join recording_files using (recording_id, file_no) where clock_kind = 'elapsed'"""
+)
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    elapsed = table(spark, d, "recording_files").where("clock_kind = 'elapsed'").select(*FILE)
+    trace = breaths.interval_trace(_peaks(spark, d), FILE, "ms", HOUR).join(elapsed, FILE, "left_semi")
+    return breaths.trace_segments(trace, FILE, "ms", 50_000).withColumn("drift_r2", F.round("drift_r2", 5))
+
+
+@query(
+    _SEGMENTS
+    + """ select recording_id, file_no, count(*) n_segments, bool_or(coalesce(r2, 0) > 0.3) drift_dominated, round(max(r2), 5) worst_r2
+    from spine left join st using (recording_id, file_no, segment) group by 1, 2"""
+)
+def drift_r2(spark: SparkSession, d: str) -> DataFrame:
+    s = breaths.trace_segments(breaths.interval_trace(_peaks(spark, d), FILE, "ms", HOUR), FILE, "ms", 50_000)
+    return s.groupBy(*FILE).agg(
+        F.count(F.lit(1)).alias("n_segments"), F.bool_or(F.coalesce("drift_r2", F.lit(0)) > 0.3).alias("drift_dominated"), F.round(F.max("drift_r2"), 5).alias("worst_r2")
+    )
+
+
+@query("select lower(telemetry_file) dest, count(*) n from batch_config where telemetry_file is not null group by 1 having count(*) > 1")
+def dispatch_collisions(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "batch_config").where("telemetry_file is not null")
+    return c.groupBy(F.lower("telemetry_file").alias("dest")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query("select event_type, count(*) n, cast(sum(cast(round(value * 100) as bigint)) as bigint) cents, min(ts) first_ts, max(ts) last_ts from events group by 1")
+def event_type_totals(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+
+
+@query("select recording_id, file_no, least(count(*), cast(floor(600 * ln(1 + count(*) * 5 / 1200.0)) as bigint)) n_bins from telemetry group by 1, 2")
+def dynamic_bins(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "telemetry").groupBy(*FILE).agg(F.count(F.lit(1)).alias("n"))
+    return n.select(*FILE, F.least("n", F.floor(F.lit(600) * F.log(1 + F.col("n") * 5 / F.lit(1200.0)))).alias("n_bins"))
+
+
+def _segments(spark: SparkSession, d: str, signal: str = "smoothedpressure") -> DataFrame:
+    from ..operators.signals import segmented
+
+    return segmented(valid(spark, d, signal), FILE, "ms", signal, 5000, HOUR)
+
+
+@query()
+def preprocessed_pressure(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.signals import preprocess
+
+    return preprocess(_segments(spark, d), FILE, "smoothedpressure")
+
+
+_QUANTILES = _COVER.replace("step > 5000", "step > 5000 or floor(ms / 3600000.0) <> floor((ms - step) / 3600000.0)")
+
+
+@query(
+    _QUANTILES
+    + """ select recording_id, file_no, ms,
+      round(quantile_cont(smoothedpressure, 0.8) over (partition by recording_id, file_no, island order by ms rows between 7 preceding and 7 following), 6) upper,
+      round(quantile_cont(smoothedpressure, 0.2) over (partition by recording_id, file_no, island order by ms rows between 7 preceding and 7 following), 6) lower
+    from islands""".replace(") upper", ") as upper").replace(") lower", ") as lower")
+)
+def rolling_quantile(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.signals import rolling_quantiles
+
+    q = rolling_quantiles(_segments(spark, d), FILE, "smoothedpressure", 15)
+    return q.select(*FILE, "ms", F.round("upper", 6).alias("upper"), F.round("lower", 6).alias("lower"))
+
+
+_TAPS = [3 * (3 * 17 * 17 + 3 * 17 - 1 - 5 * k * k) / ((2 * 17 - 1) * (2 * 17 + 1) * (2 * 17 + 3)) for k in range(-17, 18)]
+
+
+@query(
+    _QUANTILES
+    + ", s as (select recording_id, file_no, ms, "
+    + " + ".join(f"({w!r}) * " + (f"lead(smoothedpressure, {k}) over w" if k > 0 else f"lag(smoothedpressure, {-k}) over w" if k < 0 else "smoothedpressure") for k, w in zip(range(-17, 18), _TAPS))
+    + " y, row_number() over w r, count(*) over (partition by recording_id, file_no, island) n from islands window w as (partition by recording_id, file_no, island order by ms))"
+    + " select recording_id, file_no, ms, round(y, 6) smoothed from s where r > 17 and r <= n - 17"
+)
+def savgol_smooth(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.signals import dsp, np, pd, per_segment
+
+    def kernel(g: pd.DataFrame) -> pd.DataFrame | None:
+        if len(g) < 35:
+            return None
+        return pd.DataFrame({"ms": g["ms"], "smoothed": dsp.smooth(g["smoothedpressure"].to_numpy(float))}).iloc[17 : len(g) - 17].copy()
+
+    s = per_segment(_segments(spark, d), FILE, "ms", "ms bigint, smoothed double", kernel)
+    return s.select(*FILE, "ms", F.round("smoothed", 6).alias("smoothed"))
+
+
+@query()
+def detected_breaths(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.signals import detect_breaths
+
+    return detect_breaths(_segments(spark, d), FILE, "smoothedpressure")
+
+
+@query()
+def transient_peaks(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.signals import transient_peaks as run
+
+    return run(_segments(spark, d, "temp"), FILE, "temp", prominence=0.05)
+
+
+def _spectra(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.signals import interval_spectra
+
+    elapsed = table(spark, d, "recording_files").where("clock_kind = 'elapsed'").select(*FILE)
+    trace = breaths.interval_trace(_peaks(spark, d), FILE, "ms", HOUR).join(elapsed, FILE, "left_semi")
+    return interval_spectra(trace, FILE)
+
+
+@query()
+def interval_spectra(spark: SparkSession, d: str) -> DataFrame:
+    return _spectra(spark, d)
+
+
+@query()
+def spectrum_metrics(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.signals import spectrum_metrics as run
+
+    return run(_spectra(spark, d), FILE)
