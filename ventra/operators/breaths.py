@@ -8,14 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neighbours import with_neighbour, with_rank
+from ..session import durable
+from .neighbours import with_neighbour, with_neighbours, with_rank
 
 
 def local_extremes(readings: DataFrame, keys: list[str], time: str, value: str, block: int) -> DataFrame:
     """Readings strictly above (``peak``) or below (``trough``) both neighbours; ``time`` whole and unique."""
-    a = with_neighbour(readings.select(*keys, time, value), keys, time, [value], block).withColumnRenamed("__near", "__p")
-    b = with_neighbour(a, keys, time, [value], block, following=True)
-    v, p, n = F.col(value), F.col(f"__p.{value}"), F.col(f"__near.{value}")
+    b = with_neighbours(readings.select(*keys, time, value), keys, time, [value], block)
+    v, p, n = F.col(value), F.col(f"__prev.{value}"), F.col(f"__next.{value}")
     kind = F.when((v > p) & (v > n), "peak").when((v < p) & (v < n), "trough")
     return b.select(*keys, time, value, kind.alias("kind")).where("kind is not null")
 
@@ -59,7 +59,7 @@ def cycles(extremes: DataFrame, keys: list[str], time: str, value: str, block: i
     late = (F.col("kind") == "peak") & (F.col("__t") > F.col("__p"))
     ranked = ranked.withColumn("k", F.when(late, F.col("k") - 1).otherwise(F.col("k"))).where("k > 0")
     side = lambda kind, a, b: ranked.where(F.col("kind") == kind).select(*keys, "k", F.col(time).alias(a), F.col(value).alias(b))
-    pairs = side("trough", "trough_t", "trough_v").join(side("peak", "peak_t", "peak_v"), [*keys, "k"])
+    pairs = durable(side("trough", "trough_t", "trough_v").join(side("peak", "peak_t", "peak_v"), [*keys, "k"]))  # used twice below
     near = with_neighbour(pairs, keys, "k", ["trough_t", "peak_t"], following=True)
     t_in = F.col("peak_t") - F.col("trough_t")
     t_out = F.col("__near.trough_t") - F.col("peak_t")

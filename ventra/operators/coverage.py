@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neighbours import with_neighbour
+from .neighbours import with_neighbour, with_neighbours
 
 
 def coverage_intervals(readings: DataFrame, keys: list[str], time: str, max_gap: int, block: int) -> DataFrame:
@@ -15,10 +15,9 @@ def coverage_intervals(readings: DataFrame, keys: list[str], time: str, max_gap:
     the edges of stretches meet again after the first pass, not the readings.
     """
     times = readings.where(F.col(time).isNotNull()).select(*keys, F.col(time).alias("t")).distinct()
-    before = with_neighbour(times, keys, "t", ["t"], block).withColumnRenamed("__near", "__prev")
-    both = with_neighbour(before, keys, "t", ["t"], block, following=True)
+    both = with_neighbours(times, keys, "t", ["t"], block)
     opens = F.col("__prev").isNull() | (F.col("t") - F.col("__prev.t") > max_gap)
-    closes = F.col("__near").isNull() | (F.col("__near.t") - F.col("t") > max_gap)
+    closes = F.col("__next").isNull() | (F.col("__next.t") - F.col("t") > max_gap)
     edges = both.where(opens | closes).select(*keys, "t", opens.alias("opens"), closes.alias("closes"))
     paired = with_neighbour(edges, keys, "t", ["t"], block * 16, following=True).where("opens")
     return paired.select(*keys, F.col("t").alias("start_at"), F.when(F.col("closes"), F.col("t")).otherwise(F.col("__near.t")).alias("end_at"))

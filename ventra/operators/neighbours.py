@@ -11,29 +11,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_neighbour(
-    df: DataFrame, keys: list[str], order: str, cols: list[str], block: int = 4096, following: bool = False
-) -> DataFrame:
-    """Adds a struct ``__near`` with ``cols`` of the previous (or following) row of the same keys.
+def with_neighbours(df: DataFrame, keys: list[str], order: str, cols: list[str], block: int = 4096, prev: bool = True, next: bool = True) -> DataFrame:
+    """Adds structs ``__prev`` and ``__next`` with ``cols`` of the rows before and after, of the same keys.
 
-    ``order`` is a whole-number column without nulls and unique per key; ``cols`` are read from
-    the neighbour.  The first (last) row of a key gets null.  Null keys form one group.
+    ``order`` is a whole-number column without nulls and unique per key.  The first (last) row of a
+    key gets null.  Null keys form one group.
     """
     pick: Column = F.struct(*[F.col(c) for c in cols])
     blocked = df.withColumn("__block", F.floor(F.col(order) / F.lit(block)))
-    inner = Window.partitionBy(*keys, "__block").orderBy(order)
-    near = (F.lead if following else F.lag)(pick).over(inner)
-    edge_value = (F.min_by if following else F.max_by)(pick, F.col(order))
-    across = Window.partitionBy(*keys).orderBy("__block")
-    edges = blocked.groupBy(*keys, "__block").agg(edge_value.alias("__edge"))
-    edges = edges.withColumn("__edge", (F.lead if following else F.lag)("__edge").over(across))
-    edges = edges.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__block").alias("__b"), "__edge")
-    rows = blocked.withColumn("__near", near)
+    inner, across = Window.partitionBy(*keys, "__block").orderBy(order), Window.partitionBy(*keys).orderBy("__block")
+    edges = blocked.groupBy(*keys, "__block").agg(F.min_by(pick, F.col(order)).alias("__first"), F.max_by(pick, F.col(order)).alias("__last"))
+    edges = edges.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__block").alias("__b"), F.lag("__last").over(across).alias("__before"), F.lead("__first").over(across).alias("__after")
+    )
+    rows = blocked.withColumns({"__prev": F.lag(pick).over(inner), "__next": F.lead(pick).over(inner)})
     same = F.col("__block") == F.col("__b")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = rows.join(edges, same, "left")
-    return joined.withColumn("__near", F.coalesce("__near", "__edge")).drop("__block", "__b", "__edge", *[f"__k{i}" for i in range(len(keys))])
+    joined = rows.join(edges, same, "left").withColumns({"__prev": F.coalesce("__prev", "__before"), "__next": F.coalesce("__next", "__after")})
+    drop = ["__block", "__b", "__before", "__after", *[f"__k{i}" for i in range(len(keys))]]
+    return joined.drop(*drop, *([] if prev else ["__prev"]), *([] if next else ["__next"]))
+
+
+def with_neighbour(df: DataFrame, keys: list[str], order: str, cols: list[str], block: int = 4096, following: bool = False) -> DataFrame:
+    """As above, one side only, as ``__near``."""
+    return with_neighbours(df, keys, order, cols, block, not following, following).withColumnRenamed("__next" if following else "__prev", "__near")
 
 
 def with_rank(df: DataFrame, keys: list[str], order: str, then: list[str], block: int = 4096, out: str = "rank", total: str | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ def delimiter_of(header: str) -> str:
 
 def fields_of(line: str, delimiter: str) -> list[str]:
     """Fields of one record; a structural fault raises."""
-    read = lambda x: next(csv.reader([x], delimiter=delimiter, strict=True, skipinitialspace=delimiter != "\t"), [])
+    read = lambda x: next(csv.reader([x], delimiter=delimiter, strict=True, skipinitialspace=True), [])
     try:
         fields = read(line)
     except csv.Error as e:

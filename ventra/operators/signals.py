@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dsp
 from ..functions.batches import whole_groups
-from .neighbours import with_neighbour
+from .neighbours import with_neighbour, with_neighbours
 
 
 def segmented(readings: DataFrame, keys: list[str], time: str, value: str, max_gap: int, block: int) -> DataFrame:
@@ -145,9 +145,8 @@ def interval_spectra(trace: DataFrame, keys: list[str], segment_ms: int = 50_000
     span = trace.groupBy(*keys).agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
     rows = trace.join(span, keys).withColumn("own", F.floor((F.col("ms") - F.col("lo")) / segment_ms))
     # padding: the breath before a segment's first and the one after its last belong to it too
-    near = with_neighbour(rows, keys, "ms", ["own"], segment_ms * 8).withColumnRenamed("__near", "__p")
-    near = with_neighbour(near, keys, "ms", ["own"], segment_ms * 8, following=True)
-    segs = F.array_distinct(F.array("own", F.coalesce(F.col("__p.own"), F.col("own")), F.coalesce(F.col("__near.own"), F.col("own"))))
+    near = with_neighbours(rows, keys, "ms", ["own"], segment_ms * 8)
+    segs = F.array_distinct(F.array("own", F.coalesce(F.col("__prev.own"), F.col("own")), F.coalesce(F.col("__next.own"), F.col("own"))))
     padded = near.withColumn("segment", F.explode(segs)).where(F.col("lo") + (F.col("segment") + 1) * segment_ms <= F.col("hi"))
     padded = padded.withColumn("start", F.col("lo") + F.col("segment") * segment_ms).select(*keys, "segment", "ms", "interval", "start")
 

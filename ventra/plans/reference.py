@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align, asof, bins, breaths, coverage
 from ..operators.neighbours import with_rank
-from ..session import table
+from ..session import durable, table
 
 FILE = ["recording_id", "file_no"]
 HOUR = 3_600_000  # milliseconds; the width of the pieces of a source's time axis
@@ -326,7 +326,7 @@ _EXTREMES = f"""with {_valid_sql('smoothedpressure')}, n as (
 
 
 def _extremes(spark: SparkSession, d: str) -> DataFrame:
-    return breaths.local_extremes(valid(spark, d, "smoothedpressure"), FILE, "ms", "smoothedpressure", HOUR)
+    return durable(breaths.local_extremes(valid(spark, d, "smoothedpressure"), FILE, "ms", "smoothedpressure", HOUR))
 
 
 def _peaks(spark: SparkSession, d: str) -> DataFrame:
@@ -573,7 +573,7 @@ def _spectra(spark: SparkSession, d: str) -> DataFrame:
 
     elapsed = table(spark, d, "recording_files").where("clock_kind = 'elapsed'").select(*FILE)
     trace = breaths.interval_trace(_peaks(spark, d), FILE, "ms", HOUR).join(elapsed, FILE, "left_semi")
-    return interval_spectra(trace, FILE)
+    return interval_spectra(durable(trace), FILE)
 
 
 @query()
@@ -586,3 +586,32 @@ def spectrum_metrics(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.signals import spectrum_metrics as run
 
     return run(_spectra(spark, d), FILE)
+
+
+def _analysis(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    from .pipelines import pressure_analysis
+
+    r = readings(spark, d).select(*FILE, "ms", "line_no", "smoothedpressure", "temp", "activity", "atmpressure").where("ms is not null")
+    elapsed = table(spark, d, "recording_files").where("clock_kind = 'elapsed'").select(*FILE)
+    return pressure_analysis(r.join(elapsed, FILE, "left_semi"), _windows(spark, d), min_peaks=5)
+
+
+@query()
+def pressure_windows(spark: SparkSession, d: str) -> DataFrame:
+    return _analysis(spark, d)["windows"].select("window_id", "event", "status")
+
+
+@query()
+def pressure_per_window(spark: SparkSession, d: str) -> DataFrame:
+    return _analysis(spark, d)["per_window"]
+
+
+@query(
+    """select config_id, case when r.recording_id is null then 'no_recording' when length(trim(coalesce(video_time, ''))) = 0 then 'no_time'
+      when bin_size is null or bin_size <= 0 then 'bad_bin' else 'ready' end status
+    from batch_config c left join recording_files r using (recording_id, file_no)"""
+)
+def batch_status(spark: SparkSession, d: str) -> DataFrame:
+    from .pipelines import batch_status as run
+
+    return run(table(spark, d, "batch_config"), table(spark, d, "recording_files")).select("config_id", "status")
