@@ -132,7 +132,7 @@ def shoulder(slope: np.ndarray, start: int, factor: float = 0.1, near_zero: floa
         s = int(np.argmin(np.abs(slope[:g])))
         s = s if slope[s] > near_zero else 0
     region = slope[s:g]
-    hit = np.flatnonzero(region <= factor * slope[s : g + 1].min()) if len(region) else []
+    hit = np.flatnonzero(region <= factor * region.min()) if len(region) else []
     return start + (s + int(hit[0]) if len(hit) else g - 1)
 
 
