@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 #: ISO 639-1 codes of three-letter codes and names.
 CODES = {
     "en": "eng english", "de": "deu ger german deutsch", "fr": "fra fre french français", "es": "spa spanish español castellano",
@@ -280,6 +282,7 @@ def fit_languages(documents: DataFrame, per_language: int = SAMPLE) -> Model:
     code = F.pandas_udf(lambda s: s.map(label_code), "string")
     sample = documents.select("doc_id", "text", code("lang").alias("label"))
     sample = sample.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("label")] * 1_000_000)
+    sample = durable(sample)  # read three times
     model = Model(_word_counts(sample, None))
     for _ in range(2):
         model = Model(_word_counts(sample, model))
