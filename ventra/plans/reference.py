@@ -615,3 +615,71 @@ def batch_status(spark: SparkSession, d: str) -> DataFrame:
     from .pipelines import batch_status as run
 
     return run(table(spark, d, "batch_config"), table(spark, d, "recording_files")).select("config_id", "status")
+
+
+@query(
+    "with "
+    + _ANCHOR
+    + """ select recording_id, file_no, anchor, greatest(lo, anchor - 600000) start_at, least(hi, anchor + 1200000) end_at
+    from anchor join (select recording_id, file_no, min(cast(round(timesincereference * 1000) as bigint)) lo, max(cast(round(timesincereference * 1000) as bigint)) hi
+      from telemetry where not isnan(timesincereference) group by 1, 2) using (recording_id, file_no)"""
+)
+def clipped_windows(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.summaries import clip_window
+
+    span = readings(spark, d).where("ms is not null").groupBy(*FILE).agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
+    return clip_window(_anchors(spark, d).join(span, FILE), 600_000, 1_200_000).select(*FILE, "anchor", "start_at", "end_at")
+
+
+@query(
+    _EXTREMES
+    + f""", {_valid_sql('activity', 'act')}, m as (select recording_id, file_no, ms, smoothedpressure from e where kind = 'peak')
+    select recording_id, file_no, ms, m.smoothedpressure, act.activity from m join act using (recording_id, file_no, ms)"""
+)
+def marker_values(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.summaries import marker_values as run
+
+    return run(_extremes(spark, d).where("kind = 'peak'").drop("kind"), valid(spark, d, "activity"), FILE, "ms")
+
+
+@query(
+    _EXTREMES
+    + """, k as (select *, row_number() over (partition by recording_id, file_no, kind order by ms) k from e),
+    cnt as (select recording_id, file_no, count(*) filter (kind = 'peak') np, count(*) filter (kind = 'trough') nt from e group by 1, 2)
+    select recording_id, file_no, ms, smoothedpressure, kind from k join cnt using (recording_id, file_no)
+    where k <= case when kind = 'peak' then case when nt > 0 then least(np, nt) else np end else case when np > 0 then least(np, nt) else nt end end"""
+)
+def equal_counts(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.summaries import equal_counts as run
+
+    e = _extremes(spark, d)
+    a, b = run(e.where("kind = 'peak'"), e.where("kind = 'trough'"), FILE, "ms", HOUR)
+    return a.unionByName(b)
+
+
+@query()
+def window_peak_counts(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.summaries import window_peak_counts as run
+
+    w = selected_windows(spark, d).select("window_id", (F.col("start_at") * 1000).alias("start_at"), (F.col("end_at") * 1000).alias("end_at"))
+    w = w.join(table(spark, d, "event_file").select(F.col("event_id").alias("window_id"), *FILE), "window_id")
+    return run(w, peaks_per_period(spark, d).drop("per_minute"), FILE)
+
+
+@query(
+    _SEGMENTS
+    + """ select count(*) filter (coalesce(c, 0) >= 4) n_accepted, count(*) filter (coalesce(c, 0) < 4) n_rejected, count(distinct recording_id) n_windows,
+      count(distinct case when r2 > 0.3 then recording_id end) n_warned
+    from spine left join st using (recording_id, file_no, segment) join recording_files using (recording_id, file_no) where clock_kind = 'elapsed'"""
+)
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.summaries import run_summary as run
+
+    return run(segments(spark, d), "recording_id", "n_breaths >= 4", "drift_r2 > 0.3")
+
+
+@query()
+def lowpass_sweep(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.summaries import lowpass_sweep as run
+
+    return run(_segments(spark, d), FILE, "smoothedpressure")

@@ -34,7 +34,13 @@ def durable(df: DataFrame) -> DataFrame:
     The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset
     (tests on one machine) a temporary folder is used.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
