@@ -23,11 +23,11 @@ def test_coverage_and_trim(spark):
 def test_classify_windows(spark):
     w = df_of(
         spark,
-        [(i, "r", "sleep", *x) for i, x in enumerate([(0.0, 40.0, 40.0), (-20.0, 20.0, 40.0), (80.0, 120.0, 40.0), (-100.0, -50.0, 50.0), (150.0, 200.0, 50.0), (20.0, 25.0, 5.0), (None, 40.0, 40.0)])],
-        "window_id long, k string, event string, start_at double, end_at double, duration double",
+        [(i, "r", "sleep", int(x[0] * 1000), int(x[1] * 1000), x[2]) if x[0] is not None else (i, "r", "sleep", None, 40000, 40.0) for i, x in enumerate([(0.0, 40.0, 40.0), (-20.0, 20.0, 40.0), (80.0, 120.0, 40.0), (-100.0, -50.0, 50.0), (150.0, 200.0, 50.0), (20.0, 25.0, 5.0), (None, 40.0, 40.0)])],
+        "window_id long, k string, event string, start_at long, end_at long, duration double",
     )
-    cover = df_of(spark, [("r", -10.0, 100.0)], "k string, start_at double, end_at double")
-    got = [r.status for r in coverage.classify_windows(w, cover, ["k"]).orderBy("window_id").collect()]
+    cover = df_of(spark, [("r", -10_000, 100_000)], "k string, start_at long, end_at long")
+    got = [r.status for r in coverage.classify_windows(w, cover, ["k"], 30_000).orderBy("window_id").collect()]
     assert got == ["fully_covered", "partially_covered", "partially_covered", "unavailable", "unavailable", "filtered", "filtered"]
 
 
@@ -123,3 +123,14 @@ def test_spline_spectrum_simpson():
     for n in (5, 6, 9, 10):
         g = np.linspace(0, 2, n)
         assert dsp.simpson(g**2, g) == pytest.approx(8 / 3)
+
+
+def test_points_in_windows(spark):
+    import random
+
+    random.seed(11)
+    points = [(random.choice("ab"), random.randrange(-200, 200)) for _ in range(60)]
+    wins = [(random.choice("ab"), i, s := random.randrange(-200, 200), s + random.choice([-1, 0, 5, 150])) for i in range(40)]
+    got = coverage.points_in_windows(df_of(spark, points, "k string, t long"), df_of(spark, wins, "k string, w long, start_at long, end_at long"), ["k"], "t", 17)
+    want = sorted((k, t, w) for k, t in points for kk, w, s, e in wins if k == kk and s <= t <= e)
+    assert sorted((r.k, r.t, r.w) for r in got.collect()) == want

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
+from .asof import neighbours
 from .neighbours import with_neighbour, with_neighbours, with_rank
 
 
@@ -127,10 +128,16 @@ def valid_periods(peaks: DataFrame, keys: list[str], time: str, min_peaks: int =
     return peaks.select(*keys, time).repartition(*keys).sortWithinPartitions(*keys, time).mapInPandas(scan, schema)
 
 
-def peaks_per_period(peaks: DataFrame, periods: DataFrame, keys: list[str], time: str) -> DataFrame:
-    """Peaks inside each period, ends included, with the rate per minute (times in milliseconds)."""
-    inside = periods.join(peaks.select(*keys, F.col(time).alias("__t")), keys, "left").withColumn("__in", F.col("__t").between(F.col("start_at"), F.col("end_at")))
-    counted = inside.groupBy(*keys, "period_no", "start_at", "end_at").agg(F.count_if("__in").alias("n_inside"))
+def peaks_per_period(peaks: DataFrame, periods: DataFrame, keys: list[str], time: str, block: int) -> DataFrame:
+    """Peaks inside each period, ends included, with the rate per minute (times in milliseconds).
+
+    Periods of a source don't overlap, so a peak can only be in the last one that starts at or before it.
+    """
+    starts = periods.select(*keys, F.col("start_at").alias(time), F.col("end_at").alias("__e"))
+    inside = neighbours(peaks.select(*keys, time), starts, keys, time, "__e", block).where(F.col(time) <= F.col("left.v"))
+    counts = inside.groupBy(*keys, F.col("left.t").alias("start_at")).agg(F.count(F.lit(1)).alias("__n"))
+    counted = periods.select(*keys, "period_no", "start_at", "end_at").join(counts, [*keys, "start_at"], "left")
+    counted = counted.select(*keys, "period_no", "start_at", "end_at", F.coalesce("__n", F.lit(0)).alias("n_inside"))
     return counted.withColumn("per_minute", F.try_divide(F.col("n_inside") * 60_000.0, F.col("end_at") - F.col("start_at")))
 
 

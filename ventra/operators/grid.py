@@ -17,7 +17,7 @@ def _present(name: str):
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), None).otherwise(x)
 
 
-def _explode_between(df: DataFrame, first: str, last: str, out: str) -> DataFrame:
+def explode_between(df: DataFrame, first: str, last: str, out: str) -> DataFrame:
     """One row for each whole number from ``first`` to ``last``; none where last < first."""
     runs = df.where(F.col(first) <= F.col(last)).withColumn(
         "__from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(last) - F.col(first)) / RUN)))
@@ -70,7 +70,7 @@ def regular_grid(
         (F.col("cell_no") + 1).alias("__first"),
         (F.col("__near.cell_no") - 1).alias("__last"),
     )
-    missing = _explode_between(gaps, "__first", "__last", "cell_no")
+    missing = explode_between(gaps, "__first", "__last", "cell_no")
     share = (F.col("cell_no") - F.col("__a")) / (F.col("__b") - F.col("__a"))
     short = F.col("__b") - F.col("__a") - 1 <= max_fill_cells
     missing = missing.select(
@@ -93,5 +93,5 @@ def regular_grid(
         )
     )
     edge = edge.select(*id_, sides.alias("__s")).select(*id_, F.col("__s.a").alias("__first"), F.col("__s.b").alias("__last"))
-    edge = _explode_between(edge, "__first", "__last", "cell_no")
+    edge = explode_between(edge, "__first", "__last", "cell_no")
     return series.unionByName(edge.select(*id_, "cell_no", F.lit(None).cast("double").alias("value"), F.lit("edge").alias("status")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dsp
+from .coverage import points_in_windows
 from .neighbours import with_rank
 from .signals import per_segment
 
@@ -30,7 +31,7 @@ def window_peak_counts(windows: DataFrame, periods: DataFrame, keys: list[str])
     empty = F.lit(None).cast("bigint")
     over = windows.select(*keys, "window_id", F.lit("Overall Time Window").alias("what"), empty.alias("period_no"), "start_at", "end_at", empty.alias("n_peaks"))
     p = periods.select(*keys, "period_no", F.col("start_at").alias("__s"), F.col("end_at").alias("__e"), "n_inside")
-    inside = windows.join(p, keys).where((F.col("__s") >= F.col("start_at")) & (F.col("__e") <= F.col("end_at")))
+    inside = points_in_windows(p, windows, keys, "__s").where(F.col("__e") <= F.col("end_at"))
     valid = inside.select(*keys, "window_id", F.lit("Valid Period").alias("what"), "period_no", F.col("__s").alias("start_at"), F.col("__e").alias("end_at"), F.col("n_inside").alias("n_peaks"))
     return over.unionByName(valid).withColumn("per_minute", F.try_divide(F.col("n_peaks") * 60_000.0, F.col("end_at") - F.col("start_at")))
 

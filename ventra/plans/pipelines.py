@@ -16,7 +16,7 @@ def pressure_analysis(readings: DataFrame, events: DataFrame, behaviour: str | N
     """Event-aligned pressure analysis.
 
     ``readings``: FILE, ms, line_no, smoothedpressure, temp, activity, atmpressure; ``events``: FILE, window_id,
-    event, start_at, end_at, duration in seconds.  Breaths are found at once and kept; the rest are lazy tables: coverage, windows, breaths, periods, per_bin,
+    event, start_at, end_at in ms, duration in s.  Breaths are found at once and kept; the rest are lazy tables: coverage, windows, breaths, periods, per_bin,
     per_period, per_window, overall, atm_session, atm_bins, intervals, spectra, spectrum_metrics.
     """
     names = ["smoothedpressure", "temp", "activity", "atmpressure"]
@@ -25,13 +25,13 @@ def pressure_analysis(readings: DataFrame, events: DataFrame, behaviour: str | N
     cover = coverage.coverage_intervals(pressure, FILE, "ms", max_gap, HOUR)
     usable = coverage.trim_intervals(cover, 1000)
     chosen = events if behaviour is None else events.where(F.col("event") == behaviour)
-    windows = coverage.classify_windows(chosen, usable.withColumns({c: F.col(c) / 1000 for c in ("start_at", "end_at")}), FILE)
+    windows = coverage.classify_windows(chosen, usable, FILE, HOUR)
     covered = windows.where("status = 'fully_covered'")
 
     segments = signals.segmented(pressure.select(*FILE, "ms", "smoothedpressure"), FILE, "ms", "smoothedpressure", max_gap, HOUR)
     found = signals.detect_breaths(segments, FILE, "smoothedpressure")
-    # a breath may lie in several windows; both sides carry the file, and the window its bounds
-    inside = found.join(covered.select(*FILE, "window_id", "start_at", "end_at"), FILE).where(F.col("peak_ms").between(F.col("start_at") * 1000, F.col("end_at") * 1000))
+    # a breath may lie in several windows
+    inside = coverage.points_in_windows(found, covered.select(*FILE, "window_id", "start_at", "end_at"), FILE, "peak_ms")
     keys = [*FILE, "window_id"]
     extremes = inside.select(*keys, F.col("peak_ms").alias("ms"), F.col("peak_v").alias("v"), F.lit("peak").alias("kind")).unionByName(
         inside.select(*keys, F.col("shoulder_ms").alias("ms"), F.col("shoulder_v").alias("v"), F.lit("trough").alias("kind"))
@@ -39,7 +39,7 @@ def pressure_analysis(readings: DataFrame, events: DataFrame, behaviour: str | N
     extremes = durable(extremes)  # what follows looks at the breaths many times, and never at the readings again
     peaks = extremes.where("kind = 'peak'")
     periods = breaths.valid_periods(peaks, keys, "ms", min_peaks)
-    in_period = extremes.join(periods, keys).where(F.col("ms").between(F.col("start_at"), F.col("end_at")))
+    in_period = coverage.points_in_windows(extremes, periods, keys, "ms")
     in_period = durable(in_period)
     own = [*keys, "period_no"]
     cycles = breaths.cycles(in_period.select(*own, "ms", "v", "kind"), own, "ms", "v", HOUR)

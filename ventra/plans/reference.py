@@ -71,27 +71,24 @@ def analyzable_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "event_file")
-    n = lambda c: F.when(~F.isnan(c), F.col(c))
-    return e.select(
-        F.col("event_id").alias("window_id"), *FILE, "event", n("start_s").alias("start_at"), n("end_s").alias("end_at"), n("duration_s").alias("duration")
-    )
+    duration = F.when(~F.isnan("duration_s"), F.col("duration_s"))
+    return e.select(F.col("event_id").alias("window_id"), *FILE, "event", _ms("start_s").alias("start_at"), _ms("end_s").alias("end_at"), duration.alias("duration"))
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
-    seconds = coverage_intervals(spark, d).withColumns({c: F.col(c) / 1000 for c in ("start_at", "end_at")})
-    return coverage.classify_windows(_windows(spark, d), seconds, FILE)
+    return coverage.classify_windows(_windows(spark, d), coverage_intervals(spark, d), FILE, HOUR)
 
 
 _CLASS = (
     _COVER
     + """, w as (
-  select event_id window_id, recording_id, file_no, event, case when not isnan(start_s) then start_s end s, case when not isnan(end_s) then end_s end e,
+  select event_id window_id, recording_id, file_no, event, case when not isnan(start_s) then cast(round(start_s * 1000) as bigint) end s, case when not isnan(end_s) then cast(round(end_s * 1000) as bigint) end e,
     case when not isnan(duration_s) then duration_s end dur from event_file
 ), flags as (
-  select window_id, bool_or(c.start_at / 1000 <= s and e <= c.end_at / 1000) inside
-  from w join cover c using (recording_id, file_no) where e >= c.start_at / 1000 and s <= c.end_at / 1000 group by 1
+  select window_id, bool_or(c.start_at <= s and e <= c.end_at) inside
+  from w join cover c using (recording_id, file_no) where e >= c.start_at and s <= c.end_at group by 1
 ), classed as (
-  select w.*, case when s is null or e is null or dur is null or dur < 30 or s > e or s > 5400 or e > 5400 then 'filtered'
+  select w.*, case when s is null or e is null or dur is null or dur < 30 or s > e or s > 5400000 or e > 5400000 then 'filtered'
     when inside then 'fully_covered' when inside is not null then 'partially_covered' else 'unavailable' end status
   from w left join flags using (window_id)
 )"""
@@ -108,10 +105,10 @@ def coverage_counts(spark: SparkSession, d: str) -> DataFrame:
     return _classified(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_CLASS + " select window_id, event, round(s, 3) start_at, round(e, 3) end_at from classed where status = 'fully_covered'")
+@query(_CLASS + " select window_id, event, s start_at, e end_at from classed where status = 'fully_covered'")
 def selected_windows(spark: SparkSession, d: str) -> DataFrame:
     w = _classified(spark, d).where("status = 'fully_covered'")
-    return w.select("window_id", "event", F.round("start_at", 3).alias("start_at"), F.round("end_at", 3).alias("end_at"))
+    return w.select("window_id", "event", "start_at", "end_at")
 
 
 @query(
@@ -186,12 +183,12 @@ def numeric_coercion(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select event_id window_id, round(start_s - 8, 3) start_at, round(end_s - 8, 3) end_at, round(duration_s, 3) duration
+    """select event_id window_id, cast(round(start_s * 1000) as bigint) - 8000 start_at, cast(round(end_s * 1000) as bigint) - 8000 end_at, round(duration_s, 3) duration
     from event_file where not isnan(start_s) and not isnan(end_s) and not isnan(duration_s)"""
 )
 def adjusted_behaviours(spark: SparkSession, d: str) -> DataFrame:
-    w = align.shift_windows(_windows(spark, d), F.lit(-8.0)).where("start_at is not null and end_at is not null and duration is not null")
-    return w.select("window_id", *[F.round(c, 3).alias(c) for c in ("start_at", "end_at", "duration")])
+    w = align.shift_windows(_windows(spark, d), F.lit(-8000)).where("start_at is not null and end_at is not null and duration is not null")
+    return w.select("window_id", "start_at", "end_at", F.round("duration", 3).alias("duration"))
 
 
 _ASOF = f"""with {_valid_sql('temp', 'src')}, tgt as ({{tgt}}), b as (
@@ -429,7 +426,7 @@ def valid_periods(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def peaks_per_period(spark: SparkSession, d: str) -> DataFrame:
-    return breaths.peaks_per_period(_peaks(spark, d), _periods(spark, d), FILE, "ms")
+    return breaths.peaks_per_period(_peaks(spark, d), durable(_periods(spark, d)), FILE, "ms", HOUR)
 
 
 _TRACE = _PEAKS + """, tr as (select * from (select recording_id, file_no, ms, lead(ms) over (partition by recording_id, file_no order by ms) - ms as iv from peaks) where iv is not null)"""
@@ -661,8 +658,7 @@ def equal_counts(spark: SparkSession, d: str) -> DataFrame:
 def window_peak_counts(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.summaries import window_peak_counts as run
 
-    w = selected_windows(spark, d).select("window_id", (F.col("start_at") * 1000).alias("start_at"), (F.col("end_at") * 1000).alias("end_at"))
-    w = w.join(table(spark, d, "event_file").select(F.col("event_id").alias("window_id"), *FILE), "window_id")
+    w = _classified(spark, d).where("status = 'fully_covered'").select("window_id", *FILE, "start_at", "end_at")
     return run(w, peaks_per_period(spark, d).drop("per_minute"), FILE)
 
 
