@@ -216,7 +216,9 @@ def match_fields(profiled: DataFrame) -> DataFrame:
                 found.append(flood([(c.get("name") or "", c["kind"]) for c in json.loads(sig)], SCHEMAS[kind]))
             yield pdf.assign(fields=found)
 
-    schemas = signed.select("file_kind", "signature").distinct()
+    # layouts are few bytes but much work, so they are spread by number, not by size
+    n = int(profiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schemas = signed.select("file_kind", "signature").distinct().repartition(n, "signature")
     matched = schemas.mapInPandas(match, "file_kind string, signature string, fields array<string>")
     return signed.join(matched, ["file_kind", "signature"]).drop("signature")
 
