@@ -21,7 +21,7 @@ def whole_groups(batches: Iterator[pd.DataFrame], ids: list[str]) -> Iterator[pd
         new[0] = bool(held) and not _same(held[-1][ids].iloc[-1], pdf[ids].iloc[0])
         cut = np.flatnonzero(new)
         for a, b in zip(np.r_[0, cut], np.r_[cut, len(pdf)]):
-            if a in cut and held:
+            if held and new[a]:
                 yield pd.concat(held) if len(held) > 1 else held[0]
                 held = []
             if b > a:

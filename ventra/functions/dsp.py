@@ -48,11 +48,20 @@ def zero_phase(x: np.ndarray, cutoff: float, rate: float, high: bool = False) ->
     return _one_way(once[::-1], high, cutoff, rate)[::-1][n:-n]
 
 
+_FITS: dict[int, np.ndarray] = {}
+
+
+def _quadratic_fit(half: int) -> np.ndarray:
+    if half not in _FITS:
+        _FITS[half] = np.linalg.pinv(np.vander(np.arange(-half, half + 1), 3, increasing=True).astype(float))
+    return _FITS[half]
+
+
 def smooth(x: np.ndarray, derivative: bool = False, rate: float = 1.0, half: int = 17) -> np.ndarray:
     """Quadratic least-squares smoothing over 2·half+1 points, or its slope; ends from the end fits."""
     width = 2 * half + 1
     k = np.arange(-half, half + 1)
-    fit = np.linalg.pinv(np.vander(k, 3, increasing=True).astype(float))
+    fit = _quadratic_fit(half)
     taps = fit[1] * rate if derivative else fit[0]
     if len(x) < width:
         raise ValueError("the signal is shorter than the window")

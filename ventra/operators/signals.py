@@ -35,12 +35,21 @@ def per_segment(segments: DataFrame, keys: list[str], time: str, schema: str, ke
     ids = [*keys, "segment"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        n = 0
         for group in whole_groups(batches, ids):
             got = kernel(group.reset_index(drop=True))
-            if got is not None and len(got):
-                for c in ids:
-                    got[c] = group[c].iloc[0]
-                yield got
+            if got is None or not len(got):
+                continue
+            for c in ids:
+                got[c] = group[c].iloc[0]
+            held.append(got)
+            n += len(got)
+            if n >= 10_000:  # short segments leave the task together
+                yield pd.concat(held)
+                held, n = [], 0
+        if held:
+            yield pd.concat(held)
 
     kinds = dict(segments.dtypes)
     full = ", ".join(f"{c} {kinds[c]}" for c in ids) + ", " + schema

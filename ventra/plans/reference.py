@@ -502,7 +502,8 @@ def dynamic_bins(spark: SparkSession, d: str) -> DataFrame:
 def _segments(spark: SparkSession, d: str, signal: str = "smoothedpressure") -> DataFrame:
     from ..operators.signals import segmented
 
-    return segmented(valid(spark, d, signal), FILE, "ms", signal, 5000, HOUR)
+    elapsed = table(spark, d, "recording_files").where("clock_kind = 'elapsed'").select(*FILE)  # counters in seconds
+    return segmented(valid(spark, d, signal).join(elapsed, FILE, "left_semi"), FILE, "ms", signal, 5000, HOUR)
 
 
 @query()
@@ -512,7 +513,7 @@ def preprocessed_pressure(spark: SparkSession, d: str) -> DataFrame:
     return preprocess(_segments(spark, d), FILE, "smoothedpressure")
 
 
-_QUANTILES = _COVER.replace("step > 5000", "step > 5000 or floor(ms / 3600000.0) <> floor((ms - step) / 3600000.0)")
+_QUANTILES = _COVER.replace("from telemetry where smoothedpressure", "from telemetry join recording_files using (recording_id, file_no) where clock_kind = 'elapsed' and smoothedpressure").replace("step > 5000", "step > 5000 or floor(ms / 3600000.0) <> floor((ms - step) / 3600000.0)")
 
 
 @query(
