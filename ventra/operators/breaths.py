@@ -163,3 +163,15 @@ def trace_segments(trace: DataFrame, keys: list[str], time: str, width: int) ->
     rows = spine.join(stats, [*keys, "segment"], "left")
     start = F.col("lo") + F.col("segment") * width
     return rows.select(*keys, "segment", start.alias("start_at"), (start + width).alias("end_at"), F.coalesce("n_breaths", F.lit(0)).alias("n_breaths"), "drift_r2")
+
+
+def peak_summary(peaks: DataFrame, spans: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row per source of ``spans`` (keys, ``lo``, ``hi`` in ms): peaks, their mean height and interval, and peaks a minute.
+
+    ``peaks`` has ``interval`` (ms to the next, null for the last).  A source without peaks has
+    ``n_peaks`` 0 and nulls; one whose readings share one time has no rate.
+    """
+    sums = peaks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_height"), F.avg("interval").alias("mean_interval"))
+    n = F.coalesce("n", F.lit(0))
+    rate = F.when(n > 0, F.try_divide(n * 60_000.0, F.col("hi") - F.col("lo")))
+    return spans.join(sums, keys, "left").select(*keys, n.alias("n_peaks"), "mean_height", "mean_interval", rate.alias("per_minute"))

@@ -188,3 +188,8 @@ def spectrum_metrics(spectra: DataFrame, keys: list[str], band: float = 0.25) ->
 
     warning = F.concat_ws("; ", F.when(F.col("fmax") == 0, "peak at zero frequency"), F.when(F.col("fmax") > 0.8 * F.col("limit"), "peak near the Nyquist limit"))
     return curve.select(*keys, "fmax", "psd_max", area("c").alias("auc"), warning.alias("warnings"))
+
+
+def pooled_spectrum(spectra: DataFrame, by: list[str]) -> DataFrame:
+    """Mean density per frequency over all segments of each ``by`` (none: over all), with their number."""
+    return spectra.groupBy(*by, "k").agg(F.min("frequency").alias("frequency"), F.avg("density").alias("density"), F.count(F.lit(1)).alias("n_segments"))

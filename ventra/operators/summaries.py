@@ -68,3 +68,19 @@ def lowpass_sweep(segments: DataFrame, keys: list[str], value: str, shares: tupl
         return pd.DataFrame({"ms": ms, "raw": x, **{n: dsp.zero_phase(x, s, 1.0) for n, s in zip(names, shares)}})
 
     return per_segment(segments, keys, "ms", "ms bigint, raw double, " + ", ".join(f"{n} double" for n in names), kernel)
+
+
+def label_lists(events: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """The sorted different labels of each source; nulls are left out.  Labels are made different
+    before they are listed, so a list is as long as the vocabulary, not as the source."""
+    distinct = events.where(F.col(label).isNotNull()).select(*keys, label).distinct()
+    return distinct.groupBy(*keys).agg(F.sort_array(F.collect_list(label)).alias("labels"))
+
+
+def missing_columns(headers: DataFrame, keys: list[str], header: str, required: tuple[str, ...]) -> DataFrame:
+    """A row for each required column that a header line, in any of its delimiters, doesn't name.
+
+    Case, blanks and quotes don't matter; a null header names nothing.
+    """
+    names = F.transform(F.split(F.lower(F.coalesce(header, F.lit(""))), "[,;\\t]"), lambda x: F.regexp_replace(x, '^[\\s"\\uFEFF]+|[\\s"]+$', ""))
+    return headers.select(*keys, F.explode(F.array_except(F.array(*[F.lit(r) for r in required]), names)).alias("column_name"))

@@ -680,3 +680,110 @@ def lowpass_sweep(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.summaries import lowpass_sweep as run
 
     return run(_segments(spark, d), FILE, "smoothedpressure")
+
+
+_SLOPE = [k / 3570 for k in range(-17, 18)]
+
+
+@query(
+    _QUANTILES
+    + ", s as (select recording_id, file_no, ms, "
+    + " + ".join(f"({w!r}) * " + (f"lead(smoothedpressure, {k}) over w" if k > 0 else f"lag(smoothedpressure, {-k}) over w" if k < 0 else "smoothedpressure") for k, w in zip(range(-17, 18), _SLOPE))
+    + " y, row_number() over w r, count(*) over (partition by recording_id, file_no, island) n from islands window w as (partition by recording_id, file_no, island order by ms))"
+    + " select recording_id, file_no, ms, round(y, 6) slope from s where r > 17 and r <= n - 17"
+)
+def savgol_slope(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.signals import dsp, np, pd, per_segment
+
+    def kernel(g: pd.DataFrame) -> pd.DataFrame | None:
+        if len(g) < 35:
+            return None
+        slope = dsp.smooth(g["smoothedpressure"].to_numpy(float), derivative=True)
+        return pd.DataFrame({"ms": g["ms"], "slope": slope}).iloc[17 : len(g) - 17].copy()
+
+    s = per_segment(_segments(spark, d), FILE, "ms", "ms bigint, slope double", kernel)
+    return s.select(*FILE, "ms", F.round("slope", 6).alias("slope"))
+
+
+def _telemetry_lines(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "raw_files").where("file_kind = 'telemetry'").select("file_id")
+    lines = table(spark, d, "raw_lines").where("length(trim(line_text)) > 0").join(files, "file_id", "left_semi")
+    return lines.select(F.col("file_id").alias("file_path"), "line_no", F.col("line_text").alias("line"))
+
+
+_TELEMETRY_LINES = """with l as (
+  select file_id, line_no, line_text from raw_lines
+  where file_id in (select file_id from raw_files where file_kind = 'telemetry') and length(trim(line_text)) > 0
+)"""
+
+
+@query(_TELEMETRY_LINES + " select file_id, coalesce(min(case when lower(ltrim(line_text)) like 'time%' then line_no end), 0) head from l group by 1")
+def header_rows(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.files import header_lines
+
+    return header_lines(_telemetry_lines(spark, d)).withColumnRenamed("file_path", "file_id")
+
+
+@query(
+    _TELEMETRY_LINES
+    + r""", c as (
+      select file_id, line_no, regexp_extract(line_text, '^\s*#\s*Col\s+(\d+):', 1) col, lower(trim(split_part(line_text, ',', 2))) name,
+        trim(regexp_extract(split_part(line_text, ',', 5), ':\s*(.*)$', 1)) rate from l
+    ), named as (
+      select *, case when name in ('temp', 'temperature') then 'temp' when name = 'pressure' then 'pressure'
+        when name in ('activity', 'act') then 'activity' when name = 'apr' then 'atm' end signal from c where col <> ''
+    ), first as (
+      select file_id, signal, arg_min(col, line_no) col, arg_min(rate, line_no) rate from named where signal is not null group by 1, 2
+    ) select file_id, cast(col as int) "position", signal,
+      case when regexp_full_match(rate, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') then try_cast(rate as double) end rate_hz from first"""
+)
+def channel_map(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.files import channels
+
+    return channels(_telemetry_lines(spark, d)).withColumnRenamed("file_path", "file_id")
+
+
+CONFIG_COLUMNS = ("telemetry_file", "event_file", "behaviour", "video_time", "bin_size", "probe_time")
+
+
+@query(
+    f"""select file_id, column_name from (
+      select file_id, list_transform(string_split_regex(lower(coalesce(line_text, '')), '[,;\\t]'), lambda x: trim(x, ' "' || chr(65279) || chr(13))) names
+      from raw_lines join raw_files using (file_id) where file_kind = 'config' and line_no = 1
+    ), (select unnest({list(CONFIG_COLUMNS)}) column_name) where not list_contains(names, column_name)"""
+)
+def missing_columns(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.summaries import missing_columns as run
+
+    files = table(spark, d, "raw_files").where("file_kind = 'config'").select("file_id")
+    heads = table(spark, d, "raw_lines").where("line_no = 1").select("file_id", "line_text").join(files, "file_id")
+    return run(heads, ["file_id"], "line_text", CONFIG_COLUMNS)
+
+
+@query("select recording_id, file_no, string_agg(event, '|' order by event) labels from (select distinct recording_id, file_no, event from event_file where event is not null) group by 1, 2")
+def label_lists(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.summaries import label_lists as run
+
+    return run(table(spark, d, "event_file"), FILE, "event").select(*FILE, F.array_join("labels", "|").alias("labels"))
+
+
+@query(
+    _PEAKS
+    + """, i as (select *, lead(ms) over (partition by recording_id, file_no order by ms) - ms step from peaks),
+    s as (select recording_id, file_no, count(*) n, avg(smoothedpressure) h, avg(step) i from i group by 1, 2),
+    sp as (select recording_id, file_no, min(ms) lo, max(ms) hi from v group by 1, 2)
+    select recording_id, file_no, coalesce(n, 0) n_peaks, round(h, 6) mean_height, round(i, 4) mean_interval,
+      round(case when n > 0 and hi > lo then n * 60000.0 / (hi - lo) end, 6) per_minute from sp left join s using (recording_id, file_no)"""
+)
+def peak_summary(spark: SparkSession, d: str) -> DataFrame:
+    peaks = breaths.peak_intervals(_peaks(spark, d), FILE, "ms", HOUR)
+    spans = valid(spark, d, "smoothedpressure").groupBy(*FILE).agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
+    s = breaths.peak_summary(peaks, spans, FILE, "smoothedpressure")
+    return s.select(*FILE, "n_peaks", F.round("mean_height", 6).alias("mean_height"), F.round("mean_interval", 4).alias("mean_interval"), F.round("per_minute", 6).alias("per_minute"))
+
+
+@query()
+def pooled_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.signals import pooled_spectrum as run
+
+    return run(_spectra(spark, d), [])
