@@ -134,3 +134,23 @@ def test_points_in_windows(spark):
     got = coverage.points_in_windows(df_of(spark, points, "k string, t long"), df_of(spark, wins, "k string, w long, start_at long, end_at long"), ["k"], "t", 17)
     want = sorted((k, t, w) for k, t in points for kk, w, s, e in wins if k == kk and s <= t <= e)
     assert sorted((r.k, r.t, r.w) for r in got.collect()) == want
+
+
+def test_pooled_spectrum_and_missing_columns(spark):
+    from ventra.operators import signals, summaries
+
+    s = spark.createDataFrame([("a", 0, 0.0, 1.0), ("b", 0, 0.0, 3.0), ("a", 1, 0.5, 2.0)], "k_ string, k int, frequency double, density double")
+    assert sorted(map(tuple, signals.pooled_spectrum(s, []).collect())) == [(0, 0.0, 2.0, 2), (1, 0.5, 2.0, 1)]
+    assert signals.pooled_spectrum(s.limit(0), ["k_"]).count() == 0
+    heads = spark.createDataFrame([(1, '﻿"A" ;b', 0), (2, None, 0), (3, "a,B,c", 0)], "id int, h string, column_name_ int")
+    assert sorted(map(tuple, summaries.missing_columns(heads, ["id"], "h", ("a", "b")).collect())) == [(2, "a"), (2, "b")]
+
+
+def test_peak_summary_edges(spark):
+    from ventra.operators import breaths
+
+    peaks = spark.createDataFrame([("a", 1.0, 500), ("a", 3.0, None), ("c", 2.0, None)], "k string, v double, interval long")
+    spans = spark.createDataFrame([("a", 0, 60_000), ("b", 0, 10), ("c", 5, 5)], "k string, lo long, hi long")
+    got = {r.k: tuple(r)[1:] for r in breaths.peak_summary(peaks, spans, ["k"], "v").collect()}
+    assert got == {"a": (2, 2.0, 500.0, 2.0), "b": (0, None, None, None), "c": (1, 2.0, None, None)}
+    assert breaths.peak_summary(peaks.limit(0), spans.limit(0), ["k"], "v").count() == 0
