@@ -154,3 +154,19 @@ def test_peak_summary_edges(spark):
     got = {r.k: tuple(r)[1:] for r in breaths.peak_summary(peaks, spans, ["k"], "v").collect()}
     assert got == {"a": (2, 2.0, 500.0, 2.0), "b": (0, None, None, None), "c": (1, 2.0, None, None)}
     assert breaths.peak_summary(peaks.limit(0), spans.limit(0), ["k"], "v").count() == 0
+
+
+def test_segments_are_whole_stretches(spark):
+    from ventra.operators import signals
+
+    # one stretch over three multiples of the block, a gap, and a second stretch
+    times = [*range(-3000, 4000, 10), *range(9000, 9300, 10)]
+    x = {t: np.sin(t / 70) + (6 if t in (0, 1000) else 0) for t in times}
+    d = df_of(spark, [("r", t, float(v)) for t, v in x.items()], "k string, ms long, v double")
+    segs = signals.segmented(d, ["k"], "ms", "v", 50, 1000)
+    assert {(r.segment, r.n) for r in segs.groupBy("segment").agg(F.count("*").alias("n")).collect()} == {(-3000, 700), (9000, 30)}
+    got = signals.transient_peaks(segs, ["k"], "v", prominence=5.0).orderBy("peak_ms").collect()
+    assert [(r.segment, r.peak_ms, r.peak_no, r.interval_ms) for r in got[:1]] == [(-3000, 0, 1, 1000.0)] and [r.peak_ms for r in got] == [0, 1000]
+    clean = {r.ms: r.lowpass for r in signals.preprocess(segs, ["k"], "v", margin=100).where("segment = -3000").collect()}
+    want = dsp.zero_phase(np.array([x[t] for t in times[:700]]), 20.0, 100.0)
+    assert all(clean[t] == pytest.approx(w) for t, w in list(zip(times, want))[20:-20])

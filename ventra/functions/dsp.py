@@ -83,14 +83,33 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
     return (starts[peak] + ends[peak]) // 2
 
 
+def _reach(x: np.ndarray, p: int) -> tuple[int, int]:
+    """First and last index around ``p`` with nothing higher between; looked for in ever larger steps."""
+    a, b = p, p
+    step = 64
+    while a > 0:
+        lo = max(0, a - step)
+        higher = np.flatnonzero(x[lo:a] > x[p])
+        if len(higher):
+            a = lo + int(higher[-1]) + 1
+            break
+        a, step = lo, 2 * step
+    step = 64
+    while b < len(x) - 1:
+        hi = min(len(x) - 1, b + step)
+        higher = np.flatnonzero(x[b + 1 : hi + 1] > x[p])
+        if len(higher):
+            b += int(higher[0])
+            break
+        b, step = hi, 2 * step
+    return a, b
+
+
 def prominences(x: np.ndarray, peaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prominence of each peak with the bases to its left and right."""
     out, left, right = np.empty(len(peaks)), np.empty(len(peaks), int), np.empty(len(peaks), int)
     for i, p in enumerate(peaks):
-        higher = np.flatnonzero(x[:p] > x[p])
-        a = higher[-1] + 1 if len(higher) else 0
-        higher = np.flatnonzero(x[p + 1 :] > x[p])
-        b = p + higher[0] if len(higher) else len(x) - 1
+        a, b = _reach(x, p)
         low = x[a : p + 1]
         left[i] = a + len(low) - 1 - int(np.argmin(low[::-1]))
         right[i] = p + int(np.argmin(x[p : b + 1]))
@@ -102,11 +121,11 @@ def find_peaks(x: np.ndarray, prominence: float, distance: int = 1) -> np.ndarra
     """Local maxima, thinned to ``distance`` with the highest kept, then by prominence."""
     p = local_maxima(x)
     keep = np.ones(len(p), bool)
-    for i in np.argsort(x[p], kind="stable")[::-1]:
+    for i in np.argsort(x[p], kind="stable")[::-1] if distance > 1 else ():
         if keep[i]:
-            near = np.abs(p - p[i]) < distance
-            near[i] = False
-            keep[near] = False
+            a, b = np.searchsorted(p, [p[i] - distance + 1, p[i] + distance])
+            keep[a:b] = False
+            keep[i] = True
     p = p[keep]
     return p[prominences(x, p)[0] >= prominence]
 

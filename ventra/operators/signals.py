@@ -1,8 +1,8 @@
 """Filtered pressure, breaths, photometry peaks and interval spectra per source and segment.
 
 The kernels need a segment in order, so they run in tasks that read sorted rows and hold one
-segment at a time.  A segment is a stretch without gaps, cut at multiples of ``block`` on the time
-axis, which bounds what a task holds; readings around a cut are treated like those at its ends.
+segment at a time.  A segment is a whole stretch without gaps: how far a prominence, a breath's onset or
+a filter reaches hangs on the readings, so no fixed piece of a stretch would do.
 """
 
 from __future__ import annotations
@@ -19,15 +19,29 @@ from ..functions.batches import whole_groups
 from .neighbours import with_neighbour, with_neighbours
 
 
-def segmented(readings: DataFrame, keys: list[str], time: str, value: str, max_gap: int, block: int) -> DataFrame:
-    """Adds ``segment``: the first time of the stretch without gaps that a reading lies in; stretches are
-    cut at multiples of ``block``, so that one source spreads over tasks."""
+def segmented(readings: DataFrame, keys: list[str], time: str, value: str, max_gap: int, block: int, cut: bool = False) -> DataFrame:
+    """Adds ``segment``: the first time of the stretch without gaps that a reading lies in.
+
+    Stretches are found in pieces of ``block`` on the time axis, and one row per piece carries the open
+    stretch on to the next.  With ``cut`` they also end at each multiple of ``block``.
+    """
     near = with_neighbour(readings, keys, time, [time], block)
     piece = F.floor(F.col(time) / block)
-    opens = F.col("__near").isNull() | (F.col(time) - F.col(f"__near.{time}") > max_gap) | (F.floor(F.col(f"__near.{time}") / block) != piece)
+    opens = F.col("__near").isNull() | (F.col(time) - F.col(f"__near.{time}") > max_gap)
+    if cut:
+        opens = opens | (F.floor(F.col(f"__near.{time}") / block) != piece)
     within = Window.partitionBy(*keys, "__piece").orderBy(time)
     rows = near.withColumns({"__piece": piece, "__open": F.when(opens, F.col(time))})
-    return rows.withColumn("segment", F.last("__open", True).over(within)).select(*keys, "segment", time, value)
+    rows = rows.withColumn("segment", F.last("__open", True).over(within))
+    if not cut:
+        before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+        last = rows.groupBy(*keys, "__piece").agg(F.max("__open").alias("__last"))
+        last = last.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__piece").alias("__p"), F.last("__last", True).over(before).alias("__before"))
+        same = F.col("__piece") == F.col("__p")
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        rows = rows.join(last, same).withColumn("segment", F.coalesce("segment", "__before"))
+    return rows.select(*keys, "segment", time, value)
 
 
 def per_segment(segments: DataFrame, keys: list[str], time: str, schema: str, kernel: Callable[[pd.DataFrame], pd.DataFrame | None]) -> DataFrame:

@@ -499,11 +499,11 @@ def dynamic_bins(spark: SparkSession, d: str) -> DataFrame:
     return n.select(*FILE, F.least("n", F.floor(F.lit(600) * F.log(1 + F.col("n") * 5 / F.lit(1200.0)))).alias("n_bins"))
 
 
-def _segments(spark: SparkSession, d: str, signal: str = "smoothedpressure") -> DataFrame:
+def _segments(spark: SparkSession, d: str, signal: str = "smoothedpressure", cut: bool = False) -> DataFrame:
     from ..operators.signals import segmented
 
     elapsed = table(spark, d, "recording_files").where("clock_kind = 'elapsed'").select(*FILE)  # counters in seconds
-    return segmented(valid(spark, d, signal).join(elapsed, FILE, "left_semi"), FILE, "ms", signal, 5000, HOUR)
+    return segmented(valid(spark, d, signal).join(elapsed, FILE, "left_semi"), FILE, "ms", signal, 5000, HOUR, cut)
 
 
 @query()
@@ -526,7 +526,7 @@ _QUANTILES = _COVER.replace("from telemetry where smoothedpressure", "from telem
 def rolling_quantile(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.signals import rolling_quantiles
 
-    q = rolling_quantiles(_segments(spark, d), FILE, "smoothedpressure", 15)
+    q = rolling_quantiles(_segments(spark, d, cut=True), FILE, "smoothedpressure", 15)
     return q.select(*FILE, "ms", F.round("upper", 6).alias("upper"), F.round("lower", 6).alias("lower"))
 
 
@@ -548,7 +548,7 @@ def savgol_smooth(spark: SparkSession, d: str) -> DataFrame:
             return None
         return pd.DataFrame({"ms": g["ms"], "smoothed": dsp.smooth(g["smoothedpressure"].to_numpy(float))}).iloc[17 : len(g) - 17].copy()
 
-    s = per_segment(_segments(spark, d), FILE, "ms", "ms bigint, smoothed double", kernel)
+    s = per_segment(_segments(spark, d, cut=True), FILE, "ms", "ms bigint, smoothed double", kernel)
     return s.select(*FILE, "ms", F.round("smoothed", 6).alias("smoothed"))
 
 
@@ -701,7 +701,7 @@ def savgol_slope(spark: SparkSession, d: str) -> DataFrame:
         slope = dsp.smooth(g["smoothedpressure"].to_numpy(float), derivative=True)
         return pd.DataFrame({"ms": g["ms"], "slope": slope}).iloc[17 : len(g) - 17].copy()
 
-    s = per_segment(_segments(spark, d), FILE, "ms", "ms bigint, slope double", kernel)
+    s = per_segment(_segments(spark, d, cut=True), FILE, "ms", "ms bigint, slope double", kernel)
     return s.select(*FILE, "ms", F.round("slope", 6).alias("slope"))
 
 
