@@ -170,3 +170,20 @@ def test_segments_are_whole_stretches(spark):
     clean = {r.ms: r.lowpass for r in signals.preprocess(segs, ["k"], "v", margin=100).where("segment = -3000").collect()}
     want = dsp.zero_phase(np.array([x[t] for t in times[:700]]), 20.0, 100.0)
     assert all(clean[t] == pytest.approx(w) for t, w in list(zip(times, want))[20:-20])
+
+
+def test_wall_clock_files_are_kept_in_time_since_start(spark, tmp_path):
+    from datetime import datetime
+
+    from ventra.plans import reference
+
+    start = datetime(2024, 3, 31, 0, 59, 0)  # a minute before Berlin's clocks go forward
+    files = [("e", 1, "Europe/Berlin", "elapsed", "s", 1.0, start), ("w", 1, "Europe/Berlin", "wall", "min", 60.0, start)]
+    df_of(spark, files, "recording_id string, file_no int, tz string, clock_kind string, time_unit string, interval_s double, device_start_utc timestamp").write.parquet(str(tmp_path / "recording_files.parquet"))
+    rows = [("e", 0.0, 1), ("e", 1.5, 2), ("w", 0.0, 3), ("w", 61.0, 4), ("w", 62.0, 5), ("w", None, 6)]
+    lines = [(i, r, 1, i, t, 20.0, 36.0 + i % 2) for r, t, i in rows]
+    df_of(spark, lines, "row_id long, recording_id string, file_no int, line_no int, timesincereference double, smoothedpressure double, temp double").write.parquet(str(tmp_path / "telemetry.parquet"))
+    d = str(tmp_path)
+    got = sorted((r.recording_id, r.ms) for r in reference.readings_since_start(spark, d).collect())
+    assert got == [("e", 0), ("e", 1500), ("w", 0), ("w", 60_000), ("w", 120_000)]
+    assert {(r.recording_id, r.ms) for r in reference.preprocessed_pressure(spark, d).collect()} == set(got)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align, asof, bins, breaths, coverage
+from ..operators.instants import micros, wall_clock_instants
 from ..operators.neighbours import with_rank
 from ..session import durable, table
 
@@ -37,9 +38,20 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("ms", _ms("timesincereference"))
 
 
-def valid(spark: SparkSession, d: str, signal: str) -> DataFrame:
+def readings_since_start(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of all files with ``ms`` since the start of the device; wall-clock counters by their instants."""
+    files = table(spark, d, "recording_files")
+    wall = files.where("clock_kind = 'wall'").dropDuplicates(FILE)
+    r = readings(spark, d)
+    lines = r.select(*FILE, "line_no", "row_id", "timesincereference").join(wall.select(*FILE), FILE, "left_semi")
+    ms = F.round((F.col("utc_us") - micros("device_start_utc")) / 1000).cast("bigint")
+    at = wall_clock_instants(lines, wall).join(wall.select(*FILE, "device_start_utc"), FILE).select(*FILE, "row_id", ms.alias("ms"))
+    return r.join(wall.select(*FILE), FILE, "left_anti").unionByName(r.drop("ms").join(at, [*FILE, "row_id"]))
+
+
+def valid(spark: SparkSession, d: str, signal: str, since_start: bool = False) -> DataFrame:
     """Readings of a signal, one per time: the first valid one in the order of lines."""
-    r = readings(spark, d).where(align.present(signal).isNotNull())
+    r = (readings_since_start if since_start else readings)(spark, d).where(align.present(signal).isNotNull())
     return align.first_valid(r, FILE, "ms", "line_no", [signal]).drop("n_lines")
 
 
@@ -322,12 +334,12 @@ _EXTREMES = f"""with {_valid_sql('smoothedpressure')}, n as (
 ), e as (select * from ext where kind is not null)"""
 
 
-def _extremes(spark: SparkSession, d: str) -> DataFrame:
-    return durable(breaths.local_extremes(valid(spark, d, "smoothedpressure"), FILE, "ms", "smoothedpressure", HOUR))
+def _extremes(spark: SparkSession, d: str, since_start: bool = False) -> DataFrame:
+    return durable(breaths.local_extremes(valid(spark, d, "smoothedpressure", since_start), FILE, "ms", "smoothedpressure", HOUR))
 
 
-def _peaks(spark: SparkSession, d: str) -> DataFrame:
-    return _extremes(spark, d).where("kind = 'peak' and smoothedpressure > 0").drop("kind")
+def _peaks(spark: SparkSession, d: str, since_start: bool = False) -> DataFrame:
+    return _extremes(spark, d, since_start).where("kind = 'peak' and smoothedpressure > 0").drop("kind")
 
 
 _PEAKS = _EXTREMES + ", peaks as (select recording_id, file_no, ms, smoothedpressure from e where kind = 'peak' and smoothedpressure > 0)"
@@ -502,8 +514,11 @@ def dynamic_bins(spark: SparkSession, d: str) -> DataFrame:
 def _segments(spark: SparkSession, d: str, signal: str = "smoothedpressure", cut: bool = False) -> DataFrame:
     from ..operators.signals import segmented
 
+    if not cut:
+        return segmented(valid(spark, d, signal, since_start=True), FILE, "ms", signal, 5000, HOUR)
+    # as in the SQL twins
     elapsed = table(spark, d, "recording_files").where("clock_kind = 'elapsed'").select(*FILE)  # counters in seconds
-    return segmented(valid(spark, d, signal).join(elapsed, FILE, "left_semi"), FILE, "ms", signal, 5000, HOUR, cut)
+    return segmented(valid(spark, d, signal).join(elapsed, FILE, "left_semi"), FILE, "ms", signal, 5000, HOUR, cut=True)
 
 
 @query()
@@ -569,9 +584,7 @@ def transient_peaks(spark: SparkSession, d: str) -> DataFrame:
 def _spectra(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.signals import interval_spectra
 
-    elapsed = table(spark, d, "recording_files").where("clock_kind = 'elapsed'").select(*FILE)
-    trace = breaths.interval_trace(_peaks(spark, d), FILE, "ms", HOUR).join(elapsed, FILE, "left_semi")
-    return interval_spectra(durable(trace), FILE)
+    return interval_spectra(durable(breaths.interval_trace(_peaks(spark, d, since_start=True), FILE, "ms", HOUR)), FILE)
 
 
 @query()
@@ -589,9 +602,8 @@ def spectrum_metrics(spark: SparkSession, d: str) -> DataFrame:
 def _analysis(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     from .pipelines import pressure_analysis
 
-    r = readings(spark, d).select(*FILE, "ms", "line_no", "smoothedpressure", "temp", "activity", "atmpressure").where("ms is not null")
-    elapsed = table(spark, d, "recording_files").where("clock_kind = 'elapsed'").select(*FILE)
-    return pressure_analysis(r.join(elapsed, FILE, "left_semi"), _windows(spark, d), min_peaks=5)
+    r = readings_since_start(spark, d).select(*FILE, "ms", "line_no", "smoothedpressure", "temp", "activity", "atmpressure").where("ms is not null")
+    return pressure_analysis(r, _windows(spark, d), min_peaks=5)
 
 
 @query()
