@@ -193,3 +193,34 @@ def test_labels_and_repairs():
     assert language.repaired("Knöpfe".encode().decode("cp1252")) == "Knöpfe"
     assert language.repaired("Вернись сюда".encode("koi8-r").decode("latin-1")) == "Вернись сюда"
     assert language.repaired("déjà vendu") == "déjà vendu"
+
+
+def test_cut_pays_with_neutral_cues_inside():
+    """Two cues speak up for the other language and one between them hardly does."""
+    own, other, faint = [0.0, -9.0], [-9.0, 0.0], [-0.5, 0.0]
+    x = np.array([own] * 5 + [other, faint, other] + [own] * 5)
+    assert language.segments(x, np.ones(len(x), bool)) == [(0, 0), (5, 1), (8, 0)]
+    x = np.array([own] * 5 + [other, faint, faint])
+    assert language.segments(x, np.ones(len(x), bool)) == [(0, 0), (5, 1)]
+
+
+def test_early_exit_hides_no_cut():
+    """Against all ways to cut, by plain enumeration."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        x = -rng.choice([0.0, 0.5, 3.0, 9.0], (8, 3), p=[0.4, 0.3, 0.2, 0.1])
+        loss = np.minimum(x.max(axis=1, keepdims=True) - x, language.CAP)
+        least = np.inf
+        for k in range(3):
+            for cuts in itertools.combinations(range(3, 6), k):
+                ends = [0, *cuts, 8]
+                if min(np.diff(ends)) < language.LEAST_RUN:
+                    continue
+                for langs in itertools.product(range(3), repeat=k + 1):
+                    cost = k * language.SWITCH + sum(loss[a:b, w].sum() for a, b, w in zip(ends, ends[1:], langs))
+                    least = min(least, cost)
+        got = language.segments(x, np.ones(8, bool))
+        ends = [*[p[0] for p in got], 8]
+        assert (len(got) - 1) * language.SWITCH + sum(loss[a:b, w].sum() for a, b, (_, w) in zip(ends, ends[1:], got)) == pytest.approx(least)

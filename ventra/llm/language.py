@@ -182,9 +182,13 @@ def segments(scores: np.ndarray, filled: np.ndarray) -> list[tuple[int, int]]:
     total = loss.sum(axis=0)
     # a cue with words counts with those without that follow it, the first also with those before it
     weight = np.diff(np.r_[0, at[1:], len(filled)])
-    # no cut pays unless cues enough for a stretch say something else
     best = int(total.argmin())
-    if len(filled) < 2 * LEAST_RUN or k < 2 or weight[loss[:, best] > 1].sum() < LEAST_RUN:
+    if len(filled) < 2 * LEAST_RUN or k < 2 or total[best] <= SWITCH:
+        return [(0, best)]
+    # what a run of cues can save in another language, at most.  A cut with f stretches not in the best
+    # language has f changes, or f - 1 of at least one if no stretch is in it: no more than f / 2 pay
+    saved = np.cumsum(np.vstack([np.zeros(k), loss[:, [best]] - loss]), axis=0)
+    if (saved - np.minimum.accumulate(saved, axis=0)).max() <= SWITCH / 2:
         return [(0, best)]
     # cost[d][l]: in language l for d+1 cues so far; the last d stands for LEAST_RUN or more
     top = LEAST_RUN - 1
