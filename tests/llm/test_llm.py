@@ -224,3 +224,17 @@ def test_early_exit_hides_no_cut():
         got = language.segments(x, np.ones(8, bool))
         ends = [*[p[0] for p in got], 8]
         assert (len(got) - 1) * language.SWITCH + sum(loss[a:b, w].sum() for a, b, (_, w) in zip(ends, ends[1:], got)) == pytest.approx(least)
+
+
+def test_rare_language_is_kept_if_its_documents_confirm_it(spark):
+    rng = random.Random(8)
+    english = "the and you that was for are with his they this have from one had word but not what all were when your can said".split()
+    finnish = "ja on ei se että hän olen minä sinä mutta niin kuin mitä tämä kun nyt vain hyvä kiitos tule".split()
+    text = lambda words: " ".join(rng.choices(words, k=30))
+    data = [(i, text(english), "en") for i in range(2500)] + [(3000 + i, text(finnish), "fi") for i in range(6)]
+    data += [(4000 + i, text(english), "cs") for i in range(6)] + [(5000 + i, text(finnish), "qq") for i in range(6)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language.fit_languages(docs)
+    assert model.languages == ["en", "fi"]
+    got = {r.doc_id: r.lang for r in language.label_languages(docs.where("doc_id >= 3000"), model).collect()}
+    assert all(v == ("en" if 4000 <= k < 5000 else "fi") for k, v in got.items()) and len(got) == 18

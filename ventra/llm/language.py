@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
@@ -269,17 +269,54 @@ def _word_counts(sample: DataFrame, fitted: Model | None) -> dict[str, Counter]:
 
 SAMPLE = 600  # documents per language the model is fitted on
 WORDS_PER_LANGUAGE = 40_000  # most frequent words that the model keeps
-LEAST_SHARE = 0.004  # of labelled documents that a language needs to be one of the corpus
+LEAST = 3  # labelled documents that a language needs
+LEAST_SHARE = 0.004  # of labelled documents; a language with less must be confirmed by its own documents
+#: ISO 639-1.
+ISO = frozenset(
+    "aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy ga gd gl gn gu gv "
+    "ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my "
+    "na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg sh si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to "
+    "tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu".split()
+)
+
+
+def _confirmed(sample: DataFrame, rare: list[str]) -> set[str]:
+    """Those of ``rare`` that at least half of their documents are in, as found by a model fitted on the other
+    half of the sample; at least two documents must be."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("doc_id"))  # of a label's sample, which is bounded
+    halves = durable(sample.withColumn("half", place % 2))
+    schema = "label string, own bigint, n bigint"
+    votes: dict[str, list[int]] = {}
+    for half in (0, 1):
+        fitted = halves.where(F.col("half") != half).drop("half")
+        model = Model(_word_counts(fitted, None))
+        model = Model(_word_counts(fitted, model))
+        sent = sample.sparkSession.sparkContext.broadcast(model.state())
+
+        def vote(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            m = Model.of(sent.value)
+            for batch in batches:
+                rows = []
+                for (_, cues), label in zip(_documents(batch), batch["label"]):
+                    if any(cues):
+                        rows.append((label, int(m.languages[m.cue_scores(cues).sum(axis=0).argmax()] == label), 1))
+                yield pd.DataFrame(rows, columns=["label", "own", "n"])
+
+        test = halves.where((F.col("half") == half) & F.col("label").isin(rare)).drop("half")
+        for r in test.mapInPandas(vote, schema).groupBy("label").agg(F.sum("own").alias("own"), F.sum("n").alias("n")).collect():
+            v = votes.setdefault(r.label, [0, 0])
+            v[0], v[1] = v[0] + r.own, v[1] + r.n
+    return {k for k, (own, n) in votes.items() if own >= 2 and 2 * own >= n}
 
 
 def fit_languages(documents: DataFrame, per_language: int = SAMPLE) -> Model:
     """A model from a bounded sample: about ``per_language`` documents of each label, chosen by a hash
-    of their id.  Labels may be wrong: the model is fitted again on the cues in which it agrees
+    of their id.  A rare label is a language if documents of it, held out, confirm it.  Labels may be wrong: the model is fitted again on the cues in which it agrees
     with the label.  What reaches the driver are the sample's word counts."""
     codes = _labelled(documents).where("label is not null")
-    n = {r.label: r["count"] for r in codes.groupBy("label").count().collect() if re.fullmatch("[a-z]{2}", r.label)}
-    least = max(3, LEAST_SHARE * sum(n.values()))
-    n = {k: v for k, v in n.items() if v >= least}
+    n = {r.label: r["count"] for r in codes.groupBy("label").count().collect() if r.label in ISO}
+    n = {k: v for k, v in n.items() if v >= LEAST}
+    rare = [k for k, v in n.items() if v < LEAST_SHARE * sum(n.values())]
     if not n:
         return Model({"en": Counter({"the": 2})})
     share = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, per_language / v)))])
@@ -287,6 +324,9 @@ def fit_languages(documents: DataFrame, per_language: int = SAMPLE) -> Model:
     sample = documents.select("doc_id", "text", code("lang").alias("label"))
     sample = sample.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("label")] * 1_000_000)
     sample = durable(sample)  # read three times
+    if rare:
+        refused = set(rare) - _confirmed(sample, rare)
+        sample = sample.where(~F.col("label").isin(list(refused))) if refused else sample
     model = Model(_word_counts(sample, None))
     for _ in range(2):
         model = Model(_word_counts(sample, model))
