@@ -52,7 +52,8 @@ def readings_since_start(spark: SparkSession, d: str) -> DataFrame:
 def valid(spark: SparkSession, d: str, signal: str, since_start: bool = False) -> DataFrame:
     """Readings of a signal, one per time: the first valid one in the order of lines."""
     r = (readings_since_start if since_start else readings)(spark, d).where(align.present(signal).isNotNull())
-    return align.first_valid(r, FILE, "ms", "line_no", [signal]).drop("n_lines")
+    found = align.first_valid(r, FILE, "ms", "line_no", [signal]).drop("n_lines")
+    return durable(found) if since_start else found  # the instants are not to be found again for each use
 
 
 def _valid_sql(signal: str, name: str = "v") -> str:
