@@ -25,15 +25,41 @@ def _distance(a, b):
 
 def test_canonical_values(spark):
     ref = spark.createDataFrame([(1, "sleep", 0), (2, "quiet wake", 0), (4, "rearing supported", 0), (5, "rearing unsupported", 0), (9, "digging", 0), (9, "digging", 0), (7, None, 0)], "id int, label string, value int")
-    want = {"Sleep  ": 1, "slepe": 1, "selep": 1, "skeep": 1, "schlafen": 1, "beh: sleep": 1, "*slee*": 1, "sleep, left": 1, "11_sleep": 1, "quietwake": 2, "qiuet wkae": 2, "QW": 2, "awake, still": 2}
-    want |= {"rearin hunsupported": 5, "rearing nsupported": 5, "rearing suported": 4, "digged": 9, "dig": 9, "weighed": None, "??": None, "": None, "n.n. 28": None, "x" * 50_000: None}
-    values = spark.createDataFrame([(v, 1) for v in [*want, "sleep", "sleep", None]], "value string, id int")
+    want = {"Sleep  ": 1, "slepe": 1, "selep": 1, "skeep": 1, "beh: sleep": 1, "*slee*": 1, "sleep, left": 1, "11_sleep": 1, "quietwake": 2, "qiuet wkae": 2}
+    want |= {"rearin hunsupported": 5, "rearing nsupported": 5, "rearing suported": 4, "digged": 9, "weighed": None, "??": None, "": None, "n.n. 28": None, "x" * 50_000: None}
+    other = {"schlafen": 1, "schlafne": 1, "QW": 2, "awake, still": 2, "dig": 9}
+    values = spark.createDataFrame([(v, 1) for v in [*want, *other, "sleep", "sleep", None]], "value string, id int")
     got = {r.value: r.id for r in canonical.map_to_list(values, ref).collect()}
-    assert got == want | {"sleep": 1}
+    assert got == want | dict.fromkeys(other) | {"sleep": 1}
+    wordings = spark.createDataFrame([(1, "schlafen"), (2, "qw"), (2, "awake still"), (9, "Dig"), (None, "x"), (3, None)], "id int, wording string")
+    got = {r.value: r.id for r in canonical.map_to_list(values, ref, wordings).collect()}
+    assert got == want | other | {"sleep": 1}
     assert canonical.map_to_list(values.limit(0), ref).count() == 0
     assert {r.status for r in canonical.map_to_list(values, ref.limit(0)).collect()} == {"unmatched"}
 
 
+def test_wordings_are_learned_from_what_is_scored_beside_them(spark):
+    rng = random.Random(3)
+    labels = ["sleep", "walking", "grooming", "digging", "climbing"]
+    other = {"schlafen": "sleep", "strolling": "walking"}
+    rows = []
+    for source in range(40):
+        for k in range(30):  # each stretch is scored twice, here and there by another word or with a remark that says nothing
+            at, what = 400.0 * k, rng.choice(labels)
+            word = next((w for w, x in other.items() if x == what and rng.random() < 0.5), what)
+            rows += [(source, at, at + 50, what), (source, at + rng.random(), at + 49, word)]
+            if rng.random() < 0.2:
+                rows.append((source, at + 10, at + 20, "see notes"))
+    rows += [(None, 0.0, 1.0, "schlafen"), (1, None, None, "Schlafen!?"), (1, float("nan"), 3.0, None), (1, 0.0, 1.0, "??")]
+    bouts = spark.createDataFrame([(i, *r, 0) for i, r in enumerate(rows)], "row_key long, source int, start_at double, end_at double, value string, id int")
+    bouts = bouts.withColumn("start_at", F.when(~F.isnan("start_at"), F.col("start_at")))
+    ref = spark.createDataFrame(list(enumerate(labels, 1)), "id int, label string")
+    mapped = canonical.map_to_list(bouts, ref)
+    got = {(r.id, r.wording) for r in canonical.learned_wordings(bouts, mapped).collect()}
+    assert got == {(1, "schlafen"), (2, "strolling")}
+    assert canonical.learned_wordings(bouts.limit(0), mapped).count() == canonical.learned_wordings(bouts, mapped.limit(0)).count() == 0
+
+
 def test_canonical_finds_all_within_two_edits(spark):
     random.seed(5)
     labels = ["grooming", "climbing", "scratching", "stretching", "nest building", "light off", "light on"]
@@ -45,7 +71,7 @@ def test_canonical_finds_all_within_two_edits(spark):
             w[i : i + 1] = random.choice([[], [w[i], random.choice("abcdef")], [random.choice("abcdef")]])
         typed.add("".join(w))
     ref = spark.createDataFrame(list(enumerate(labels, 1)), "id int, label string")
-    got = {r.value: r for r in canonical.map_to_list(spark.createDataFrame([(t,) for t in typed], "value string"), ref, {}).collect()}
+    got = {r.value: r for r in canonical.map_to_list(spark.createDataFrame([(t,) for t in typed], "value string"), ref).collect()}
     refs = [x.replace(" ", "") for x in labels]
     for t in typed:
         best = min(_distance(t, r) for r in refs)
@@ -103,6 +129,19 @@ def test_pivot_keeps_expectations():
     assert np.abs(sums / 4000 - 0.3).max() < 0.04
 
 
+def test_every_document_of_a_small_source_keeps_its_share(spark):
+    """400 sources alike stand for seeds: eight documents each, one of them far larger than what is to be given."""
+    n_tokens = [9000, 700, 600, 500, 400, 300, 200, 100]
+    data = [(100 * s + i, f"s{s}", n) for s in range(400) for i, n in enumerate(n_tokens)]
+    sizes = spark.createDataFrame(data, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([(f"s{s}", 1 / 400, 1) for s in range(400)], "source string, target_share double, max_repeats int")
+    chosen, _ = mixing.mix(sizes, targets, total_tokens=0.3 * 400 * sum(n_tokens), shard=4)
+    mean = chosen.groupBy((F.col("doc_id") % 100).alias("i")).agg(F.avg("copies").alias("m")).orderBy("i").collect()
+    assert all(abs(r.m - 0.3) < 0.08 for r in mean)
+    reached = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t")).agg(F.max(F.abs(F.col("t") - 0.3 * sum(n_tokens)))).first()[0]
+    assert reached <= max(n_tokens)
+
+
 def test_mix_shares(spark):
     random.seed(9)
     data = [(i, s := random.choice(["a", "a", "a", "b", "c", None, "other"]), random.choice([None, 0, random.randrange(1, 2000)]) if i % 5 == 0 else random.randrange(1, 2000), 0) for i in range(8000)]

@@ -314,7 +314,8 @@ def fit_languages(documents: DataFrame, per_language: int = SAMPLE) -> Model:
     of their id.  A rare label is a language if documents of it, held out, confirm it.  Labels may be wrong: the model is fitted again on the cues in which it agrees
     with the label.  What reaches the driver are the sample's word counts."""
     codes = _labelled(documents).where("label is not null")
-    n = {r.label: r["count"] for r in codes.groupBy("label").count().collect() if r.label in ISO}
+    # labels are free text: only codes reach the driver, 184 at most
+    n = {r.label: r["count"] for r in codes.where(F.col("label").isin(sorted(ISO))).groupBy("label").count().collect()}
     n = {k: v for k, v in n.items() if v >= LEAST}
     rare = [k for k, v in n.items() if v < LEAST_SHARE * sum(n.values())]
     if not n:

@@ -15,7 +15,6 @@ from ..session import durable
 
 SHARD = 8_192  # documents whose fractions one task settles among themselves
 FAN = 256  # residuals that meet in one group of the next level
-RESERVE = 512  # documents of a source, about, that are settled last, with what the tree leaves
 
 
 def amounts(held: dict[str, int], targets: dict[str, tuple[float, int]], total: float) -> dict[str, float]:
@@ -46,7 +45,8 @@ def pivot(sizes: list[int], shares: list[float], draws: np.ndarray) -> tuple[lis
     """Ones and zeros for fractions: pairs pass mass (share times size) on until one is whole.
 
     The sum of share times size does not change, and each keeps its expectation.  Returns the whole
-    values (-1 for the one left) and the index and share of that one, if any.
+    values (-1 for the one left) and the index and share of that one, if any.  With sizes in falling
+    order the pairs are of like size, and so the one left is small.
     """
     out = [-1] * len(sizes)
     at, p = -1, 0.0
@@ -75,21 +75,6 @@ def pivot(sizes: list[int], shares: list[float], draws: np.ndarray) -> tuple[lis
     return out, ((at, p) if at >= 0 else None)
 
 
-def close(sizes: list[int], shares: list[float], draws: np.ndarray) -> list[int]:
-    """Ones and zeros from the largest item to the smallest, each drawn with the share that the items
-    still open need to reach the sum of share times size; the sum is met but for the last, small ones."""
-    need, left = sum(s * p for s, p in zip(sizes, shares)), sum(s for s, p in zip(sizes, shares) if p > 0)
-    out = [0] * len(sizes)
-    for j in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        if shares[j] <= 0 or left <= 0:
-            continue
-        if draws[j] * left < need and sizes[j] <= 2 * need:
-            out[j] = 1
-            need -= sizes[j]
-        left -= sizes[j]
-    return out
-
-
 def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 0, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """Copies of each document so that each source has its target share of all tokens.
 
@@ -100,10 +85,11 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     max_copies, max_repeats, short``).
 
     Every document of a source gets the whole part of the source's repeats; the fractions are rounded
-    by pivotal pairing within shards of about ``shard`` documents, and the one fraction each shard leaves
-    goes up a tree, ``FAN`` to a group, so a source of any size is spread.  At the root those fractions
-    and a reserve of about ``RESERVE`` documents are settled so that the amount is met within a small
-    document.  No document is used more than ``max_repeats`` times.
+    by pivotal pairing within shards of about ``shard`` documents, from the largest to the smallest, and
+    the one fraction each shard leaves goes up a tree, ``FAN`` to a group, so a source of any size is
+    spread.  The last fraction of a source is drawn by its own share.  So every document is used as often
+    as its fraction says in the mean over seeds, and the amount is met within one document, as a rule
+    a small one.  No document is used more than ``max_repeats`` times.
 
     Rows with null or unlisted sources are not mixed; documents without tokens have 0 copies; repeated
     rows are used each; null shares or repeats count as 0; a source without documents, or with too
@@ -125,49 +111,44 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None,
         per = give[s] / held[s] if held.get(s) else 0.0
         base = min(int(per + 1e-9), repeats)
         n = sums.get(s, (0, 0))[1]
-        plan.append((s, base, max(0.0, per - base) if base < repeats else 0.0, max(1, math.ceil(n / shard)), max(1, n)))
-    plans = F.broadcast(spark.createDataFrame(plan, "source string, base int, frac double, shards int, held int"))
+        plan.append((s, base, max(0.0, per - base) if base < repeats else 0.0, max(1, math.ceil(n / shard))))
+    plans = F.broadcast(spark.createDataFrame(plan, "source string, base int, frac double, shards int"))
     work = rows.join(plans, "source").withColumn("__order", F.xxhash64(F.lit(seed), "doc_id", "n_tokens"))
     work = work.withColumn("node", F.pmod("__order", "shards").cast("bigint"))
     work = work.withColumn("frac", F.when(F.col("n_tokens") > 0, F.col("frac")).otherwise(0.0))
     work = work.withColumn("base", F.when(F.col("n_tokens") > 0, F.col("base")).otherwise(0))
-    work = work.withColumn("reserve", F.pmod(F.xxhash64(F.lit("reserve"), "__order"), "held") < RESERVE)
     cols = ["doc_id", "source", "n_tokens", "base", "frac", "__order", "node"]
     schema = "doc_id bigint, source string, n_tokens bigint, base int, frac double, `__order` bigint, node bigint, copies int"
 
     def settled(g: pd.DataFrame, root: bool) -> pd.DataFrame:
-        draw = np.random.default_rng([seed & 0xFFFFFFFF, abs(int(g["__order"].iloc[0])), len(g)]).random(len(g))
-        n, share = g["n_tokens"].tolist(), g["frac"].tolist()
-        ones, left = (close(n, share, draw), None) if root else pivot(n, share, draw)
+        rng = np.random.default_rng([seed & 0xFFFFFFFF, abs(int(g["__order"].iloc[0])), len(g)])
+        ones, left = pivot(g["n_tokens"].tolist(), g["frac"].tolist(), rng.random(len(g)))
         out = g[cols].copy()
-        out["copies"] = pd.array([b + o if o >= 0 else None for b, o in zip(g["base"], ones)], dtype="Int32")
-        if left:
+        if left and root:
+            ones[left[0]] = int(rng.random() < left[1])
+        elif left:
             out.iloc[left[0], cols.index("frac")] = left[1]
+        out["copies"] = pd.array([b + o if o >= 0 else None for b, o in zip(g["base"], ones)], dtype="Int32")
         return out
 
-    def branch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in whole_groups(batches, ["source", "node"]):
-            yield settled(g, False)
+    def level(df: DataFrame, root: bool) -> DataFrame:
+        def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for g in whole_groups(batches, ["source", "node"]):
+                yield settled(g, root)
 
-    def root(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in whole_groups(batches, ["source", "node"]):
-            yield settled(g, True)
+        ordered = df.select(*cols).repartition("source", "node").sortWithinPartitions("source", "node", F.col("n_tokens").desc(), "__order", "doc_id")
+        return durable(ordered.mapInPandas(settle, schema))
 
-    def level(df: DataFrame, settle=branch) -> DataFrame:
-        return durable(df.select(*cols).repartition("source", "node").sortWithinPartitions("source", "node", "__order", "doc_id").mapInPandas(settle, schema))
-
-    done = level(work.where("not reserve"))
-    parts = [done.where("copies is not null")]
-    pending = done.where("copies is null")
-    nodes = max((p[3] for p in plan), default=1)
-    while nodes > 1:
-        nodes = math.ceil(nodes / FAN)
-        done = level(pending.withColumn("node", F.floor(F.col("node") / FAN)))
+    # leaves, then FAN of their residuals to a group, up to one group a source
+    parts: list[DataFrame] = []
+    pending, nodes = work, max((p[3] for p in plan), default=1)
+    while True:
+        done = level(pending, root=nodes == 1)
         parts.append(done.where("copies is not null"))
-        pending = done.where("copies is null")
-    # what is left is one fraction per source at most, and the reserve
-    kept = work.where("reserve").withColumn("node", F.lit(0).cast("bigint")).select(*cols)
-    parts.append(level(pending.select(*cols).withColumn("node", F.lit(0).cast("bigint")).unionByName(kept), root))
+        if nodes == 1:
+            break
+        nodes = math.ceil(nodes / FAN)
+        pending = done.where("copies is null").withColumn("node", F.floor(F.col("node") / FAN))
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
