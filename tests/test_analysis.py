@@ -1,4 +1,4 @@
-"""Analysis operators and kernels on small vectors worked out by hand."""
+"""Analysis operators and kernels on small vectors.  Fixed values: the short vectors of coverage, windows, bins, cycles and periods are expected results that must be met."""
 
 import numpy as np
 import pytest
@@ -43,10 +43,16 @@ def test_subsecond(spark):
     assert sorted(r.t_s for r in align.spread_within_second(d, ["k"], "s", "line", F.lit(2.0)).collect()) == [5.0, 5.5, 6.0]
 
 
-def test_day_first():
-    assert not align.day_first("11/01/2025 05:00:00 PM", (2025, 11, 1))
-    assert align.day_first("01/11/2025 05:00:00 PM", (2025, 11, 1))
-    assert align.day_first("01/02/2025 05:00:00 PM", (2025, 1, 31))
+def test_day_first(spark):
+    cases = [
+        ("07/03/2023 01:00:00 AM", "2023-07-03", False), ("03/07/2023 01:00:00 AM", "2023-07-03", True),  # the day itself, either way
+        ("04/09/2022 x", "2022-08-30", True), ("09/04/2022 x", "2022-08-30", False),  # the nearer of both
+        ("25/02/2024", "2024-01-01", True), ("02/25/2024", "2024-12-31", False),  # one is no date
+        ("05/06/2021", "2024-05-06", False), ("5/6/2021", "2024-06-05", True),  # same day and month in another year
+        ("31/02/2024", "2024-02-28", True), ("no date", "2024-02-28", False), (None, "2024-02-28", False), ("04/09/2022", None, False),
+    ]
+    d = df_of(spark, cases, "t string, near string, want boolean").withColumn("near", F.col("near").cast("timestamp_ntz"))
+    assert [tuple(r) for r in d.where(align.day_first(F.col("t"), F.col("near")) != F.col("want")).collect()] == []
 
 
 def test_interpolate_and_nearest(spark):
@@ -109,9 +115,62 @@ def test_peaks_and_widths():
     assert dsp.find_peaks(np.array([0, 5, 0, 6, 0.0]), 1, 3).tolist() == [3]
 
 
-def test_shoulders():
-    assert dsp.shoulder(np.array([0.2, 0.1, -0.05, -0.5, -1, -0.2, 0.1]), 10) == 12
-    assert dsp.shoulder(np.array([-0.1, -0.2, -1, -0.3]), 5) == 5
+def test_onsets():
+    def plain(slope, a, b):  # the rule in words, reading by reading
+        part = list(slope[a:b])
+        g = part.index(min(part)) if part else 0
+        if g == 0:
+            return a
+        turns = [i for i in range(1, g) if part[i - 1] >= 0 > part[i]]
+        level = min(range(g), key=lambda i: abs(part[i]))
+        since = turns[-1] if turns else level if part[level] > dsp.LEVEL_SLOPE else 0
+        bound = dsp.ONSET_SHARE * min(part[since:g])
+        return a + next((i for i in range(since, g) if part[i] <= bound), g - 1)
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        slope = np.round(np.cumsum(rng.normal(0, 0.4, 60)), 1)
+        cuts = np.sort(rng.choice(60, 6, replace=False))
+        starts, peaks = np.r_[0, cuts[:-1]], cuts
+        assert dsp.onsets(slope, starts, peaks).tolist() == [plain(slope, a, b) for a, b in zip(starts, peaks)]
+    assert len(dsp.onsets(slope, np.array([], int), np.array([], int))) == 0
+
+
+def test_filter_and_prominences_against_plain_steps():
+    rng = np.random.default_rng(6)
+    for share, high in ((0.3, False), (0.02, False), (0.01, True)):
+        x = np.cumsum(rng.normal(size=400))
+        (b1, a1), (b2, a2) = dsp._sections(share, 1.0, high)
+        b, a = np.convolve(b1, b2), np.convolve(a1, a2)
+
+        def once(v):  # the recursion itself, after a long stand at the first reading
+            v = np.r_[np.full(3000, v[0]), v]
+            y = np.zeros(len(v) + 3)
+            w = np.r_[np.full(3, v[0]), v]
+            y[:3] = v[0] * b.sum() / a.sum()
+            for i in range(3, len(w)):
+                y[i] = b @ w[i - 3 : i + 1][::-1] - a[1:] @ y[i - 3 : i][::-1]
+            return y[3003:]
+
+        padded = np.r_[2 * x[0] - x[12:0:-1], x, 2 * x[-1] - x[-2:-14:-1]]
+        assert np.allclose(dsp.zero_phase(x, share, 1.0, high), once(once(padded)[::-1])[::-1][12:-12], atol=1e-8)
+        p = dsp.local_maxima(x)
+        prom, left, right = dsp.prominences(x, p)
+        for i, q in enumerate(p):
+            lo = max([j + 1 for j in range(q) if x[j] > x[q]], default=0)
+            hi = min([j for j in range(q, len(x)) if x[j] > x[q]], default=len(x))
+            assert prom[i] == pytest.approx(x[q] - max(x[lo : q + 1].min(), x[q:hi].min()))
+            assert x[left[i]] == x[lo : q + 1].min() and x[right[i]] == x[q:hi].min()
+
+
+def test_long_signals_take_seconds():
+    import time
+
+    x = np.cumsum(np.random.default_rng(7).normal(size=2_700_000))
+    start = time.time()
+    dsp.zero_phase(x, 10, 500)
+    dsp.find_peaks(x, 3, 25)
+    assert time.time() - start < 60
 
 
 def test_spline_spectrum_simpson():

@@ -16,26 +16,32 @@ def _sections(cutoff: float, rate: float, high: bool) -> list[tuple[np.ndarray,
     return [(one / (1 + k), np.array([1.0, -(1 - k) / (1 + k)])), (two / (1 + k + k * k), np.array([1.0, (2 * k * k - 2), (1 - k + k * k)]) / np.array([1.0, 1 + k + k * k, 1 + k + k * k]))]
 
 
+_RESPONSES: dict[tuple[float, bool], np.ndarray] = {}
+
+
+def _response(share: float, high: bool) -> np.ndarray:
+    """Impulse response of both sections in turn, up to where it has died away; ``share`` is cut-off by rate."""
+    if (share, high) not in _RESPONSES:
+        sections = _sections(share, 1.0, high)
+        slowest = max(np.abs(np.roots(a)).max() for _, a in sections)
+        n = int(np.ceil(np.log(1e-16) / np.log(slowest))) + 4
+        # the response of all poles by their powers, then the zeros: no loop over samples
+        a = np.convolve(sections[0][1], sections[1][1])
+        poles = np.roots(a)
+        weights = poles ** (len(poles) - 1) / np.array([np.prod(q - np.delete(poles, i)) for i, q in enumerate(poles)])
+        powers = np.exp(np.log(poles.astype(complex))[:, None] * np.arange(n))
+        free = (weights[:, None] * powers).sum(axis=0).real
+        _RESPONSES[share, high] = np.convolve(free, np.convolve(sections[0][0], sections[1][0]))[:n]
+    return _RESPONSES[share, high]
+
+
 def _one_way(x: np.ndarray, high: bool, cutoff: float, rate: float) -> np.ndarray:
-    """Both sections in turn, from the steady state of the first sample."""
-    (b1, a1), (b2, a2) = _sections(cutoff, rate, high)
-    b, a = np.convolve(b1, b2), np.convolve(a1, a2)
-    # steady state for a constant input: the output is the gain at zero frequency
-    gain = b.sum() / a.sum()
-    state = np.zeros(4)
-    for i in (3, 2, 1):
-        state[i - 1] = state[i] + b[i] - a[i] * gain
-    z1, z2, z3 = state[:3] * x[0]
-    out = np.empty(len(x))
-    b0, b1_, b2_, b3_ = b.tolist()
-    _, a1_, a2_, a3_ = a.tolist()
-    for i, v in enumerate(x.tolist()):
-        y = b0 * v + z1
-        z1 = b1_ * v + z2 - a1_ * y
-        z2 = b2_ * v + z3 - a2_ * y
-        z3 = b3_ * v - a3_ * y
-        out[i] = y
-    return out
+    """Both sections in turn, from the steady state of the first sample: as if it had stood there for ever."""
+    h = _response(cutoff / rate, high)
+    n = len(h) - 1
+    size = 1 << (n + len(x) + n).bit_length()
+    steady = np.r_[np.full(n, x[0]), x]
+    return np.fft.irfft(np.fft.rfft(steady, size) * np.fft.rfft(h, size), size)[n : n + len(x)]
 
 
 def zero_phase(x: np.ndarray, cutoff: float, rate: float, high: bool = False) -> np.ndarray:
@@ -83,38 +89,38 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
     return (starts[peak] + ends[peak]) // 2
 
 
-def _reach(x: np.ndarray, p: int) -> tuple[int, int]:
-    """First and last index around ``p`` with nothing higher between; looked for in ever larger steps."""
-    a, b = p, p
-    step = 64
-    while a > 0:
-        lo = max(0, a - step)
-        higher = np.flatnonzero(x[lo:a] > x[p])
-        if len(higher):
-            a = lo + int(higher[-1]) + 1
-            break
-        a, step = lo, 2 * step
-    step = 64
-    while b < len(x) - 1:
-        hi = min(len(x) - 1, b + step)
-        higher = np.flatnonzero(x[b + 1 : hi + 1] > x[p])
-        if len(higher):
-            b += int(higher[0])
-            break
-        b, step = hi, 2 * step
-    return a, b
-
-
 def prominences(x: np.ndarray, peaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prominence of each peak with the bases to its left and right."""
-    out, left, right = np.empty(len(peaks)), np.empty(len(peaks), int), np.empty(len(peaks), int)
-    for i, p in enumerate(peaks):
-        a, b = _reach(x, p)
-        low = x[a : p + 1]
-        left[i] = a + len(low) - 1 - int(np.argmin(low[::-1]))
-        right[i] = p + int(np.argmin(x[p : b + 1]))
-        out[i] = x[p] - max(x[left[i]], x[right[i]])
-    return out, left, right
+    """Prominence of each local maximum with the bases to its left and right (the nearest of equals).
+
+    Between two maxima only the lowest reading matters, so a stack of maxima that are not yet topped
+    settles all bases in one pass to each side; the ends of the signal stand as maxima too.
+    """
+    n = len(x)
+    if not len(peaks):
+        return np.empty(0), np.empty(0, int), np.empty(0, int)
+    tops = np.unique(np.r_[0, local_maxima(x), peaks, n - 1])
+    sides = []
+    for v in (x, x[::-1]):
+        at = tops if v is x else n - 1 - tops[::-1]
+        height = v[at].tolist()
+        low_at = [0] * len(at)
+        for i in range(1, len(at)):  # last of the lowest between the maximum before and this one
+            part = v[at[i - 1] : at[i] + 1][::-1]
+            low_at[i] = int(at[i]) - int(part.argmin())
+        base = [int(at[0])] * len(at)
+        stack: list[int] = []
+        for i, h in enumerate(height):
+            low = low_at[i] if i else int(at[0])
+            while stack and height[stack[-1]] <= h:
+                k = base[stack.pop()]
+                if v[k] < v[low]:
+                    low = k
+            base[i] = low
+            stack.append(i)
+        of = dict(zip(at.tolist(), base))
+        sides.append(np.array([of[int(p) if v is x else n - 1 - int(p)] for p in peaks]))
+    left, right = sides[0], n - 1 - sides[1]
+    return x[peaks] - np.maximum(x[left], x[right]), left, right
 
 
 def find_peaks(x: np.ndarray, prominence: float, distance: int = 1) -> np.ndarray:
@@ -130,38 +136,59 @@ def find_peaks(x: np.ndarray, prominence: float, distance: int = 1) -> np.ndarra
     return p[prominences(x, p)[0] >= prominence]
 
 
+def _down_to(x: np.ndarray, p: int, h: float, step: int) -> int:
+    """First index from ``p`` on in direction ``step`` that is at ``h`` or lower; looked for in ever longer pieces."""
+    size = 32
+    while True:
+        part = x[p : p + size] if step > 0 else x[max(0, p - size + 1) : p + 1][::-1]
+        hit = np.flatnonzero(part <= h)
+        if len(hit):
+            return p + step * int(hit[0])
+        size *= 4
+
+
 def peak_widths(x: np.ndarray, peaks: np.ndarray, share: float = 0.5) -> np.ndarray:
     """Width in samples at ``share`` of the prominence below each peak, crossings interpolated."""
     prom, left, right = prominences(x, peaks)
     out = np.empty(len(peaks))
     for i, p in enumerate(peaks):
         h = x[p] - share * prom[i]
-        a = p
-        while a > left[i] and h < x[a]:
-            a -= 1
-        lo = a + (h - x[a]) / (x[a + 1] - x[a]) if x[a] < h else float(a)
-        b = p
-        while b < right[i] and h < x[b]:
-            b += 1
-        hi = b - (h - x[b]) / (x[b - 1] - x[b]) if x[b] < h else float(b)
-        out[i] = hi - lo
+        ends = []
+        for step, base in ((-1, left[i]), (1, right[i])):
+            a = _down_to(x, int(p), max(h, x[base]), step)
+            ends.append(a - step * (h - x[a]) / (x[a - step] - x[a]) if x[a] < h else a)
+        out[i] = ends[1] - ends[0]
     return out
 
 
-def shoulder(slope: np.ndarray, start: int, factor: float = 0.1, near_zero: float = -0.5) -> int:
-    """Onset before a peak: where the slope first falls to ``factor`` of its steepest fall."""
-    g = int(np.argmin(slope))
-    if g <= 0:
-        return start
-    crossing = np.flatnonzero((slope[:g] >= 0) & (slope[1 : g + 1] < 0))
-    if len(crossing):
-        s = int(crossing[-1])
-    else:
-        s = int(np.argmin(np.abs(slope[:g])))
-        s = s if slope[s] > near_zero else 0
-    region = slope[s:g]
-    hit = np.flatnonzero(region <= factor * region.min()) if len(region) else []
-    return start + (s + int(hit[0]) if len(hit) else g - 1)
+#: The onset is where the slope reaches this share of its steepest; a slope above this bound counts as level.
+ONSET_SHARE, LEVEL_SLOPE = 0.1, -0.5
+
+
+def onsets(slope: np.ndarray, starts: np.ndarray, peaks: np.ndarray, share: float = ONSET_SHARE, level: float = LEVEL_SLOPE) -> np.ndarray:
+    """Onset before each peak: where the fall that leads to it begins.
+
+    Between ``starts`` and a peak the fall is followed back from its steepest reading to where the slope
+    last turned negative (one pass marks those for the whole signal), or, if it never was anything
+    else, to where it is most level; from there on the onset is the first reading with ``share`` of the
+    steepest slope before the steepest reading itself.
+    """
+    falls = slope < 0
+    turn = np.r_[False, falls[1:] & ~falls[:-1]]
+    last_turn = np.maximum.accumulate(np.where(turn, np.arange(len(slope)), -1)) if len(slope) else slope
+    out = np.array(starts, dtype=np.int64)
+    for i, (a, b) in enumerate(zip(starts, peaks)):
+        steepest = a + int(slope[a:b].argmin()) if b > a else a
+        if steepest == a:
+            continue
+        since = last_turn[steepest - 1]
+        if since <= a:
+            flat = a + int(np.abs(slope[a:steepest]).argmin())
+            since = flat if slope[flat] > level else a
+        fall = slope[since:steepest]
+        reached = fall <= share * fall.min()
+        out[i] = since + int(reached.argmax()) if reached.any() else steepest - 1
+    return out
 
 
 def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:

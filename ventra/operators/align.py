@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .instants import micros
+from .instants import day_number, micros
 from .neighbours import with_neighbour, with_rank
 
 
@@ -56,21 +56,25 @@ def shift_windows(windows: DataFrame, offset: Column) -> DataFrame:
     return windows.withColumns({"start_at": F.col("start_at") + offset, "end_at": F.col("end_at") + offset})
 
 
-def day_first(first: str, reference: tuple[int, int, int]) -> bool:
-    """Whether ``a/b/yyyy`` is day first, judged by a reference date (year, month, day)."""
-    import datetime
-    import re
-
-    m = re.match(r"\s*(\d{1,2})/(\d{1,2})/(\d{4})", first or "")
-    if not m:
-        return False
-    a, b, y = map(int, m.groups())
-    if (a, b, y) == (reference[1], reference[2], reference[0]):
-        return False
-    if (b, a, y) == (reference[1], reference[2], reference[0]):
-        return True
-    if a > 12 or b > 12:
-        return a > 12
-    near = datetime.date(*reference)
-    as_month, as_day = datetime.date(y, a, b), datetime.date(y, b, a)
-    return abs(as_day - near) < abs(as_month - near)
+def slash_date(text: Column) -> list[Column]:
+    """The two leading numbers and the year of ``a/b/yyyy`` at the start of a text, null where it has no such form."""
+    form = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})"
+    return [F.nullif(F.regexp_extract(text, form, i), F.lit("")).cast("int") for i in (1, 2, 3)]
+
+
+def day_first(text: Column, near: Column) -> Column:
+    """Whether ``a/b/yyyy`` at the start of a text is day first, judged by a date that it should lie near.
+
+    Both readings that exist in the calendar are weighed: one of the same day and month as ``near`` (in any
+    year) comes first, then the one with fewer days between, then month first.  Text without such a date,
+    or no ``near``, is month first; an impossible date is day first if its first number can be no month.
+    """
+    a, b, year = slash_date(text)
+
+    def reading(day: Column, month: Column, first: bool) -> Column:
+        elsewhere = (day != F.dayofmonth(near)) | (month != F.month(near))
+        days = F.abs(day_number(year, month, day) - F.unix_date(near.cast("date")))
+        return F.when(days.isNotNull(), F.struct(elsewhere.alias("elsewhere"), days.alias("days"), F.lit(first).alias("first")))
+
+    likeliest = F.array_min(F.array_compact(F.array(reading(b, a, False), reading(a, b, True))))
+    return F.coalesce(likeliest["first"], a > 12, F.lit(False))

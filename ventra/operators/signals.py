@@ -85,7 +85,7 @@ def _rate(ms: np.ndarray) -> float:
 
 
 def preprocess(segments: DataFrame, keys: list[str], value: str, low: float = 0.2, high: float = 0.02, margin: int = 1000) -> DataFrame:
-    """High-pass, low-pass, smoothed signal and slope; null within ``margin`` of a segment's ends.
+    """High-pass, low-pass, and the low-pass smoothed and its slope; null within ``margin`` of a segment's ends.
 
     ``low`` and ``high`` are cut-offs as shares of the sampling rate.  Segments of fewer than 36
     readings have nulls.
@@ -99,7 +99,8 @@ def preprocess(segments: DataFrame, keys: list[str], value: str, low: float = 0.
         if len(x) < 36 or not rate:
             return out.assign(**{n: np.nan for n in names})
         inner = (ms >= ms[0] + margin) & (ms <= ms[-1] - margin)
-        found = (dsp.zero_phase(x, high * rate, rate, high=True), dsp.zero_phase(x, low * rate, rate), dsp.smooth(x), dsp.smooth(x, True, rate))
+        lowpass = dsp.zero_phase(x, low * rate, rate)
+        found = (dsp.zero_phase(x, high * rate, rate, high=True), lowpass, dsp.smooth(lowpass), dsp.smooth(lowpass, True, rate))
         return out.assign(**{n: np.where(inner, v, np.nan) for n, v in zip(names, found)})
 
     return per_segment(segments, keys, "ms", "ms bigint, raw double, highpass double, lowpass double, smoothed double, slope double", kernel)
@@ -133,8 +134,8 @@ def detect_breaths(segments: DataFrame, keys: list[str], pressure: str, prominen
         peaks = peaks[top[peaks] - p[peaks] >= depth * np.maximum(top[peaks] - bottom[peaks], 1e-6)]
         slope = np.gradient(p, ms / 1000.0) if len(np.unique(ms)) == len(ms) else np.gradient(p)
         starts = np.r_[0, peaks[:-1]] if len(peaks) else peaks
-        onset = [dsp.shoulder(slope[a:b], int(a)) if b > a else int(a) for a, b in zip(starts, peaks)]
-        return pd.DataFrame({"n": range(1, len(peaks) + 1), "peak_ms": ms[peaks], "shoulder_ms": ms[np.array(onset, int)] if len(onset) else ms[:0], "peak_v": p[peaks], "shoulder_v": p[np.array(onset, int)] if len(onset) else p[:0]})
+        onset = dsp.onsets(slope, starts, peaks)
+        return pd.DataFrame({"n": range(1, len(peaks) + 1), "peak_ms": ms[peaks], "shoulder_ms": ms[onset], "peak_v": p[peaks], "shoulder_v": p[onset]})
 
     return per_segment(segments, keys, "ms", "n bigint, peak_ms bigint, shoulder_ms bigint, peak_v double, shoulder_v double", kernel)
 
