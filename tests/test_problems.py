@@ -64,10 +64,25 @@ def test_drift_reports_every_change(spark):
             + [(6, "AtmPressure", "added"), (7, "AtmPressure", "renamed"), (7, "AtmPressure", "retyped"), (8, "AtmPressure", "removed")],
         )
     )
-    one = drift.unified_rows(lines, files, "telemetry").select("file_id", "line_no", "atm_hpa")
+    one = drift.unified_rows(lines, files, "telemetry").select("file_id", "line_no", "atmpressure")
     assert rows(one) == ["(5, 3, None)", "(6, 2, 1001.5)", "(7, 2, 998.71)", "(7, 3, 998.72)"]
 
 
+def test_unified_rows_are_typed(spark):
+    lines, files = _files(
+        spark,
+        [
+            ("event", 1, ["Behavior;Start (s);Stop (s);Duration (s)", "sleep;1,5;1:02:03,5;", "walking;-0:01.5;abc;3 s"]),
+            ("event", 2, ["Start (s),Bout type,Stop (s),Duration (s),Comment,FPS", '"2",sleep,3,1,"a, b",25']),
+            ("event", 3, ["Start (s),Stop (s),Duration (s),Comment", "2,3,1,nothing"]),
+        ],
+    )
+    one = drift.unified_rows(lines, files, "event")
+    assert dict(one.dtypes)["start"] == "double" and dict(one.dtypes)["behavior"] == "string"
+    got = rows(one.select("file_id", "line_no", "behavior", "start", "stop", "duration", "stop_text", "fps"))
+    assert got == sorted(map(str, [(1, 2, "sleep", 1.5, 3723.5, None, "1:02:03,5", None), (1, 3, "walking", -1.5, None, 3.0, "abc", None), (2, 2, "sleep", 2.0, 3.0, 1.0, "3", 25.0), (3, 2, None, 2.0, 3.0, 1.0, "3", None)]))
+
+
 def test_drift_empty(spark):
     lines, files = _files(spark, [])
     assert drift.schema_changes(lines, files).count() == 0

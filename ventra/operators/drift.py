@@ -11,51 +11,51 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .neighbours import with_neighbour
 
 
 @dataclass(frozen=True)
 class Field:
-    """A column of the consistent table: words of its names and the value forms it comes in."""
+    """A column of the consistent table: words of its name, the value forms it comes in, its type.
+
+    An ``any_name`` field comes under names that can't be foreseen; a column that no other field explains
+    is taken for it if its values have one of the forms.
+    """
 
     name: str
     words: tuple[str, ...]
     kinds: tuple[str, ...]
+    type: str = "string"
+    any_name: bool = False
 
 
-#: The consistent schemas with the words that name their fields.
+#: The consistent schemas with the words of their fields' own names.
 SCHEMAS: dict[str, tuple[Field, ...]] = {
     "telemetry": (
-        Field("Time", ("time", "datetime"), ("text",)),
-        Field("Pressure", ("pressure",), ("signed",)),
-        Field("Temp", ("temp", "temperature"), ("small",)),
-        Field("Activity", ("activity", "act"), ("count",)),
-        Field(
-            "AtmPressure",
-            ("atm", "atmos", "ambient", "air", "room", "ext", "baro", "barometer", "luftdruck", "apr", "hpa", "pressure", "press", "p"),
-            ("hpa", "pa"),
-        ),
-        Field("Humidity", ("humidity", "rh"), ("small",)),
-        Field("Light", ("light", "lux"), ("count",)),
+        Field("Time", ("time",), ("text",)),
+        Field("Pressure", ("pressure",), ("signed",), "double"),
+        Field("Temp", ("temp", "temperature"), ("small",), "double"),
+        Field("Activity", ("activity",), ("count",), "double"),
+        Field("AtmPressure", ("atm", "pressure"), ("hpa", "pa"), "double", any_name=True),
+        Field("Humidity", ("humidity",), ("small",), "double"),
+        Field("Light", ("light",), ("count",), "double"),
     ),
     "event": (
-        Field(
-            "behavior",
-            ("behavior", "behaviour", "beh", "behavioural", "scored", "act", "action", "event", "ethogram", "verhalten", "comportement", "type", "label", "item", "category", "code"),
-            ("words", "count"),
-        ),
-        Field("start", ("start",), ("small", "signed", "text")),
-        Field("stop", ("stop", "end"), ("small", "signed", "text")),
-        Field("duration", ("duration",), ("small", "signed", "text")),
+        Field("behavior", ("behavior", "behaviour"), ("words", "count"), any_name=True),
+        Field("start", ("start",), ("small", "signed", "text"), "seconds"),
+        Field("stop", ("stop",), ("small", "signed", "text"), "seconds"),
+        Field("duration", ("duration",), ("small", "signed", "text"), "seconds"),
         Field("modifier", ("modifier",), ("words",)),
         Field("observer", ("observer",), ("words",)),
-        Field("comment", ("comment", "notes"), ("words",)),
+        Field("comment", ("comment",), ("words",)),
         Field("media", ("media", "file"), ("words",)),
-        Field("fps", ("fps", "frame", "rate"), ("count",)),
+        Field("fps", ("fps",), ("count",), "double"),
     ),
 }
-#: Most rounds, when likeness counts as settled, least likeness of names for a pair.
-_ROUNDS, _STILL, _ACCEPT = 60, 1e-4, 0.3
+#: Most rounds, when likeness counts as settled, least likeness of words and of names for a pair.
+_ROUNDS, _STILL, _WORD, _ACCEPT = 60, 1e-4, 0.85, 0.3
+_PRESSURES = ("hpa", "pa")  # forms that only one field has
 
 
 def _words(name: str) -> list[str]:
@@ -63,13 +63,13 @@ def _words(name: str) -> list[str]:
 
 
 def _alike(a: str, b: str) -> float:
-    """Dice of letter pairs, whole words and prefixes counting in full."""
+    """Dice of letter pairs, less a tenth; whole words count in full and prefixes nearly so."""
     if a == b:
         return 1.0
     if min(len(a), len(b)) >= 3 and (a.startswith(b) or b.startswith(a)):
-        return 0.8
+        return 0.9
     p, q = {a[i : i + 2] for i in range(len(a) - 1)}, {b[i : i + 2] for i in range(len(b) - 1)}
-    return 2 * len(p & q) / (len(p) + len(q)) if p and q else 0.0
+    return 1.8 * len(p & q) / (len(p) + len(q)) if p and q else 0.0
 
 
 def flood(columns: list[tuple[str, str]], fields: tuple[Field, ...]) -> list[str | None]:
@@ -77,7 +77,8 @@ def flood(columns: list[tuple[str, str]], fields: tuple[Field, ...]) -> list[str
 
     Both schemas are graphs: the file holds columns, a column has words and a value form.  Pairs of
     nodes pass their likeness on along edges of the same kind until it no longer changes; then pairs
-    of column and field are taken from the likeliest down, each node once.
+    of column and field are taken from the likeliest down, each node once.  So a column under a name
+    that says nothing goes to the field that is left and has its form.
     """
     pairs: dict[tuple, int] = {}
     start: list[float] = []
@@ -97,15 +98,15 @@ def flood(columns: list[tuple[str, str]], fields: tuple[Field, ...]) -> list[str
         for j, f in enumerate(fields):
             # how much of the column's name the field explains, and of it by words no other field has
             best = [max(((_alike(w, v), v) for v in f.words), key=lambda x: (x[0], -shared[x[1]])) for w in own]
-            sim = float(np.mean([s if s > 0.6 else 0.0 for s, _ in best]))
+            sim = float(np.mean([s if s >= _WORD else 0.0 for s, _ in best]))
             first[i, j] = sim
             here = node(("column", i, j), sim)
             edges.append((root, here, "holds"))
             for w, (s, v) in zip(own, best):
-                if s > 0.6:
+                if s >= _WORD:
                     edges.append((here, node(("word", w, v), s / shared[v]), "word"))
             if kind in f.kinds:
-                edges.append((here, node(("form", kind, j), 1.0 if kind in ("hpa", "pa") else 0.5), "form"))
+                edges.append((here, node(("form", kind, j), 1.0 if kind in _PRESSURES else 0.5), "form"))
     n = len(start)
     flow = np.zeros((n, n))
     for a, b in ((0, 1), (1, 0)):
@@ -126,11 +127,15 @@ def flood(columns: list[tuple[str, str]], fields: tuple[Field, ...]) -> list[str
     ranked = sorted(first, key=lambda ij: (-sigma[pairs["column", *ij]], ij))
     field_of: list[str | None] = [None] * len(columns)
     used: set[int] = set()
-    for i, j in ranked:
-        form = columns[i][1] in ("hpa", "pa") and columns[i][1] in fields[j].kinds
-        if field_of[i] is None and j not in used and (first[i, j] >= _ACCEPT or form):
-            field_of[i] = fields[j].name
-            used.add(j)
+    for by_name in (True, False):  # what names and decisive forms tell, then what is left
+        for i, j in ranked:
+            kind, f = columns[i][1], fields[j]
+            if field_of[i] is not None or j in used:
+                continue
+            named = first[i, j] >= _ACCEPT and (kind not in _PRESSURES or kind in f.kinds) or kind in _PRESSURES and kind in f.kinds
+            if named if by_name else f.any_name and kind in f.kinds:
+                field_of[i] = f.name
+                used.add(j)
     return field_of
 
 
@@ -141,7 +146,8 @@ def _split(text: Column, delimiter: Column) -> Column:
         quoted = F.split(text, rf'{d}(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
         plain = F.split(text, d, -1)
         parts = F.when(delimiter == d, F.when(text.contains('"'), quoted).otherwise(plain)).otherwise(parts)
-    return F.transform(parts, lambda x: F.trim(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1")))
+    bare = lambda x: F.when(x.startswith('"'), F.trim(F.regexp_replace(x, '^"(.*)"$', "$1"))).otherwise(x)
+    return F.transform(parts, lambda x: bare(F.trim(x)))
 
 
 def _count(text: Column, what: str) -> Column:
@@ -151,9 +157,9 @@ def _count(text: Column, what: str) -> Column:
 def headers(lines: DataFrame, files: DataFrame) -> DataFrame:
     """Header of each telemetry and event file: ``file_id, file_kind, head_line, delimiter, names``."""
     kinds = files.select("file_id", "file_kind").where(F.col("file_kind").isin("telemetry", "event"))
+    maybe = lines.where((F.col("line_no") == 1) | F.lower(F.substring("line_text", 1, 40)).contains("time"))
     text = F.regexp_replace(F.col("line_text"), "^[\\uFEFF]+|[\\r\\n]+$", "")
-    found = lines.where((F.col("line_no") == 1) | F.lower(F.regexp_replace(text, '^[\\s"]+', "")).startswith("time"))
-    found = found.select("file_id", "line_no", text.alias("text")).join(kinds, "file_id")
+    found = maybe.select("file_id", "line_no", text.alias("text")).join(kinds, "file_id")
     is_time = F.lower(F.regexp_replace("text", '^[\\s"]+', "")).startswith("time")
     found = found.where(F.when(F.col("file_kind") == "event", F.col("line_no") == 1).otherwise(is_time))
     heads = found.groupBy("file_id", "file_kind").agg(F.min("line_no").alias("head_line"), F.min_by("text", "line_no").alias("text"))
@@ -177,10 +183,13 @@ def profiles(rows: DataFrame, heads: DataFrame) -> DataFrame:
     Counts are combined before the shuffle, so a file of any size costs a few rows.
     """
     v = F.col("v")
-    number = F.regexp_extract("v", r"([+-]?\d+(?:[.,]\d+)?)", 1)
+    # most cells are plain numbers and cost one pattern; only the others are looked at further
+    cells = rows.select("file_id", F.posexplode("parts").alias("pos", "v")).where("length(v) > 0")
+    cells = cells.withColumn("n", F.regexp_extract("v", r"[+-]?\d+(?:[.,]\d+)?", 0))
+    plain, point = F.col("n") == v, F.col("n").contains(".") | F.col("n").contains(",")
+    whole = plain & ~point
+    decimal = (plain & point) | (~plain & v.rlike(r"^[+-]?(\d+[.,]|[.,]\d+)$"))
     size = F.abs(F.expr("try_cast(replace(n, ',', '.') as double)"))
-    cells = rows.select("file_id", F.posexplode("parts").alias("pos", "v")).where("length(v) > 0").withColumn("n", number)
-    whole, decimal = v.rlike(r"^[+-]?\d+$"), v.rlike(r"^[+-]?(\d+[.,]\d*|[.,]\d+)$")
     count = lambda c, name: F.count_if(c).alias(name)
     by = cells.groupBy("file_id", "pos").agg(
         F.count(F.lit(1)).alias("n"),
@@ -189,7 +198,7 @@ def profiles(rows: DataFrame, heads: DataFrame) -> DataFrame:
         count(size.between(850, 1100), "hpa"),
         count(whole & size.between(85_000, 110_000), "pa"),
         count(v.startswith("-") & (whole | decimal), "negative"),
-        count(v.rlike("^[^0-9]*[A-Za-z]{3}"), "words"),
+        count(~plain & v.rlike("^[^0-9]*[A-Za-z]{3}"), "words"),
     )
     text = F.col("n") - F.col("whole") - F.col("decimal")
     form = F.when(F.col("n").isNull(), None).when((F.col("whole") >= F.col("decimal")) & (F.col("whole") >= text), "whole")
@@ -203,9 +212,12 @@ def profiles(rows: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def match_fields(profiled: DataFrame) -> DataFrame:
-    """Adds ``fields``: the consistent field of each column; flooding runs once per different schema."""
-    signature = F.to_json(F.transform("columns", lambda c: F.struct(c["name"].alias("name"), c["kind"].alias("kind"))))
-    signed = profiled.withColumn("signature", signature)
+    """``file_id, file_kind, columns, fields``: the consistent field of each column; flooding runs once per
+    different set of names and forms.  The result, one row per file, is kept."""
+    plain = lambda c: F.lower(F.trim(c["name"]))
+    in_order = F.array_sort(F.transform("columns", lambda c: F.struct(F.coalesce(plain(c), F.lit("")).alias("plain"), c["kind"].alias("kind"), c["pos"].alias("pos"), c.alias("c"))))
+    signed = profiled.select("file_id", "file_kind", in_order.alias("sorted"))
+    signed = signed.withColumn("signature", F.to_json(F.transform("sorted", lambda x: F.struct(x["c"]["name"].alias("name"), x["kind"].alias("kind")))))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
@@ -220,7 +232,8 @@ def match_fields(profiled: DataFrame) -> DataFrame:
     n = int(profiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schemas = signed.select("file_kind", "signature").distinct().repartition(n, "signature")
     matched = schemas.mapInPandas(match, "file_kind string, signature string, fields array<string>")
-    return signed.join(matched, ["file_kind", "signature"]).drop("signature")
+    matched = signed.join(matched, ["file_kind", "signature"])
+    return durable(matched.select("file_id", "file_kind", F.transform("sorted", lambda x: x["c"]).alias("columns"), "fields"))
 
 
 def schema_changes(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -237,14 +250,11 @@ def schema_changes(lines: DataFrame, files: DataFrame) -> DataFrame:
     matched = match_fields(profiles(field_rows(lines, heads), heads))
     have = F.filter(F.arrays_zip("fields", "columns"), lambda x: x["fields"].isNotNull())
     held = F.map_from_entries(F.transform(have, lambda x: F.struct(x["fields"], F.struct(x["columns"]["name"].alias("name"), x["columns"]["form"].alias("form")))))
-    held = matched.select("file_id", held.alias("held"))
     of_kind = files.where(F.col("file_kind").isin("telemetry", "event")).select("rig_id", "file_kind", "file_seq", "file_id")
-    pairs = with_neighbour(of_kind, ["rig_id", "file_kind"], "file_seq", ["file_id"]).where("__near.file_id is not null")
-    pairs = pairs.select("file_id", "file_kind", F.col("__near.file_id").alias("before_id"))
-    pairs = pairs.join(held.withColumnRenamed("held", "new"), "file_id", "left")
-    pairs = pairs.join(held.select(F.col("file_id").alias("before_id"), F.col("held").alias("old")), "before_id", "left")
+    of_kind = of_kind.join(matched.select("file_id", held.alias("held")), "file_id", "left")
+    pairs = with_neighbour(of_kind, ["rig_id", "file_kind"], "file_seq", ["file_id", "held"]).where("__near.file_id is not null")
     names = F.create_map(*[x for k, fs in SCHEMAS.items() for x in (F.lit(k), F.array(*[F.lit(f.name) for f in fs]))])
-    rows = pairs.select("file_id", "file_kind", "new", "old", F.explode(names[F.col("file_kind")]).alias("field_name"))
+    rows = pairs.select("file_id", "file_kind", F.col("held").alias("new"), F.col("__near.held").alias("old"), F.explode(names[F.col("file_kind")]).alias("field_name"))
     rows = rows.withColumns({"a": F.try_element_at("old", "field_name"), "b": F.try_element_at("new", "field_name")})
     plain = lambda c: F.lower(F.trim(c))
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
@@ -261,26 +271,43 @@ def schema_changes(lines: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def _cast(text: Column, to: str) -> Column:
+    """A value in the type of its field; null where it has no such reading (``parse_lines`` tells why)."""
+    if to == "string":
+        return text
+    digits = F.regexp_extract(text, r"^\s*([+-]?(?:[0-9]+(?:[.,][0-9]*)?|[.,][0-9]+))(?:\s*[A-Za-z%]+)?\s*$", 1)
+    number = F.replace(F.nullif(digits, F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+    if to == "double":
+        return number
+    part = lambda i: F.regexp_extract(text, r"^\s*(-?)(?:(\d{1,2}):)?(\d{1,2}):([0-5]\d(?:[.,]\d+)?)\s*$", i)
+    clock = F.coalesce(part(2).try_cast("int"), F.lit(0)) * 3600 + part(3).try_cast("int") * 60 + F.replace(part(4), F.lit(","), F.lit(".")).try_cast("double")
+    return F.coalesce(number, F.when(part(1) == "-", -clock).otherwise(clock))
+
+
 def unified_rows(lines: DataFrame, files: DataFrame, kind: str) -> DataFrame:
-    """All files of a kind as one table: ``file_id, line_no`` and one text column per consistent field.
+    """All files of a kind as one table: ``file_id, line_no`` and one column per consistent field, in its type.
 
-    Telemetry also gets ``atm_hpa``, the room's air pressure in hPa whatever form the file has it in.
-    Fields a file lacks are null, as are blank values; lines with another number of fields than the
-    header are left out (they are the business of ``parse_lines``).
+    Numbers are doubles whatever their decimal mark, times of events are seconds whether written as
+    numbers or as ``[h:]mm:ss``, and the room's air pressure is in hPa, be it hPa or Pa in the file
+    (``atmpressure_text`` and the like keep what was written).  Fields a file lacks are null, as are blank
+    values and values without a reading in their type; lines with another number of fields than the header
+    are left out (they are the business of ``parse_lines``).
     """
     heads = headers(lines, files).where(F.col("file_kind") == kind)
     rows = field_rows(lines, heads)
-    matched = match_fields(profiles(rows, heads)).select("file_id", "fields")
+    matched = match_fields(profiles(rows, heads)).select("file_id", F.transform("columns", lambda c: c["pos"]).alias("at"), "fields")
     rows = rows.select("file_id", "line_no", "parts").join(matched, "file_id")
     out = ["file_id", "line_no"]
+    texts = []
     for f in SCHEMAS[kind]:
-        at = F.array_position("fields", f.name).cast("int")
-        value = F.when(at > 0, F.try_element_at("parts", at))
-        rows = rows.withColumn(f.name.lower(), F.when(F.length(value) > 0, value))
-        out.append(f.name.lower())
-    if kind == "telemetry":
-        digits = F.regexp_extract("atmpressure", r"([+-]?[0-9]+(?:[.,][0-9]+)?)", 1)
-        rows = rows.withColumn("__n", F.replace(digits, F.lit(","), F.lit("."))).withColumn("__n", F.expr("try_cast(__n as double)"))
-        rows = rows.withColumn("atm_hpa", F.when(F.col("__n") > 10_000, F.col("__n") / 100).otherwise(F.col("__n")))
-        out.append("atm_hpa")
-    return rows.select(*out)
+        place = F.try_element_at("at", F.array_position("fields", f.name).cast("int"))
+        value = F.when(F.array_contains("fields", f.name), F.try_element_at("parts", place + 1))
+        name = f.name.lower()
+        typed = F.when(F.length(value) > 0, value)
+        if f.type == "string":
+            out.append(typed.alias(name))
+            continue
+        cast = _cast(typed, f.type)
+        out.append((F.when(cast > 10_000, cast / 100).otherwise(cast) if f.name == "AtmPressure" else cast).alias(name))
+        texts.append(typed.alias(f"{name}_text"))
+    return rows.select(*out, *texts)
