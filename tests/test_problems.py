@@ -118,6 +118,11 @@ def _utc(text):
         ("see protocol", "UTC", "2025-02-28 10:00:00", None),
         ("", "UTC", "2025-02-28 10:00:00", None),
         ("x" * 100_000, "UTC", "2025-02-28 10:00:00", None),
+        ("1" * 100_000, "UTC", "2025-02-28 10:00:00", None),
+        (" " * 100_000 + "2024-09-05 07:43:43 " + " " * 70, "UTC", "2024-09-05 07:40:00", "2024-09-05 07:43:43"),
+        ("2024-09-05 07:43:43 +02:00", "UTC", "2024-09-05 05:40:00", "2024-09-05 05:43:43"),
+        ("5 Sept. 2024 07:43:43.25 pm", "UTC", "2024-09-05 19:40:00", "2024-09-05 19:43:43"),
+        ("20240905T074343Z", "UTC", "2024-09-05 07:40:00", "2024-09-05 07:43:43"),
         (None, "UTC", "2025-02-28 10:00:00", None),
         ("2024-02-29 12:00:00", None, None, "2024-02-29 12:00:00"),
     ],

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,23 +9,32 @@ from .neighbours import with_neighbour
 
 DAY = 86_400
 
-_TIME = (
-    r"(?P<H>\d{1,2}):(?P<M>\d{2}):(?P<S>\d{2})(?:[.,](?P<f>\d{1,9}))?"
-    r"(?:\s?(?P<ap>[ap])\.?m\.?(?:\.(?P<f>\d{1,9}))?)?(?:\s?(?P<z>Z|[+-]\d{2}:?\d{2}|[A-Z]{2,5}))?"
-)
-_MONTH = r"(?P<mon>jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
-#: Every format, as one alternation; groups of the same name mean the same in each.
-FORMATS = "|".join(
-    (
-        rf"(?P<y>\d{{4}})[-/.](?P<m>\d{{1,2}})[-/.](?P<d>\d{{1,2}})[T\s]\s*{_TIME}",
-        rf"(?P<a>\d{{1,2}})[-/.](?P<b>\d{{1,2}})[-/.](?P<c>\d{{4}}|\d{{2}})[T\s]\s*{_TIME}",
-        rf"(?P<d>\d{{1,2}})\s{_MONTH}\s(?P<y>\d{{4}}),?\s{_TIME}",
-        rf"{_MONTH}\s(?P<d>\d{{1,2}}),?\s(?P<y>\d{{4}}),?\s{_TIME}",
-        r"(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})T?(?P<H>\d{2})(?P<M>\d{2})(?P<S>\d{2})(?P<z>Z|[+-]\d{2}:?\d{2})?",
-        r"(?P<ms>\d{13})|(?P<s>\d{9,10})",
-        r"(?P<serial>\d{5}\.\d{3,})",
-    )
-)
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def _forms() -> list[str]:
+    """Every format; a named group ends in the number of its format, since a name can stand only once."""
+    out = []
+
+    def time(k: int) -> str:
+        return (
+            rf"(?<hh{k}>\d{{1,2}}):(?<mi{k}>\d{{2}}):(?<ss{k}>\d{{2}})(?:[.,](?<f{k}>\d{{1,9}}))?"
+            rf"(?:\s?(?<ap{k}>[ap])\.?m\.?(?:\.(?<g{k}>\d{{1,9}}))?)?(?:\s?(?<z{k}>Z|[+-]\d{{2}}:?\d{{2}}|[A-Z]{{2,5}}))?"
+        )
+
+    month = lambda k: rf"(?<mon{k}>{'|'.join(_MONTHS)})[a-z]*\.?"
+    out.append(rf"(?<y0>\d{{4}})[-/.](?<m0>\d{{1,2}})[-/.](?<d0>\d{{1,2}})[T\s]\s*{time(0)}")
+    out.append(rf"(?<a1>\d{{1,2}})[-/.](?<b1>\d{{1,2}})[-/.](?<c1>\d{{4}}|\d{{2}})[T\s]\s*{time(1)}")
+    out.append(rf"(?<d2>\d{{1,2}})\s{month(2)}\s(?<y2>\d{{4}}),?\s{time(2)}")
+    out.append(rf"{month(3)}\s(?<d3>\d{{1,2}}),?\s(?<y3>\d{{4}}),?\s{time(3)}")
+    out.append(r"(?<y4>\d{4})(?<m4>\d{2})(?<d4>\d{2})T?(?<hh4>\d{2})(?<mi4>\d{2})(?<ss4>\d{2})(?<z4>Z|[+-]\d{2}:?\d{2})?")
+    out.append(r"(?<ms5>\d{13})|(?<s5>\d{9,10})")
+    out.append(r"(?<serial6>\d{5}\.\d{3,})")
+    return out
+
+
+#: Every format, as one alternation of named groups around which only blanks may stand.
+FORMATS = rf"(?iU)\A\s*+(?:{'|'.join(_forms())})\s*+\z"
 #: Minutes east of UTC of zone abbreviations.
 ABBREVIATIONS = {
     "Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "MEZ": 60, "MESZ": 120,
@@ -36,41 +42,24 @@ ABBREVIATIONS = {
     "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780, "BRT": -180, "BRST": -120, "EST": -300, "EDT": -240,
     "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,
 }
-_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-_PARTS = "y int, m int, d int, a int, b int, c int, two boolean, hh int, mi int, ss int, us bigint, pm int, off int, zone boolean, instant_us bigint, serial double"
+_PARTS = ("y", "m", "d", "a", "b", "c", "hh", "mi", "ss", "f", "g", "ap", "z", "mon", "ms", "s", "serial")
 
 
-def split_times(texts: pd.Series) -> pd.DataFrame:
-    """Components of each text; a row of nulls where no format fits the whole text."""
-    import regex
+def split_times(text: Column) -> Column:
+    """Components of a text as an array of strings in the order of ``_PARTS``, empty where the format has none;
+    null where no format fits the whole text.
 
-    form = regex.compile(rf"\s*(?:{FORMATS})\s*", regex.I)
-    number = lambda g, k: int(g[k]) if g.get(k) else None
-    out = []
-    for text in texts:
-        got = form.fullmatch(text) if text is not None and len(text) < 80 else None
-        if not got:
-            out.append((None,) * 16)
-            continue
-        g = got.groupdict()
-        month = _MONTHS.index(g["mon"].lower()) + 1 if g.get("mon") else number(g, "m")
-        micros = int((g["f"] or "0").ljust(6, "0")[:6])
-        zone, off = g.get("z"), None
-        if zone:
-            z = zone.upper()
-            if z[0] in "+-":
-                off = (1 if z[0] == "+" else -1) * (int(z[1:3]) * 60 + int(z[-2:]))
-            else:
-                off = ABBREVIATIONS.get(z)
-        pm = {"a": 0, "p": 1}.get((g.get("ap") or "").lower())
-        instant = int(g["ms"]) * 1000 if g.get("ms") else int(g["s"]) * 1_000_000 if g.get("s") else None
-        serial = float(g["serial"]) if g.get("serial") else None
-        out.append(
-            (number(g, "y"), month, number(g, "d"), number(g, "a"), number(g, "b"), number(g, "c"), g.get("c") is not None and len(g["c"]) == 2)
-            + (number(g, "H"), number(g, "M"), number(g, "S"), micros, pm, off, zone is not None and off is not None, instant, serial)
-        )
-    names = [p.split()[0] for p in _PARTS.split(", ")]
-    return pd.DataFrame(out, columns=names, dtype=object)
+    The text is matched once: the match is replaced by all named groups in a fixed order, of which those of
+    formats that were not met are empty.
+    """
+    groups = "\u0001".join("".join(f"${{{n}}}" for n in _named(part)) for part in _PARTS)
+    return F.split(F.when(text.rlike(FORMATS), F.regexp_replace(text, FORMATS, groups)), "\u0001", -1)
+
+
+def _named(part: str) -> list[str]:
+    import re
+
+    return re.findall(rf"\(\?<({part}\d)>", FORMATS)
 
 
 def day_number(y: Column, m: Column, d: Column) -> Column:
@@ -114,18 +103,27 @@ def text_instants(
     taken; where ``tz`` is null local time is read as UTC.
 
     Nulls, empty texts and texts without a possible date and time (seconds included) give no row;
-    repeated rows give a row each; other columns are ignored.
+    blanks around a time don't matter, however many; repeated rows give a row each; other columns are ignored.
     """
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = split_times(pdf["text"])
-            parts.index = pdf.index
-            yield pd.concat([pdf.drop(columns="text"), parts], axis=1)
-
     base = texts.select(F.col(id_).alias("id"), F.col(text).alias("text"), F.col(tz).alias("tz"), micros(near_utc).alias("near"))
-    kinds = dict(base.dtypes)
-    p = base.where("text is not null").mapInPandas(parse, f"id {kinds['id']}, tz string, near bigint, {_PARTS}")
+    base = base.withColumn("parts", split_times(F.col("text")))
+    t = lambda k: F.nullif(F.col("parts")[_PARTS.index(k)], F.lit(""))
+    whole = lambda k: t(k).try_cast("int")
+    month = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(t("mon"))).cast("int")
+    zone_text = F.upper(t("z"))
+    sign = F.when(zone_text.startswith("-"), -1).otherwise(1)
+    written = sign * (F.substring(zone_text, 2, 2).try_cast("int") * 60 + F.right(zone_text, F.lit(2)).try_cast("int"))
+    known = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
+    off = F.when(zone_text.rlike("^[+-]"), written).otherwise(F.try_element_at(known, zone_text))
+    instant = F.coalesce(t("ms").try_cast("bigint") * 1000, t("s").try_cast("bigint") * 1_000_000)
+    p = base.select(
+        "id", "tz", "near", whole("y").alias("y"), F.coalesce(month, whole("m")).alias("m"), whole("d").alias("d"), whole("a").alias("a"), whole("b").alias("b"), whole("c").alias("c"),
+        (F.length(t("c")) == 2).alias("two"), whole("hh").alias("hh"), whole("mi").alias("mi"), whole("ss").alias("ss"),
+        F.rpad(F.substring(F.coalesce(t("f"), t("g"), F.lit("0")), 1, 6), 6, "0").try_cast("bigint").alias("us"),
+        F.when(F.lower(t("ap")) == "p", 1).when(t("ap").isNotNull(), 0).alias("pm"), off.alias("off"), off.isNotNull().alias("zone"),
+        instant.alias("instant_us"), t("serial").try_cast("double").alias("serial"),
+    )
     c = F.col
     hour = F.when(c("pm").isNull(), c("hh")).when(c("hh").between(1, 12), c("hh") % 12 + c("pm") * 12)
     clock = F.when(hour.between(0, 23) & c("mi").between(0, 59) & c("ss").between(0, 59), ((hour * 60 + c("mi")) * 60 + c("ss")).cast("bigint") * 1_000_000 + c("us"))
@@ -144,9 +142,10 @@ def text_instants(
     free = F.flatten(F.transform(c("wall"), lambda x: F.concat(_local_candidates(x, zone), F.array(x))))
     fixed = F.transform(c("wall"), lambda x: x - c("off").cast("bigint") * 60_000_000)
     readings = F.when(c("instant_us").isNotNull(), F.array("instant_us")).when(c("zone"), fixed).otherwise(free)
-    p = p.withColumn("readings", F.array_distinct(readings)).where(F.size("readings") > 0)
+    p = p.withColumn("readings", F.array_distinct(readings))
     ranked = F.transform(c("readings"), lambda x, i: F.struct(F.coalesce(F.abs(x - c("near")), F.lit(0).cast("bigint")).alias("far"), i.alias("i"), x.alias("us")))
-    p = p.withColumn("best", F.array_min(ranked))
+    # texts without a reading go here; as a filter this would be pushed below and the text matched once more for each part
+    p = p.select("id", "near", "readings", F.explode(F.array_compact(F.array(F.array_min(ranked)))).alias("best"))
     return p.select(
         c("id").alias(id_),
         c("best.us").alias("utc_us"),
