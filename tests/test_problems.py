@@ -170,6 +170,19 @@ def test_rejects(spark):
     assert rejects.parse_lines(lines.limit(0), files).count() == 0
 
 
+def test_records_across_line_breaks(spark):
+    texts = ['Behavior,Start (s),Stop (s),Duration (s),Comment', 'sleep,1,2,1,"first', 'second, ""third""', 'last"', "walking,3,4,1,x", 'digging,5,6,1,"a"', 'sleep,7,8,1,"', '"', "climbing,9,10,1"]
+    lines, files = _files(spark, [("event", 1, texts), ("event", 2, [*texts[:5], 'x,1,2,1,"open', *["walking,3,4,1,y"] * 12])])
+    for block in (2, 4096):
+        got = rejects.assemble_records(lines.where("file_id = 1 and line_no > 1"), block).collect()
+        assert sorted((r.line_no, r.line_text) for r in got) == [(2, "\n".join(texts[1:4])), (5, texts[4]), (6, texts[5]), (7, "\n".join(texts[6:8])), (9, texts[8])]
+    got = {(r.file_id, r.line_no): r.reason for r in rejects.parse_lines(lines, files, spanning=True).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == 1} == {2: None, 5: None, 6: None, 7: None, 9: "columns"}
+    long = rejects.assemble_records(lines.where("file_id = 2 and line_no > 1"), 4, most=10).collect()
+    assert sorted(r.line_no for r in long) == [2, *range(5, 19)]
+    assert rejects.parse_lines(lines.limit(0), files, spanning=True).count() == 0
+
+
 # 5 grid
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DELIMITERS = (",", ";", "\t")
@@ -28,7 +29,7 @@ def delimiter_of(header: str) -> str:
 
 def fields_of(line: str, delimiter: str) -> list[str]:
     """Fields of one record; a structural fault raises."""
-    read = lambda x: next(csv.reader([x], delimiter=delimiter, strict=True, skipinitialspace=True), [])
+    read = lambda x: next(csv.reader(io.StringIO(x, newline=""), delimiter=delimiter, strict=True, skipinitialspace=True), [])
     try:
         fields = read(line)
     except csv.Error as e:
@@ -78,7 +79,34 @@ _OUT = (
 )
 
 
-def parse_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
+def assemble_records(lines: DataFrame, block: int = 4096, most: int = 1000) -> DataFrame:
+    """Lines (``file_id, line_no, line_text``) put together to records where a quoted value goes on after a line break.
+
+    A line belongs to the record before it if an odd number of quotes stands before it in its file; a
+    record has the number of its first line.  Quotes are counted within blocks of ``block`` lines and one
+    row per block carries the count on, so a file of any size is spread.  A quote that is never closed would
+    swallow the rest of its file: what reaches over more than ``most`` lines stays as single lines, of
+    which the reader then refuses those with the quotes.  Null texts count as empty.
+    """
+    text = F.coalesce("line_text", F.lit(""))
+    odd = (F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))) % 2
+    rows = lines.select("file_id", "line_no", text.alias("line_text"), odd.alias("__odd"), F.floor(F.col("line_no") / block).alias("__b"))
+    within = Window.partitionBy("file_id", "__b").orderBy("line_no")
+    across = Window.partitionBy("file_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("file_id", "__b").agg(F.sum("__odd").alias("__n")).select("file_id", "__b", F.coalesce(F.sum("__n").over(across), F.lit(0)).alias("__before"))
+    rows = rows.withColumn("__q", F.coalesce(F.sum("__odd").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.join(carried, ["file_id", "__b"]).withColumn("__start", F.when((F.col("__q") + F.col("__before")) % 2 == 0, F.col("line_no")))
+    last = rows.groupBy("file_id", "__b").agg(F.max("__start").alias("__n")).select("file_id", "__b", F.max("__n").over(across).alias("__open"))
+    first = F.coalesce(F.last("__start", True).over(within), F.col("__open"), F.col("line_no"))
+    rows = rows.join(last, ["file_id", "__b"]).select("file_id", "line_no", "line_text", first.alias("__record"))
+    size = rows.groupBy("file_id", "__record").agg(F.count(F.lit(1)).alias("__lines"))
+    rows = rows.join(size, ["file_id", "__record"]).withColumn("__record", F.when(F.col("__lines") <= most, F.col("__record")).otherwise(F.col("line_no")))
+    parts = F.sort_array(F.collect_list(F.struct("line_no", "line_text")))  # at most ``most`` lines
+    whole = rows.groupBy("file_id", F.col("__record").alias("line_no")).agg(parts.alias("__p"))
+    return whole.select("file_id", "line_no", F.array_join(F.transform("__p", lambda x: F.regexp_replace(x["line_text"], "[\\r\\n]+$", "")), "\n").alias("line_text"))
+
+
+def parse_lines(lines: DataFrame, files: DataFrame, spanning: bool = False) -> DataFrame:
     """Every line after the header of event and config files, loaded or with the reason it can't be.
 
     ``lines``: ``file_id, line_no, line_text``; ``files``: ``file_id, file_kind``.  Returns the typed
@@ -87,14 +115,17 @@ def parse_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     ``value`` (start, duration or bin_size is unusable), the first that holds; a rejected line's
     fields are null.
 
-    Values never span lines here, so a record is a line.  Blank and null lines are passed over;
+    With ``spanning`` records are first put together across line breaks inside quotes (``assemble_records``);
+    without, a record is a line, as where a stray quote must not touch the lines after it.  Blank and null
+    lines are passed over;
     files without line 1 have no header and are left out; an event file without start or duration,
     or a config file without bin_size, has no such check.  Lines meet their file's header in a shuffle
     join that adaptive execution splits where one file holds much of the data.
     """
     kinds = files.select("file_id", "file_kind").where(F.col("file_kind").isin("event", "config"))
     heads = lines.where("line_no = 1").select("file_id", F.col("line_text").alias("header")).join(kinds, "file_id")
-    body = lines.where("line_no > 1 and length(trim(translate(line_text, '\\t\\r\\n', '   '))) > 0")
+    records = assemble_records(lines.where("line_no > 1")) if spanning else lines
+    body = records.where("line_no > 1 and length(trim(translate(line_text, '\\t\\r\\n', '   '))) > 0")
     body = body.select("file_id", "line_no", "line_text").join(heads, "file_id")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
