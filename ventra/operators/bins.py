@@ -61,8 +61,8 @@ def down_sample(readings: DataFrame, keys: list[str], time: str, line: str, valu
     return kept.groupBy(*keys, slot.alias("slot")).agg(first.alias("__f")).select(*keys, "slot", F.col(f"__f.{time}").alias(time), F.col(f"__f.{value}").alias(value))
 
 
-def minute_means(readings: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
-    """Mean per minute, also as a share of the source's largest; the largest is joined, not windowed."""
-    per = readings.where(present(value).isNotNull()).groupBy(*keys, F.floor(F.col(time) / 60).alias("minute")).agg(F.avg(value).alias("mean"))
+def minute_means(readings: DataFrame, keys: list[str], time: str, value: str, minute: int = 60) -> DataFrame:
+    """Mean per minute (of so many units of ``time``), also as a share of the source's largest; the largest is joined, not windowed."""
+    per = readings.where(present(value).isNotNull()).groupBy(*keys, F.floor(F.col(time) / minute).alias("minute")).agg(F.avg(value).alias("mean"))
     top = per.groupBy(*keys).agg(F.max("mean").alias("__top"))
     return per.join(top, keys).select(*keys, "minute", "mean", F.when(F.col("__top") != 0, F.col("mean") / F.col("__top")).alias("scaled"))

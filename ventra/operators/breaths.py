@@ -51,7 +51,7 @@ def cycles(extremes: DataFrame, keys: list[str], time: str, value: str, block: i
 
     A first peak before the first trough is dropped, a last trough after the last peak too, and both
     are cut to the same number.  Per cycle: times and values of trough and peak, time in, time out to
-    the next trough, total, duty, pressure swing, drive, peak to peak.  Sources without both kinds go.
+    the next trough, total, duty, pressure swing, drive (swing per second in), peak to peak.  Sources without both kinds go.
     """
     ends = extremes.groupBy(*keys).agg(
         F.min(F.when(F.col("kind") == "peak", F.col(time))).alias("__p"), F.min(F.when(F.col("kind") == "trough", F.col(time))).alias("__t")
@@ -67,7 +67,7 @@ def cycles(extremes: DataFrame, keys: list[str], time: str, value: str, block: i
     swing = F.abs(F.col("peak_v") - F.col("trough_v"))
     return near.select(
         *keys, "k", "trough_t", "peak_t", t_in.alias("t_in"), t_out.alias("t_out"), (t_in + t_out).alias("t_total"),
-        F.try_divide(t_in.cast("double"), t_in + t_out).alias("duty"), swing.alias("swing"), F.try_divide(swing, t_in).alias("drive"),
+        F.try_divide(t_in.cast("double"), t_in + t_out).alias("duty"), swing.alias("swing"), F.try_divide(swing * 1000, t_in).alias("drive"),
         (F.col("__near.peak_t") - F.col("peak_t")).alias("peak_to_peak"),
     )
 

@@ -154,26 +154,18 @@ def text_instants(
     )
 
 
-def wall_clock_instants(lines: DataFrame, files: DataFrame, last_only: bool = False) -> DataFrame:
-    """UTC instants of the lines of recordings whose counter follows the local clock of the site.
-
-    ``lines``: ``recording_id, file_no, line_no, row_id, timesincereference``; ``files``:
-    ``recording_id, file_no, tz, clock_kind, time_unit, interval_s, device_start_utc``.  Returns
-    ``recording_id, file_no, line_no, row_id, utc_us`` for files of clock kind ``wall``; with
-    ``last_only`` just for the line with the highest number.
-
-    The unit is the declared one or else the one of s, ms and min whose step fits ``interval_s``
-    best.  A local time that occurs twice (clocks set back) is the second of the two from the line
-    on where the counter steps back by more than half an hour, or if the first would lie before the
-    file's first line.  A local time that a clock change leaves out is read with the offset before.
-
-    Lines with a null or NaN time have no row (the highest numbered line with a time is the last);
-    files without start, zone or lines have none; repeated lines have a row each.
+def wall_clock_files(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """What turns the counter of each file of clock kind ``wall`` into instants, one row per file:
+    ``recording_id, file_no, tz, start_us, local_us, unit_us, first_t, fold_line, last, last_line``.
+
+    The unit is the declared one or else the one of s, ms and min whose step fits ``interval_s`` best;
+    ``fold_line`` is the line from which on a local time that occurs twice (clocks set back) is the second
+    of the two: where the counter steps back by more than half an hour.  One pass with partial aggregation,
+    and only files in which clocks are set back are looked at line by line.
     """
     keys = ["recording_id", "file_no"]
     t = F.col("timesincereference").cast("double")
     x = lines.select(*keys, F.col("line_no").cast("bigint").alias("line_no"), "row_id", t.alias("t")).where("t is not null and not isnan(t)")
-    # one pass with partial aggregation per file; nothing is sorted
     spans = x.groupBy(*keys).agg(
         F.max_by(F.struct("row_id", "t"), F.struct("line_no", "row_id")).alias("last"),
         F.max("line_no").alias("last_line"),
@@ -191,22 +183,48 @@ def wall_clock_instants(lines: DataFrame, files: DataFrame, last_only: bool = Fa
     unit = F.when(F.col("unit").isin("s", "sec", "seconds"), F.lit(1_000_000.0)).when(F.col("unit") == "ms", F.lit(1000.0))
     unit = unit.when(F.col("unit").isin("min", "minutes"), F.lit(60_000_000.0)).otherwise(fits)
     f = f.withColumn("unit_us", unit).withColumn("local_us", F.col("start_us") + offset_s(F.floor(F.col("start_us") / 1_000_000), F.col("tz")) * 1_000_000)
-    local = lambda v: (F.col("local_us") + F.round(v * F.col("unit_us"))).cast("bigint")
-    ends = [offset_s(F.floor(local(F.col(v)) / 1_000_000) + s, F.col("tz")) for v, s in (("lo", -DAY), ("hi", DAY))]
+    ends = [offset_s(F.floor(_counted(F.col(v)) / 1_000_000) + s, F.col("tz")) for v, s in (("lo", -DAY), ("hi", DAY))]
     f = f.withColumn("set_back", ends[0] > ends[1])
-    # the line from which on the second hour counts; only files with a clock set back are looked at
     back = x.join(f.where("set_back").select(*keys, "unit_us"), keys)
     back = with_neighbour(back.groupBy(*keys, "line_no").agg(F.max("t").alias("t"), F.first("unit_us").alias("unit_us")), keys, "line_no", ["t"])
     folds = back.where((F.col("__near.t") - F.col("t")) * F.col("unit_us") > 1800 * 1_000_000).groupBy(*keys).agg(F.min("line_no").alias("fold_line"))
-    f = f.join(folds, keys, "left")
+    return f.join(folds, keys, "left").select(*keys, "tz", "start_us", "local_us", "unit_us", "first_t", "fold_line", "last", "last_line")
+
+
+def _counted(t: Column) -> Column:
+    return (F.col("local_us") + F.round(t * F.col("unit_us"))).cast("bigint")
+
+
+def wall_clock_us(t: Column, line_no: Column) -> Column:
+    """Instant in microseconds of a counter value, beside the columns of ``wall_clock_files``."""
+    counted = _counted(t)
+    c = _local_candidates(counted, F.col("tz"))
+    valid = lambda u: u + offset_s(F.floor(u / 1_000_000), F.col("tz")) * 1_000_000 == counted
+    first_us = F.col("start_us") + F.round(F.col("first_t") * F.col("unit_us")) - 60_000_000
+    second = F.coalesce(line_no >= F.col("fold_line"), c[0] < first_us)
+    return F.when(c[0] == c[1], c[0]).when(valid(c[0]) & valid(c[1]), F.when(second, c[1]).otherwise(c[0])).when(valid(c[1]), c[1]).otherwise(c[0])
+
+
+def wall_clock_instants(lines: DataFrame, files: DataFrame, last_only: bool = False) -> DataFrame:
+    """UTC instants of the lines of recordings whose counter follows the local clock of the site.
+
+    ``lines``: ``recording_id, file_no, line_no, row_id, timesincereference``; ``files``:
+    ``recording_id, file_no, tz, clock_kind, time_unit, interval_s, device_start_utc``.  Returns
+    ``recording_id, file_no, line_no, row_id, utc_us`` for files of clock kind ``wall``; with
+    ``last_only`` just for the line with the highest number.
+
+    Unit and clock changes: see ``wall_clock_files``.  A local time that occurs twice is also the second of
+    the two if the first would lie before the file's first line.  A local time that a clock change leaves
+    out is read with the offset before.
+
+    Lines with a null or NaN time have no row (the highest numbered line with a time is the last);
+    files without start, zone or lines have none; repeated lines have a row each.
+    """
+    keys = ["recording_id", "file_no"]
+    f = wall_clock_files(lines, files)
     if last_only:
         rows = f.withColumns({"row_id": F.col("last.row_id"), "t": F.col("last.t"), "line_no": F.col("last_line")})
     else:
-        rows = x.join(f, keys)
-    rows = rows.withColumn("l", local(F.col("t"))).withColumn("c", _local_candidates(F.col("l"), F.col("tz")))
-    u1, u2 = F.col("c")[0], F.col("c")[1]
-    valid = lambda u: u + offset_s(F.floor(u / 1_000_000), F.col("tz")) * 1_000_000 == F.col("l")
-    first_us = F.col("start_us") + F.round(F.col("first_t") * F.col("unit_us")) - 60_000_000
-    second = F.coalesce(F.col("line_no") >= F.col("fold_line"), u1 < first_us)
-    utc = F.when(u1 == u2, u1).when(valid(u1) & valid(u2), F.when(second, u2).otherwise(u1)).when(valid(u2), u2).otherwise(u1)
-    return rows.select(*keys, "line_no", "row_id", utc.alias("utc_us"))
+        t = F.col("timesincereference").cast("double")
+        rows = lines.select(*keys, F.col("line_no").cast("bigint").alias("line_no"), "row_id", t.alias("t")).where("t is not null and not isnan(t)").join(f, keys)
+    return rows.select(*keys, "line_no", "row_id", wall_clock_us(F.col("t"), F.col("line_no")).alias("utc_us"))

@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align, asof, bins, breaths, coverage
-from ..operators.instants import micros, wall_clock_instants
 from ..operators.neighbours import with_rank
 from ..session import durable, table
-
-FILE = ["recording_id", "file_no"]
-HOUR = 3_600_000  # milliseconds; the width of the pieces of a source's time axis
+from .timeline import FILE, HOUR, TIMELINE, readings, valid
+from .timeline import valid_sql as _valid_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -33,37 +31,7 @@ def _ms(c: str):
     return F.when(~F.isnan(c), F.round(F.col(c) * 1000)).cast("bigint")
 
 
-def readings(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "telemetry")
-    return t.withColumn("ms", _ms("timesincereference"))
-
-
-def readings_since_start(spark: SparkSession, d: str) -> DataFrame:
-    """Readings of all files with ``ms`` since the start of the device; wall-clock counters by their instants."""
-    files = table(spark, d, "recording_files")
-    wall = files.where("clock_kind = 'wall'").dropDuplicates(FILE)
-    r = readings(spark, d)
-    lines = r.select(*FILE, "line_no", "row_id", "timesincereference").join(wall.select(*FILE), FILE, "left_semi")
-    ms = F.round((F.col("utc_us") - micros("device_start_utc")) / 1000).cast("bigint")
-    at = wall_clock_instants(lines, wall).join(wall.select(*FILE, "device_start_utc"), FILE).select(*FILE, "row_id", ms.alias("ms"))
-    return r.join(wall.select(*FILE), FILE, "left_anti").unionByName(r.drop("ms").join(at, [*FILE, "row_id"]))
-
-
-def valid(spark: SparkSession, d: str, signal: str, since_start: bool = False) -> DataFrame:
-    """Readings of a signal, one per time: the first valid one in the order of lines."""
-    r = (readings_since_start if since_start else readings)(spark, d).where(align.present(signal).isNotNull())
-    found = align.first_valid(r, FILE, "ms", "line_no", [signal]).drop("n_lines")
-    return durable(found) if since_start else found  # the instants are not to be found again for each use
-
-
-def _valid_sql(signal: str, name: str = "v") -> str:
-    return f"""{name} as (
-  select recording_id, file_no, cast(round(timesincereference * 1000) as bigint) ms, arg_min({signal}, line_no) {signal}
-  from telemetry where {signal} is not null and not isnan({signal}) and timesincereference is not null and not isnan(timesincereference)
-  group by 1, 2, 3)"""
-
-
-_COVER = f"""with {_valid_sql('smoothedpressure')}, marked as (
+_COVER = f"""with {TIMELINE}, {_valid_sql('smoothedpressure')}, marked as (
   select *, ms - lag(ms) over (partition by recording_id, file_no order by ms) step from v
 ), islands as (
   select *, sum(case when step is null or step > 5000 then 1 else 0 end) over (partition by recording_id, file_no order by ms rows unbounded preceding) island from marked
@@ -135,11 +103,12 @@ def instance_number(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select recording_id, file_no, cast(round(timesincereference * 1000) as bigint) ms,
+    f"with {TIMELINE}"
+    """ select recording_id, file_no, ms,
       arg_min(smoothedpressure, line_no) filter (smoothedpressure is not null and not isnan(smoothedpressure)) smoothedpressure,
       arg_min(temp, line_no) filter (temp is not null and not isnan(temp)) as temp,
       arg_min(activity, line_no) filter (activity is not null and not isnan(activity)) activity, count(*) n_lines
-    from telemetry where timesincereference is not null and not isnan(timesincereference) group by 1, 2, 3"""
+    from tl where ms is not null group by 1, 2, 3"""
 )
 def first_valid_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return align.first_valid(readings(spark, d), FILE, "ms", "line_no", ["smoothedpressure", "temp", "activity"])
@@ -204,7 +173,7 @@ def adjusted_behaviours(spark: SparkSession, d: str) -> DataFrame:
     return w.select("window_id", "start_at", "end_at", F.round("duration", 3).alias("duration"))
 
 
-_ASOF = f"""with {_valid_sql('temp', 'src')}, tgt as ({{tgt}}), b as (
+_ASOF = f"""with {TIMELINE}, {_valid_sql('temp', 'src')}, tgt as ({{tgt}}), b as (
   select tgt.*, l.ms lm, l.temp lv, r.ms rm, r.temp rv
   from tgt asof left join src l on tgt.recording_id = l.recording_id and tgt.file_no = l.file_no and tgt.ms >= l.ms
   asof left join src r on tgt.recording_id = r.recording_id and tgt.file_no = r.file_no and tgt.ms <= r.ms
@@ -212,7 +181,7 @@ _ASOF = f"""with {_valid_sql('temp', 'src')}, tgt as ({{tgt}}), b as (
 
 
 @query(
-    _ASOF.replace("{tgt}", "select recording_id, file_no, cast(round(timesincereference * 1000) as bigint) ms, row_id from telemetry where atmpressure is not null and not isnan(atmpressure)")
+    _ASOF.replace("{tgt}", "select recording_id, file_no, ms, row_id from tl where atmpressure is not null and not isnan(atmpressure)")
     + " select row_id, round(case when lm is null or rm is null then null when lm = rm then lv else lv + (rv - lv) * ((ms - lm) / (rm - lm)) end, 5) as temp from b"
 )
 def interp_asof(spark: SparkSession, d: str) -> DataFrame:
@@ -246,17 +215,15 @@ def time_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {_valid_sql('smoothedpressure', 'p')}, {_valid_sql('atmpressure', 'a')}, g as (
-      select recording_id, file_no, min(ms) lo, greatest(1, cast(ceil((max(ms) - min(ms)) / 300000.0) as bigint)) n from p join recording_files using (recording_id, file_no)
-      where clock_kind = 'elapsed' group by 1, 2
+    f"""with {TIMELINE}, {_valid_sql('smoothedpressure', 'p')}, {_valid_sql('atmpressure', 'a')}, g as (
+      select recording_id, file_no, min(ms) lo, greatest(1, cast(ceil((max(ms) - min(ms)) / 300000.0) as bigint)) n from p group by 1, 2
     ), spine as (select *, unnest(generate_series(0, n - 1)) b from g),
     s as (select recording_id, file_no, least(cast(floor((ms - lo) / 300000.0) as bigint), n - 1) b, avg(atmpressure) mean, stddev_samp(atmpressure) sd, count(*) c
       from a join g using (recording_id, file_no) where ms between lo and lo + n * 300000 group by 1, 2, 3)
     select recording_id, file_no, lo + b * 300000 bin_start, round(mean, 7) mean, round(sd, 5) sd, coalesce(c, 0) n from spine left join s using (recording_id, file_no, b)"""
 )
 def time_bins_closed_last(spark: SparkSession, d: str) -> DataFrame:
-    elapsed = table(spark, d, "recording_files").where("clock_kind = 'elapsed'").select(*FILE)
-    spans = valid(spark, d, "smoothedpressure").groupBy(*FILE).agg(F.min("ms").alias("lo"), F.max("ms").alias("hi")).join(elapsed, FILE, "left_semi")
+    spans = valid(spark, d, "smoothedpressure").groupBy(*FILE).agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
     b = bins.time_bins(valid(spark, d, "atmpressure"), spans, FILE, "ms", "atmpressure", 300_000)
     return b.select(*FILE, "bin_start", F.round("mean", 7).alias("mean"), F.round("sd", 5).alias("sd"), "n")
 
@@ -279,9 +246,9 @@ def _aligned_sql(signals: list[str]) -> str:
         f"avg({s}) filter (not isnan({s})) {s}_mean, stddev_samp({s}) filter (not isnan({s})) / sqrt(count({s}) filter (not isnan({s}))) {s}_sem" for s in signals
     )
     out = ", ".join(f"round({s}_{k}, {7 if k == 'mean' else 5}) {s}_{k}" for s in signals for k in ("mean", "sem"))
-    return f"""with {_ANCHOR}, spine as (select *, unnest(generate_series(0, 29)) b from anchor),
-    s as (select recording_id, file_no, cast(floor((cast(round(timesincereference * 1000) as bigint) - anchor + 600000) / 60000.0) as bigint) b, {cols}
-      from telemetry join anchor using (recording_id, file_no) group by 1, 2, 3)
+    return f"""with {TIMELINE}, {_ANCHOR}, spine as (select *, unnest(generate_series(0, 29)) b from anchor),
+    s as (select recording_id, file_no, cast(floor((ms - anchor + 600000) / 60000.0) as bigint) b, {cols}
+      from tl join anchor using (recording_id, file_no) group by 1, 2, 3)
     select recording_id, file_no, b * 60000 - 600000 bin_start, {out} from spine left join s using (recording_id, file_no, b)"""
 
 
@@ -299,26 +266,27 @@ def combine_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select recording_id, file_no, cast(round_even(timesincereference * 0.1, 0) as bigint) slot,
-      arg_min(atmpressure, {'t': timesincereference, 'l': line_no}) atmpressure
-    from telemetry where atmpressure is not null and not isnan(atmpressure) group by 1, 2, 3"""
+    f"with {TIMELINE}"
+    """ select recording_id, file_no, cast(round_even(ms * 0.0001, 0) as bigint) slot, arg_min(atmpressure, {'t': ms, 'l': line_no}) atmpressure
+    from tl where atmpressure is not null and not isnan(atmpressure) and ms is not null group by 1, 2, 3"""
 )
 def downsample_first_per_bin(spark: SparkSession, d: str) -> DataFrame:
-    return bins.down_sample(table(spark, d, "telemetry"), FILE, "timesincereference", "line_no", "atmpressure", 0.1).select(*FILE, "slot", "atmpressure")
+    return bins.down_sample(readings(spark, d).where("ms is not null"), FILE, "ms", "line_no", "atmpressure", 0.0001).select(*FILE, "slot", "atmpressure")
 
 
 @query(
-    """with m as (select recording_id, file_no, cast(floor(timesincereference / 60) as bigint) as minute, avg(activity) mean
-      from telemetry where activity is not null and not isnan(activity) group by 1, 2, 3)
+    f"with {TIMELINE}"
+    """, m as (select recording_id, file_no, cast(floor(ms / 60000.0) as bigint) as minute, avg(activity) mean
+      from tl where ms is not null and activity is not null and not isnan(activity) group by 1, 2, 3)
     select recording_id, file_no, minute, round(mean, 7) mean, round(mean / nullif(max(mean) over (partition by recording_id, file_no), 0), 7) scaled from m"""
 )
 def minute_activity(spark: SparkSession, d: str) -> DataFrame:
-    m = bins.minute_means(table(spark, d, "telemetry"), FILE, "timesincereference", "activity")
+    m = bins.minute_means(readings(spark, d).where("ms is not null"), FILE, "ms", "activity", 60_000)
     return m.select(*FILE, "minute", F.round("mean", 7).alias("mean"), F.round("scaled", 7).alias("scaled"))
 
 
 @query(
-    f"""with {_valid_sql('smoothedpressure')}, s as (select *, ms - lag(ms) over (partition by recording_id, file_no order by ms) step from v)
+    f"""with {TIMELINE}, {_valid_sql('smoothedpressure')}, s as (select *, ms - lag(ms) over (partition by recording_id, file_no order by ms) step from v)
     select recording_id, file_no, round(1000.0 / median(step), 6) rate from s where step > 0 group by 1, 2"""
 )
 def sample_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -328,19 +296,19 @@ def sample_rate(spark: SparkSession, d: str) -> DataFrame:
     return v.where("step > 0").groupBy(*FILE).agg(F.round(F.lit(1000.0) / F.median("step"), 6).alias("rate"))
 
 
-_EXTREMES = f"""with {_valid_sql('smoothedpressure')}, n as (
+_EXTREMES = f"""with {TIMELINE}, {_valid_sql('smoothedpressure')}, n as (
   select *, lag(smoothedpressure) over w p, lead(smoothedpressure) over w x from v window w as (partition by recording_id, file_no order by ms)
 ), ext as (
   select recording_id, file_no, ms, smoothedpressure, case when smoothedpressure > p and smoothedpressure > x then 'peak' when smoothedpressure < p and smoothedpressure < x then 'trough' end kind from n
 ), e as (select * from ext where kind is not null)"""
 
 
-def _extremes(spark: SparkSession, d: str, since_start: bool = False) -> DataFrame:
-    return durable(breaths.local_extremes(valid(spark, d, "smoothedpressure", since_start), FILE, "ms", "smoothedpressure", HOUR))
+def _extremes(spark: SparkSession, d: str) -> DataFrame:
+    return durable(breaths.local_extremes(valid(spark, d, "smoothedpressure"), FILE, "ms", "smoothedpressure", HOUR))
 
 
-def _peaks(spark: SparkSession, d: str, since_start: bool = False) -> DataFrame:
-    return _extremes(spark, d, since_start).where("kind = 'peak' and smoothedpressure > 0").drop("kind")
+def _peaks(spark: SparkSession, d: str) -> DataFrame:
+    return _extremes(spark, d).where("kind = 'peak' and smoothedpressure > 0").drop("kind")
 
 
 _PEAKS = _EXTREMES + ", peaks as (select recording_id, file_no, ms, smoothedpressure from e where kind = 'peak' and smoothedpressure > 0)"
@@ -398,10 +366,10 @@ def _breaths(spark: SparkSession, d: str) -> DataFrame:
 @query(
     _CYCLES
     + """ select recording_id, file_no, k, trough_t, peak_t, t_in, cast(t_out as double) t_out, cast(t_total as double) t_total, round(t_in / nullif(t_total, 0), 6) duty, round(swing, 4) swing,
-      round(swing / nullif(t_in, 0), 6) drive, cast(peak_to_peak as double) peak_to_peak from cyc"""
+      round(swing * 1000 / nullif(t_in, 0), 5) drive, cast(peak_to_peak as double) peak_to_peak from cyc"""
 )
 def breath_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return _breaths(spark, d).withColumns({"duty": F.round("duty", 6), "swing": F.round("swing", 4), "drive": F.round("drive", 6), **{c: F.col(c).cast("double") for c in ("t_out", "t_total", "peak_to_peak")}})
+    return _breaths(spark, d).withColumns({"duty": F.round("duty", 6), "swing": F.round("swing", 4), "drive": F.round("drive", 5), **{c: F.col(c).cast("double") for c in ("t_out", "t_total", "peak_to_peak")}})
 
 
 @query(
@@ -472,11 +440,10 @@ st as (select recording_id, file_no, cast(floor((ms - lo) / 50000.0) as bigint)
 @query(
     _SEGMENTS
     + """ select recording_id, file_no, segment, lo + segment * 50000 start_at, lo + (segment + 1) * 50000 end_at, coalesce(c, 0) n_breaths, round(r2, 5) drift_r2
-    from spine left join st using (recording_id, file_no, segment) join recording_files using (recording_id, file_no) where clock_kind = 'elapsed'"""
+    from spine left join st using (recording_id, file_no, segment)"""
 )
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    elapsed = table(spark, d, "recording_files").where("clock_kind = 'elapsed'").select(*FILE)
-    trace = breaths.interval_trace(_peaks(spark, d), FILE, "ms", HOUR).join(elapsed, FILE, "left_semi")
+    trace = breaths.interval_trace(_peaks(spark, d), FILE, "ms", HOUR)
     return breaths.trace_segments(trace, FILE, "ms", 50_000).withColumn("drift_r2", F.round("drift_r2", 5))
 
 
@@ -512,14 +479,10 @@ def dynamic_bins(spark: SparkSession, d: str) -> DataFrame:
     return n.select(*FILE, F.least("n", F.floor(F.lit(600) * F.log(1 + F.col("n") * 5 / F.lit(1200.0)))).alias("n_bins"))
 
 
-def _segments(spark: SparkSession, d: str, signal: str = "smoothedpressure", cut: bool = False) -> DataFrame:
+def _segments(spark: SparkSession, d: str, signal: str = "smoothedpressure") -> DataFrame:
     from ..operators.signals import segmented
 
-    if not cut:
-        return segmented(valid(spark, d, signal, since_start=True), FILE, "ms", signal, 5000, HOUR)
-    # as in the SQL twins
-    elapsed = table(spark, d, "recording_files").where("clock_kind = 'elapsed'").select(*FILE)  # counters in seconds
-    return segmented(valid(spark, d, signal).join(elapsed, FILE, "left_semi"), FILE, "ms", signal, 5000, HOUR, cut=True)
+    return segmented(durable(valid(spark, d, signal)), FILE, "ms", signal, 5000, HOUR)
 
 
 @query()
@@ -529,11 +492,8 @@ def preprocessed_pressure(spark: SparkSession, d: str) -> DataFrame:
     return preprocess(_segments(spark, d), FILE, "smoothedpressure")
 
 
-_QUANTILES = _COVER.replace("from telemetry where smoothedpressure", "from telemetry join recording_files using (recording_id, file_no) where clock_kind = 'elapsed' and smoothedpressure").replace("step > 5000", "step > 5000 or floor(ms / 3600000.0) <> floor((ms - step) / 3600000.0)")
-
-
 @query(
-    _QUANTILES
+    _COVER
     + """ select recording_id, file_no, ms,
       round(quantile_cont(smoothedpressure, 0.8) over (partition by recording_id, file_no, island order by ms rows between 7 preceding and 7 following), 6) upper,
       round(quantile_cont(smoothedpressure, 0.2) over (partition by recording_id, file_no, island order by ms rows between 7 preceding and 7 following), 6) lower
@@ -542,7 +502,7 @@ _QUANTILES = _COVER.replace("from telemetry where smoothedpressure", "from telem
 def rolling_quantile(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.signals import rolling_quantiles
 
-    q = rolling_quantiles(_segments(spark, d, cut=True), FILE, "smoothedpressure", 15)
+    q = rolling_quantiles(_segments(spark, d), FILE, "smoothedpressure", 15)
     return q.select(*FILE, "ms", F.round("upper", 6).alias("upper"), F.round("lower", 6).alias("lower"))
 
 
@@ -550,7 +510,7 @@ _TAPS = [3 * (3 * 17 * 17 + 3 * 17 - 1 - 5 * k * k) / ((2 * 17 - 1) * (2 * 17 +
 
 
 @query(
-    _QUANTILES
+    _COVER
     + ", s as (select recording_id, file_no, ms, "
     + " + ".join(f"({w!r}) * " + (f"lead(smoothedpressure, {k}) over w" if k > 0 else f"lag(smoothedpressure, {-k}) over w" if k < 0 else "smoothedpressure") for k, w in zip(range(-17, 18), _TAPS))
     + " y, row_number() over w r, count(*) over (partition by recording_id, file_no, island) n from islands window w as (partition by recording_id, file_no, island order by ms))"
@@ -564,7 +524,7 @@ def savgol_smooth(spark: SparkSession, d: str) -> DataFrame:
             return None
         return pd.DataFrame({"ms": g["ms"], "smoothed": dsp.smooth(g["smoothedpressure"].to_numpy(float))}).iloc[17 : len(g) - 17].copy()
 
-    s = per_segment(_segments(spark, d, cut=True), FILE, "ms", "ms bigint, smoothed double", kernel)
+    s = per_segment(_segments(spark, d), FILE, "ms", "ms bigint, smoothed double", kernel)
     return s.select(*FILE, "ms", F.round("smoothed", 6).alias("smoothed"))
 
 
@@ -585,7 +545,7 @@ def transient_peaks(spark: SparkSession, d: str) -> DataFrame:
 def _spectra(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.signals import interval_spectra
 
-    return interval_spectra(durable(breaths.interval_trace(_peaks(spark, d, since_start=True), FILE, "ms", HOUR)), FILE)
+    return interval_spectra(durable(breaths.interval_trace(_peaks(spark, d), FILE, "ms", HOUR)), FILE)
 
 
 @query()
@@ -603,7 +563,7 @@ def spectrum_metrics(spark: SparkSession, d: str) -> DataFrame:
 def _analysis(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     from .pipelines import pressure_analysis
 
-    r = readings_since_start(spark, d).select(*FILE, "ms", "line_no", "smoothedpressure", "temp", "activity", "atmpressure").where("ms is not null")
+    r = readings(spark, d).select(*FILE, "ms", "line_no", "smoothedpressure", "temp", "activity", "atmpressure").where("ms is not null")
     return pressure_analysis(r, _windows(spark, d), min_peaks=5)
 
 
@@ -629,11 +589,9 @@ def batch_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "with "
-    + _ANCHOR
+    f"with {TIMELINE}, {_ANCHOR}"
     + """ select recording_id, file_no, anchor, greatest(lo, anchor - 600000) start_at, least(hi, anchor + 1200000) end_at
-    from anchor join (select recording_id, file_no, min(cast(round(timesincereference * 1000) as bigint)) lo, max(cast(round(timesincereference * 1000) as bigint)) hi
-      from telemetry where not isnan(timesincereference) group by 1, 2) using (recording_id, file_no)"""
+    from anchor join (select recording_id, file_no, min(ms) lo, max(ms) hi from tl group by 1, 2 having max(ms) is not null) using (recording_id, file_no)"""
 )
 def clipped_windows(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.summaries import clip_window
@@ -680,7 +638,7 @@ def window_peak_counts(spark: SparkSession, d: str) -> DataFrame:
     _SEGMENTS
     + """ select count(*) filter (coalesce(c, 0) >= 4) n_accepted, count(*) filter (coalesce(c, 0) < 4) n_rejected, count(distinct recording_id) n_windows,
       count(distinct case when r2 > 0.3 then recording_id end) n_warned
-    from spine left join st using (recording_id, file_no, segment) join recording_files using (recording_id, file_no) where clock_kind = 'elapsed'"""
+    from spine left join st using (recording_id, file_no, segment)"""
 )
 def run_summary(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.summaries import run_summary as run
@@ -699,7 +657,7 @@ _SLOPE = [k / 3570 for k in range(-17, 18)]
 
 
 @query(
-    _QUANTILES
+    _COVER
     + ", s as (select recording_id, file_no, ms, "
     + " + ".join(f"({w!r}) * " + (f"lead(smoothedpressure, {k}) over w" if k > 0 else f"lag(smoothedpressure, {-k}) over w" if k < 0 else "smoothedpressure") for k, w in zip(range(-17, 18), _SLOPE))
     + " y, row_number() over w r, count(*) over (partition by recording_id, file_no, island) n from islands window w as (partition by recording_id, file_no, island order by ms))"
@@ -714,7 +672,7 @@ def savgol_slope(spark: SparkSession, d: str) -> DataFrame:
         slope = dsp.smooth(g["smoothedpressure"].to_numpy(float), derivative=True)
         return pd.DataFrame({"ms": g["ms"], "slope": slope}).iloc[17 : len(g) - 17].copy()
 
-    s = per_segment(_segments(spark, d, cut=True), FILE, "ms", "ms bigint, slope double", kernel)
+    s = per_segment(_segments(spark, d), FILE, "ms", "ms bigint, slope double", kernel)
     return s.select(*FILE, "ms", F.round("slope", 6).alias("slope"))
 
 
