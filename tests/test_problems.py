@@ -232,14 +232,14 @@ def test_spikes_stuck_and_impossible(spark):
     random.shuffle(data)
     df = _telemetry(spark, data)
     for block in (20_000, 500):
-        got = {(r.row_id, r.signal_name) for r in spikes.flag_spikes(df, ["recording_id", "file_no"], "row_id", "t", "line_no", block_rows=block).collect()}
+        got = {(r.row_id, r.signal_name) for r in spikes.flag_spikes(df, ["recording_id", "file_no"], "row_id", "t", "line_no", part_rows=block).collect()}
         assert got == want
     assert spikes.flag_spikes(df.limit(0), ["recording_id", "file_no"], "row_id", "t", "line_no").count() == 0
 
 
 def test_stuck_run_over_many_blocks(spark):
     data = [("r", 1, i, float(i), i, None, 37.0 if 95 <= i < 330 else 37.0 + (i % 7) / 100 + 0.01, None, None, None) for i in range(400)]
-    got = {r.row_id for r in spikes.flag_spikes(_telemetry(spark, data), ["recording_id", "file_no"], "row_id", "t", "line_no", block_rows=50).where("reason = 'stuck'").collect()}
+    got = {r.row_id for r in spikes.flag_spikes(_telemetry(spark, data), ["recording_id", "file_no"], "row_id", "t", "line_no", part_rows=50).where("reason = 'stuck'").collect()}
     assert got == set(range(95, 330))
 
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.batches import whole_groups
-from ..session import durable
+from ..session import durable, written
 
 
 @dataclass(frozen=True)
@@ -41,38 +41,89 @@ STRIDE = 4  # the running median is taken at every fourth reading
 STUCK = 30  # equal readings that count as stuck
 THRESHOLD = 0.90  # quantile of the absolute residual over which the tail is fitted
 RISK = 1e-8  # chance of a reading of the fitted tail to pass the cut-off
-#: Residuals are counted in bins of 1/16 octave from 2^-14 on; bin 0 holds what is below.
+SEASON, PHASES, SEASONS = 86_400.0, 24, 3  # length of the season in seconds, its parts, and how many a source must span to have one
+#: Residuals are counted in bins of 1/16 octave from 2^-14 on, by sign; bin 0 holds what is below.
 PER_OCTAVE, LEAST, BINS = 16, -14, 16 * 40
+PART_ROWS, MOST_PARTS = 200_000, 100_000  # rows of a piece of the sorted readings, and most pieces
 
 
-def residuals(x: np.ndarray, window: int, stride: int = STRIDE) -> np.ndarray:
+@dataclass
+class Around:
+    """What lies before and after a piece of a source: runs of equal readings, and readings for the running medians."""
+
+    run_before: tuple[float, int] = (math.nan, 0)
+    run_after: tuple[float, int] = (math.nan, 0)
+    before: np.ndarray = field(default_factory=lambda: np.empty(0))
+    after: np.ndarray = field(default_factory=lambda: np.empty(0))
+    n_before: int = 0
+    n_all: int | None = None
+
+
+def residuals(x: np.ndarray, window: int, around: Around | None = None, stride: int = STRIDE) -> np.ndarray:
     """Reading minus the nearest of three running medians: of the readings before, around and after it.
 
     An excursion of a few readings leaves all three; the start or end of a lasting change of level
-    agrees with one.  At the ends the windows are shifted, not cut.
+    agrees with one.  At the ends of a source the windows are shifted, not cut.  ``around`` has the readings
+    before and after a piece of a source and its place in it, so that a piece gets what the whole would.
     """
-    n = len(x)
-    w = min(window, n)
-    if n == 0:
+    around = around or Around()
+    total = len(x) if around.n_all is None else around.n_all
+    if not len(x):
         return x
-    starts = np.unique(np.r_[np.arange(0, n - w + 1, stride), n - w])
-    part = np.lib.stride_tricks.sliding_window_view(x, w)[starts]
+    w = min(window, total)
+    have = np.r_[around.before, x, around.after]
+    shift = around.n_before - len(around.before)  # place of the first of them in the source
+    starts = np.arange(-(-shift // stride) * stride, min(total - w, shift + len(have) - w) + 1, stride)
+    if total - w + w <= shift + len(have):
+        starts = np.unique(np.r_[starts, total - w])
+    starts = starts[starts >= shift] - shift
+    part = np.lib.stride_tricks.sliding_window_view(have, w)[starts]
     middle = np.partition(part, w // 2, axis=1)[:, w // 2] if w % 2 else np.median(part, axis=1)
     edges = (starts[1:] + starts[:-1]) / 2
+    own = np.arange(len(around.before), len(around.before) + len(x))
     best = None
     for back in (w // 2, w - 1, 0):
-        r = x - middle[np.searchsorted(edges, np.arange(n) - back)]
+        r = x - middle[np.searchsorted(edges, own - back)]
         best = r if best is None else np.where(np.abs(r) < np.abs(best), r, best)
     return best
 
 
-def histogram(r: np.ndarray) -> np.ndarray:
+def _bins(r: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         b = np.floor((np.log2(np.abs(r)) - LEAST) * PER_OCTAVE) + 1
-    return np.bincount(np.clip(b, 0, BINS - 1).astype(np.int64), minlength=BINS)
+    return np.clip(b, 0, BINS - 1).astype(np.int64)
 
 
 _UPPER = 2.0 ** (LEAST + np.arange(BINS) / PER_OCTAVE)
+_MIDDLE = np.r_[0.0, _UPPER[1:] * 2 ** (-0.5 / PER_OCTAVE)]
+_MIDDLE = np.r_[_MIDDLE, -_MIDDLE]  # below zero after those above
+
+
+def histogram(r: np.ndarray, phase: np.ndarray) -> np.ndarray:
+    """Counts of residuals by part of the season and signed bin, as one row of numbers."""
+    return np.bincount((phase * 2 + (r < 0)) * BINS + _bins(r), minlength=PHASES * 2 * BINS)
+
+
+def season_and_cutoff(counts: np.ndarray, seasonal: bool, s: Signal) -> tuple[np.ndarray, float]:
+    """Median residual of each part of the season, and the cut-off for what residuals then differ from it.
+
+    Both come from the counts alone, so pieces of a source only have to be added up.  Without enough
+    seasons, or in parts with fewer than ten readings, the season is zero.
+    """
+    by_phase = counts.reshape(PHASES, 2 * BINS)
+    profile = np.zeros(PHASES)
+    if not seasonal:
+        both = by_phase.sum(axis=0)
+        return profile, tail_cutoff(both[:BINS] + both[BINS:], s)
+    order = np.argsort(_MIDDLE, kind="stable")
+    n = by_phase.sum(axis=1)
+    at = (np.cumsum(by_phase[:, order], axis=1) * 2 >= n[:, None]).argmax(axis=1)
+    profile = np.where(n >= 10, _MIDDLE[order][at], 0.0)
+    rest = np.zeros(BINS, np.int64)
+    for k in np.flatnonzero(n):
+        have = np.flatnonzero(by_phase[k])
+        np.add.at(rest, _bins(_MIDDLE[have] - profile[k]), by_phase[k][have])
+    return profile, tail_cutoff(rest, s)
 
 
 def tail_cutoff(counts: np.ndarray, s: Signal, threshold: float = THRESHOLD, risk: float = RISK) -> float:
@@ -120,17 +171,37 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.r_[start, len(x)])
 
 
-def _stuck(x: np.ndarray, s: Signal) -> np.ndarray:
-    start, length = _runs(x)
+def _stuck(x: np.ndarray, s: Signal, around: Around) -> np.ndarray:
+    start, own = _runs(x)
+    length = own.copy()
+    if x[0] == around.run_before[0]:
+        length[0] += around.run_before[1]
+    if x[-1] == around.run_after[0]:
+        length[-1] += around.run_after[1]
     bad = length >= STUCK
     if s.zero_is_rest:
         bad &= x[start] != 0
-    return np.repeat(bad, length)
+    return np.repeat(bad, own)
 
 
-def _fit_for_tail(x: np.ndarray, s: Signal) -> np.ndarray:
+def _fit_for_tail(x: np.ndarray, s: Signal, around: Around) -> np.ndarray:
     """Readings that are possible and not part of a stuck run."""
-    return (x >= s.low) & (x <= s.high) & ~_stuck(x, s)
+    return (x >= s.low) & (x <= s.high) & ~_stuck(x, s, around)
+
+
+def _read(group: pd.DataFrame, s: Signal) -> tuple[np.ndarray, np.ndarray]:
+    v = group[s.name].to_numpy(float)
+    at = np.flatnonzero(~np.isnan(v))
+    return at, v[at]
+
+
+def _phase(group: pd.DataFrame) -> np.ndarray:
+    season = group["__season"].to_numpy(float)
+    return np.where(np.isnan(season), 0, np.floor(np.nan_to_num(season) % SEASON / (SEASON / PHASES))).astype(np.int64)
+
+
+def _spans_seasons(lo: float | None, hi: float | None) -> bool:
+    return lo is not None and hi is not None and hi - lo >= SEASONS * SEASON
 
 
 def flag_spikes(
@@ -140,178 +211,220 @@ def flag_spikes(
     time: str,
     line: str,
     signals: tuple[Signal, ...] = SIGNALS,
-    block_rows: int = 20_000,
+    season: str | None = None,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Readings that can't be measurements: ``keys, row_id, signal_name, value, reason``.
 
     ``impossible`` (outside the signal's limits), ``stuck`` (one of ``STUCK`` or more equal readings of
-    a source in unbroken order of ``time, line``) or ``spike`` (residual from the source's running
-    median beyond a cut-off that its own fitted tail passes with probability ``RISK``).
-
-    Null and NaN values are passed over; rows with a null or NaN time sort last; null keys form one
-    source; a source of a few readings is judged by the prior tail; repeated rows are judged each.
-
-    A source with more than ``block_rows`` rows (or a millionth of all rows, if that is more) is cut
-    into blocks along its time.  Blocks give histograms of residuals and the runs at their edges;
-    the tail is fitted to the sum of the histograms, and runs are put together across blocks, so the
-    result does not hang on where the cuts are (but for the running median, which is shifted, not
-    cut, at block ends).  At most a million sources can be that large, which bounds the broadcast.
+    a source in unbroken order of ``time, line``) or ``spike``: the residual from the source's running
+    medians, less the source's usual residual at that time of the season, lies beyond a cut-off that the
+    source's own fitted tail passes with probability ``RISK``.  ``season`` is a column of seconds (``time``
+    if not given); a source that spans fewer than ``SEASONS`` days has no season.
+
+    Null and NaN values are passed over; rows with a null or NaN time sort last, in the order of ``line``;
+    null keys form one source; a source of a few readings is judged by the prior tail; repeated rows are
+    judged each.
+
+    All rows are sorted over the whole cluster into pieces of about ``part_rows``, whatever source they
+    are of, and written to the shared folder.  A source that lies in one piece is judged there.  Of one that
+    reaches over several, each piece first gives its runs, then its readings next to the cuts, then its
+    counts of residuals; put together in order, these give each piece what the whole source would, so the
+    result does not hang on the cuts.  Per cut the driver holds some 50 numbers a signal, for ``MOST_PARTS``
+    cuts at most.
     """
     spark = readings.sparkSession
-    t = F.col(time).cast("double")
+    nil = lambda c: F.when(F.isnan(c), None).otherwise(c)
     rows = readings.select(
         *keys,
         F.col(row_id).cast("bigint").alias("__id"),
-        F.when(F.isnan(t), None).otherwise(t).alias("__t"),
+        nil(F.col(time).cast("double")).alias("__t"),
+        nil(F.col(season or time).cast("double")).alias("__season"),
         F.col(line).cast("bigint").alias("__line"),
         *[F.col(s.name).cast("double").alias(s.name) for s in signals],
     )
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__t").alias("__lo"), F.max("__t").alias("__hi"))
-    total, largest = sizes.agg(F.sum("__n"), F.max("__n")).first()
-    if not total:
-        return _result(rows.limit(0), keys, row_id)
-    limit = max(block_rows, total // 1_000_000)
-    kinds = dict(readings.dtypes)
-    key_schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    flag_schema = f"{key_schema}, __id bigint, signal_name string, value double, reason string"
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // part_rows))
+    order = [*keys, F.col("__t").asc_nulls_last(), "__line", "__id"]
+    placed = rows.repartitionByRange(min(n_parts, MOST_PARTS), *order).sortWithinPartitions(*order)
+    pieces = written(placed.drop("__t", "__line").withColumn("__part", F.spark_partition_id()))
+    key = F.struct(*keys)
+    ends = pieces.groupBy("__part").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy("__part").collect()
+    chains: dict[tuple, list[int]] = {}  # parts of each source that lies in several
+    for a, b in zip(ends, ends[1:]):
+        if tuple(a.hi) == tuple(b.lo):
+            chains.setdefault(tuple(a.hi), [a["__part"]]).append(b["__part"])
+    around = _around(pieces, keys, signals, chains)
+    given = _given(pieces, keys, signals, chains, around)
 
-    def flagged(pdf: pd.DataFrame, s: Signal, at: np.ndarray, x: np.ndarray, bad: np.ndarray, reason: str) -> pd.DataFrame:
-        i = at[bad]
-        out = pdf[[*keys, "__id"]].iloc[i].copy()
-        out["signal_name"], out["value"], out["reason"] = s.name, x[bad], reason
-        return out
+    kinds = dict(readings.dtypes)
+    flag_schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", __id bigint, signal_name string, value double, reason string"
 
-    def judged(pdf: pd.DataFrame, cutoff: Callable[[Signal, np.ndarray], float]) -> Iterator[pd.DataFrame]:
+    def judged(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        source = _key_of(group, keys)
+        beside = around.get((int(group["__part"].iloc[0]), source), {})
+        phase = None
         for s in signals:
-            v = pdf[s.name].to_numpy(float)
-            at = np.flatnonzero(~np.isnan(v))
+            at, x = _read(group, s)
             if not len(at):
                 continue
-            x = v[at]
-            bad = (x < s.low) | (x > s.high)
-            if bad.any():
-                yield flagged(pdf, s, at, x, bad, "impossible")
-            still = _stuck(x, s) & ~bad
-            if still.any():
-                yield flagged(pdf, s, at, x, still, "stuck")
-            possible = _fit_for_tail(x, s)
-            r = residuals(x[possible], s.window)
-            if not len(r):
-                continue
-            cut = cutoff(s, r)
-            spike = np.zeros(len(x), bool)
-            spike[possible] = np.abs(r) > cut
-            if spike.any():
-                yield flagged(pdf, s, at, x, spike, "spike")
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            near = beside.get(s.name, Around())
+            impossible = (x < s.low) | (x > s.high)
+            stuck = _stuck(x, s, near)
+            fit = ~impossible & ~stuck
+            reason = np.where(impossible, "impossible", np.where(stuck, "stuck", ""))
+            r = residuals(x[fit], s.window, near)
+            if len(r):
+                if phase is None:
+                    phase = _phase(group)
+                if source in chains:
+                    profile, cut = given[source].get(s.name, (np.zeros(PHASES), math.inf))
+                else:
+                    t = group["__season"].to_numpy(float)
+                    known = t[~np.isnan(t)]
+                    profile, cut = season_and_cutoff(histogram(r, phase[at][fit]), bool(len(known)) and _spans_seasons(known.min(), known.max()), s)
+                reason[np.flatnonzero(fit)[np.abs(r - profile[phase[at][fit]]) > cut]] = "spike"
+            bad = np.flatnonzero(reason != "")
+            if len(bad):
+                out = group[[*keys, "__id"]].iloc[at[bad]].copy()
+                out["signal_name"], out["value"], out["reason"] = s.name, x[bad], reason[bad]
+                yield out
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        for group in whole_groups(batches, [*keys, "__block"]):
-            held += judged(group, lambda s, r: tail_cutoff(histogram(r), s))
+        for group in whole_groups(batches, [*keys, "__part"]):
+            held += judged(group)
             if len(held) > 200:
                 yield pd.concat(held)
                 held = []
         if held:
             yield pd.concat(held)
 
-    def in_order(df: DataFrame) -> DataFrame:
-        return df.repartition(*keys, "__block").sortWithinPartitions(*keys, "__block", F.col("__t").asc_nulls_last(), "__line", "__id")
-
-    if largest <= limit:
-        flat = in_order(rows.withColumn("__block", F.lit(0).cast("bigint")))
-        return _result(flat.mapInPandas(whole, flag_schema), keys, row_id)
-
-    big = sizes.where(F.col("__n") > limit).withColumn("__blocks", F.ceil(F.col("__n") / limit))
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    a = rows.alias("a")
-    small = in_order(a.join(F.broadcast(big.alias("b")), cond, "left_anti").withColumn("__block", F.lit(0).cast("bigint")))
-    share = (F.col("a.__t") - F.col("b.__lo")) / (F.col("b.__hi") - F.col("b.__lo"))
-    block = F.coalesce(F.least(F.floor(share * F.col("b.__blocks")), F.col("b.__blocks") - 1), F.col("b.__blocks"))
-    cut_up = a.join(F.broadcast(big.alias("b")), cond).select("a.*", block.cast("bigint").alias("__block"))
-
-    profile_schema = (
-        f"{key_schema}, __block bigint, signal_name string, bins array<int>, counts array<bigint>, n_runs bigint, "
-        "head_value double, head_n bigint, head_ids array<bigint>, tail_value double, tail_n bigint, tail_ids array<bigint>"
-    )
+    return pieces.mapInPandas(judge, flag_schema).select(*keys, F.col("__id").alias(row_id), "signal_name", "value", "reason")
+
+
+def _key_of(group: pd.DataFrame, keys: list[str]) -> tuple:
+    return tuple(None if pd.isna(v) else v for v in group[keys].iloc[0])
+
+
+def _of_chains(pieces: DataFrame, keys: list[str], chains: dict[tuple, list[int]]) -> DataFrame:
+    """Rows of the sources that lie in several pieces, in their order; the list of those has two entries a piece at most."""
+    kinds = dict(pieces.dtypes)
+    names = pieces.sparkSession.createDataFrame(list(chains), ", ".join(f"`__k{i}` {kinds[k]}" for i, k in enumerate(keys)))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return pieces.join(F.broadcast(names), same, "left_semi")
+
+
+def _summaries(pieces: DataFrame, keys: list[str], signals: tuple[Signal, ...], chains: dict, what: Callable, fields: str) -> DataFrame:
+    """One row per piece of a chain and signal, with what ``what`` makes of its readings."""
+    kinds = dict(pieces.dtypes)
+    names = [*keys, "__part", "signal_name", *[f.split()[0] for f in fields.split(", ")]]
 
-    def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Histogram of residuals and the runs at both edges, per block and signal."""
-        for group in whole_groups(batches, [*keys, "__block"]):
-            ids = group["__id"].to_numpy()
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in whole_groups(batches, [*keys, "__part"]):
+            source, part = _key_of(group, keys), int(group["__part"].iloc[0])
             out = []
             for s in signals:
-                v = group[s.name].to_numpy(float)
-                at = np.flatnonzero(~np.isnan(v))
-                if not len(at):
-                    continue
-                x = v[at]
-                h = histogram(residuals(x[_fit_for_tail(x, s)], s.window))
-                start, n = _runs(x)
-                keep = lambda k: ids[at[start[k] : start[k] + n[k]]].tolist() if n[k] < STUCK else []
-                first = group.iloc[0]
-                out.append(
-                    [*[first[k] for k in keys], int(first["__block"]), s.name, np.flatnonzero(h).tolist(), h[h > 0].tolist(), len(start)]
-                    + [float(x[start[0]]), int(n[0]), keep(0), float(x[start[-1]]), int(n[-1]), keep(-1)]
-                )
-            names = [*keys, "__block", "signal_name", "bins", "counts", "n_runs", "head_value", "head_n", "head_ids", "tail_value", "tail_n", "tail_ids"]
-            yield pd.DataFrame(out, columns=names)
-
-    profiles = durable(in_order(cut_up).mapInPandas(profile, profile_schema))
-    pairs = profiles.select(*keys, "signal_name", F.explode(F.arrays_zip("bins", "counts")).alias("p"))
+                at, x = _read(group, s)
+                if len(at):
+                    out.append([*source, part, s.name, *what(group, source, part, s, at, x)])
+            yield pd.DataFrame(out, columns=names, dtype=object)
+
+    return _of_chains(pieces, keys, chains).mapInPandas(each, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", __part int, signal_name string, {fields}")
+
+
+def _around(pieces: DataFrame, keys: list[str], signals: tuple[Signal, ...], chains: dict[tuple, list[int]]) -> dict:
+    """What lies around each piece of each chain: ``(part, source) -> signal -> Around``."""
+    found: dict[tuple, dict[str, Around]] = {(p, k): {s.name: Around() for s in signals} for k, parts in chains.items() for p in parts}
+    if not chains:
+        return found
+
+    def runs(group, source, part, s, at, x):
+        start, n = _runs(x)
+        return float(x[0]), int(n[0]), float(x[-1]), int(n[-1]), len(start) == 1
+
+    got = _summaries(pieces, keys, signals, chains, runs, "head double, head_n bigint, tail double, tail_n bigint, single boolean").collect()
+    of = {(r["__part"], tuple(r[k] for k in keys), r.signal_name): r for r in got}
+    for source, parts in chains.items():
+        for s in signals:
+            for ahead, walk in ((True, parts), (False, parts[::-1])):
+                value, n = math.nan, 0
+                for p in walk:
+                    here = found[p, source][s.name]
+                    if ahead:
+                        here.run_before = (value, n)
+                    else:
+                        here.run_after = (value, n)
+                    r = of.get((p, source, s.name))
+                    if r is not None:
+                        v, m = (r.tail, r.tail_n) if ahead else (r["head"], r.head_n)
+                        value, n = v, (n if r.single and v == value else 0) + m
+    partial = {k: {n: Around(a.run_before, a.run_after) for n, a in v.items()} for k, v in found.items()}
+
+    def readings_at_ends(group, source, part, s, at, x):
+        fit = x[_fit_for_tail(x, s, partial[part, source][s.name])]
+        reach = s.window + 2 * STRIDE
+        return len(fit), fit[:reach].tolist(), fit[-reach:].tolist()
+
+    got = _summaries(pieces, keys, signals, chains, readings_at_ends, "n bigint, first array<double>, last array<double>").collect()
+    of = {(r["__part"], tuple(r[k] for k in keys), r.signal_name): r for r in got}
+    for source, parts in chains.items():
+        for s in signals:
+            reach = s.window + 2 * STRIDE
+            total = sum(of[p, source, s.name].n for p in parts if (p, source, s.name) in of)
+            kept, n = np.empty(0), 0
+            for p in parts:
+                here = found[p, source][s.name]
+                here.before, here.n_before, here.n_all = kept, n, total
+                if r := of.get((p, source, s.name)):
+                    kept, n = np.r_[kept, r["last"]][-reach:], n + r.n
+            kept = np.empty(0)
+            for p in parts[::-1]:
+                found[p, source][s.name].after = kept
+                if r := of.get((p, source, s.name)):
+                    kept = np.r_[r["first"], kept][:reach]
+    return found
+
+
+def _given(pieces: DataFrame, keys: list[str], signals: tuple[Signal, ...], chains: dict, around: dict) -> dict[tuple, dict]:
+    """Season and cut-off of each source in several pieces: ``source -> signal -> (profile, cut)``."""
+    out: dict[tuple, dict] = {k: {} for k in chains}
+    if not chains:
+        return out
+
+    def counted(group, source, part, s, at, x):
+        near = around[part, source][s.name]
+        fit = _fit_for_tail(x, s, near)
+        h = histogram(residuals(x[fit], s.window, near), _phase(group)[at][fit])
+        t = group["__season"].to_numpy(float)
+        known = t[~np.isnan(t)]
+        have = np.flatnonzero(h)
+        return have.tolist(), h[have].tolist(), float(known.min()) if len(known) else None, float(known.max()) if len(known) else None
+
+    parts = durable(_summaries(pieces, keys, signals, chains, counted, "bins array<int>, counts array<bigint>, lo double, hi double"))
+    spans = parts.groupBy(*keys, "signal_name").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    pairs = parts.select(*keys, "signal_name", F.explode(F.arrays_zip("bins", "counts")).alias("p"))
     sums = pairs.groupBy(*keys, "signal_name", F.col("p.bins").alias("bin")).agg(F.sum("p.counts").alias("n"))
-    tails = sums.groupBy(*keys, "signal_name").agg(F.collect_list(F.struct("bin", "n")).alias("h"))  # at most BINS entries
+    whole = sums.groupBy(*keys, "signal_name").agg(F.collect_list(F.struct("bin", "n")).alias("h"))  # as many entries at most as there are bins
+    same = F.col("a.signal_name") == F.col("b.signal_name")
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    whole = whole.alias("a").join(spans.alias("b"), same).select("a.*", "b.lo", "b.hi")
     by_name = {s.name: s for s in signals}
 
-    @F.pandas_udf("double")
-    def fitted(h: pd.Series, name: pd.Series) -> pd.Series:
-        out = []
-        for pairs_, n in zip(h, name):
-            counts = np.zeros(BINS, np.int64)
+    @F.pandas_udf("struct<profile array<double>, cut double>")
+    def fitted(h: pd.Series, name: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
+        found = []
+        for pairs_, n, a, b in zip(h, name, lo, hi):
+            counts = np.zeros(PHASES * 2 * BINS, np.int64)
             for p in pairs_:
                 counts[p["bin"]] = p["n"]
-            out.append(tail_cutoff(counts, by_name[n]))
-        return pd.Series(out)
-
-    cuts = tails.withColumn("cut", fitted("h", "signal_name")).groupBy(*keys).pivot("signal_name", [s.name for s in signals]).agg(F.first("cut"))
-    cuts = cuts.select(*keys, *[F.col(s.name).alias(f"__cut_{s.name}") for s in signals])
-    apply_rows = in_order(cut_up.alias("a").join(F.broadcast(cuts.alias("b")), cond).select("a.*", *[f"b.__cut_{s.name}" for s in signals]))
-
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in whole_groups(batches, [*keys, "__block"]):
-            given = {s.name: group[f"__cut_{s.name}"].iloc[0] for s in signals}
-            # runs inside a block are settled here; those at its edges below
-            yield from judged(group, lambda s, r: given[s.name] if given[s.name] is not None and not math.isnan(given[s.name]) else math.inf)
-
-    flags = small.mapInPandas(whole, flag_schema).unionByName(apply_rows.mapInPandas(apply, flag_schema))
-    joined = _edge_runs(profiles, keys, signals)
-    flags = flags.unionByName(joined).groupBy(*keys, "__id", "signal_name").agg(F.first("value").alias("value"), F.min("reason").alias("reason"))
-    return _result(flags, keys, row_id)
-
-
-def _edge_runs(profiles: DataFrame, keys: list[str], signals: tuple[Signal, ...]) -> DataFrame:
-    """Readings of runs that reach ``STUCK`` only across block edges; one or two rows per block go in."""
-    whole = F.col("n_runs") == 1
-    head = F.struct(F.lit(0).alias("part"), F.col("head_value").alias("v"), F.col("head_n").alias("n"), F.col("head_ids").alias("ids"))
-    tail = F.struct(F.lit(1).alias("part"), F.col("tail_value").alias("v"), F.col("tail_n").alias("n"), F.col("tail_ids").alias("ids"))
-    pieces = profiles.select(*keys, "signal_name", "__block", F.explode(F.when(whole, F.array(head)).otherwise(F.array(head, tail))).alias("p"))
-    pieces = pieces.select(*keys, "signal_name", "__block", "p.*")
-    order = Window.partitionBy(*keys, "signal_name").orderBy("__block", "part")
-    opens = (F.lag("v").over(order).isNull()) | (F.lag("v").over(order) != F.col("v")) | (F.col("part") == 1)
-    pieces = pieces.withColumn("run", F.sum(F.when(opens, 1).otherwise(0)).over(order))
-    in_run = Window.partitionBy(*keys, "signal_name", "run")
-    pieces = pieces.withColumn("length", F.sum("n").over(in_run)).where(F.col("length") >= STUCK)
-    rest = [s.name for s in signals if s.zero_is_rest]
-    possible = F.lit(False)
-    for s in signals:
-        possible = possible | ((F.col("signal_name") == s.name) & F.col("v").between(s.low, s.high))
-    pieces = pieces.where(possible & ~(F.col("signal_name").isin(rest) & (F.col("v") == 0)))
-    return pieces.select(*keys, F.explode("ids").alias("__id"), "signal_name", F.col("v").alias("value"), F.lit("stuck").alias("reason"))
-
-
-def _result(flags: DataFrame, keys: list[str], row_id: str) -> DataFrame:
-    if "reason" not in flags.columns:
-        flags = flags.select(*keys, "__id", F.lit("").alias("signal_name"), F.lit(0.0).alias("value"), F.lit("").alias("reason"))
-    return flags.select(*keys, F.col("__id").alias(row_id), "signal_name", "value", "reason")
+            known = not (pd.isna(a) or pd.isna(b))
+            profile, cut = season_and_cutoff(counts, known and _spans_seasons(a, b), by_name[n])
+            found.append((profile.tolist(), cut))
+        return pd.DataFrame(found, columns=["profile", "cut"])
+
+    for r in whole.select(*keys, "signal_name", fitted("h", "signal_name", "lo", "hi").alias("f")).collect():
+        out[tuple(r[k] for k in keys)][r.signal_name] = (np.array(r.f.profile), r.f.cut)
+    return out

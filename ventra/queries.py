@@ -11,6 +11,7 @@ from .operators.instants import text_instants, wall_clock_instants
 from .operators.intervals import merge_intervals
 from .operators.rejects import parse_lines
 from .operators.spikes import flag_spikes
+from .plans.timeline import on_timeline
 from .session import table
 
 FILE = ["recording_id", "file_no"]
@@ -70,7 +71,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_flags(spark: SparkSession, d: str) -> DataFrame:
-    return flag_spikes(table(spark, d, "telemetry"), FILE, "row_id", "timesincereference", "line_no")
+    # the season follows the hour of the day at the site as it is counted since the start, whatever the file's clock
+    rows = on_timeline(table(spark, d, "telemetry"), table(spark, d, "recording_files")).withColumn("since_s", F.col("ms") / 1000)
+    return flag_spikes(rows, FILE, "row_id", "timesincereference", "line_no", season="since_s")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
