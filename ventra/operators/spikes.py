@@ -213,6 +213,7 @@ def flag_spikes(
     signals: tuple[Signal, ...] = SIGNALS,
     season: str | None = None,
     part_rows: int = PART_ROWS,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Readings that can't be measurements: ``keys, row_id, signal_name, value, reason``.
 
@@ -226,7 +227,7 @@ def flag_spikes(
     null keys form one source; a source of a few readings is judged by the prior tail; repeated rows are
     judged each.
 
-    All rows are sorted over the whole cluster into pieces of about ``part_rows``, whatever source they
+    All rows (``n_rows``, counted if not given) are sorted over the whole cluster into pieces of about ``part_rows``, whatever source they
     are of, and written to the shared folder.  A source that lies in one piece is judged there.  Of one that
     reaches over several, each piece first gives its runs, then its readings next to the cuts, then its
     counts of residuals; put together in order, these give each piece what the whole source would, so the
@@ -243,7 +244,7 @@ def flag_spikes(
         F.col(line).cast("bigint").alias("__line"),
         *[F.col(s.name).cast("double").alias(s.name) for s in signals],
     )
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // part_rows))
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows.count() if n_rows is None else n_rows) // part_rows))
     order = [*keys, F.col("__t").asc_nulls_last(), "__line", "__id"]
     placed = rows.repartitionByRange(min(n_parts, MOST_PARTS), *order).sortWithinPartitions(*order)
     pieces = written(placed.drop("__t", "__line").withColumn("__part", F.spark_partition_id()))

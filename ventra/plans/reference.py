@@ -489,7 +489,10 @@ def _segments(spark: SparkSession, d: str, signal: str = "smoothedpressure") ->
 def preprocessed_pressure(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.signals import preprocess
 
-    return preprocess(_segments(spark, d), FILE, "smoothedpressure")
+    from ..operators.signals import segmented
+
+    # readings that are missing inside a stretch are filled in first, so that the filters see even steps
+    return preprocess(segmented(durable(_filled(spark, d)), FILE, "ms", "smoothedpressure", 5000, HOUR), FILE, "smoothedpressure")
 
 
 @query(
@@ -714,6 +717,129 @@ def channel_map(spark: SparkSession, d: str) -> DataFrame:
     return channels(_telemetry_lines(spark, d)).withColumnRenamed("file_path", "file_id")
 
 
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    """The time each file is aligned to: when it was received."""
+    return table(spark, d, "raw_files").where("file_kind = 'telemetry'").select(F.col("file_id").alias("file_path"), F.col("received_at").alias("near"))
+
+
+_CHANNELS = r""", c as (
+  select file_id, line_no, regexp_extract(line_text, '^\s*#\s*Col\s+(\d+):', 1) col, lower(trim(split_part(line_text, ',', 2))) as name,
+    trim(regexp_extract(split_part(line_text, ',', 5), ':\s*(.*)$', 1)) rate from l
+), ch as (
+  select file_id, signal, cast(arg_min(col, line_no) as int) pos, arg_min(case when regexp_full_match(rate, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') then try_cast(rate as double) end, line_no) rate_hz
+  from (select *, case when name in ('temp', 'temperature') then 'temp' when name = 'pressure' then 'pressure' when name in ('activity', 'act') then 'activity' when name = 'apr' then 'atm' end signal from c where col <> '')
+  where signal is not null group by 1, 2
+), hd as (
+  select file_id, coalesce(min(case when lower(ltrim(line_text)) like 'time%' then line_no end), 0) head from l group by 1
+), val as (
+  select l.file_id, line_no, signal, case when regexp_full_match(x, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') then try_cast(x as double) end v
+  from (select l.file_id, l.line_no, signal, trim(split_part(line_text, ',', pos)) x from l join ch using (file_id)) l join hd using (file_id) where line_no > head
+), body as (
+  select file_id, line_no, trim(split_part(line_text, ',', 1)) date_text from l join hd using (file_id) where line_no > head
+), fmt as (
+  select file_id, first_text, case when regexp_matches(x, '\.\d{1,6}\s*(AM|PM)\b', 'i') then 'before' when regexp_matches(x, '(AM|PM)\.\d{1,6}\b', 'i') then 'after' else 'none' end form,
+    case when a is null then false when a = month(received_at) and b = day(received_at) then false when b = month(received_at) and a = day(received_at) then true when a > 12 then true when b > 12 then false
+      else abs(date_diff('day', cast(received_at as date), make_date(y, b, a))) < abs(date_diff('day', cast(received_at as date), make_date(y, a, b))) end is_day_first
+  from (select *, try_cast(regexp_extract(x, '^(\d{1,2})/(\d{1,2})/(\d{4})', 1) as int) a, try_cast(regexp_extract(x, '^(\d{1,2})/(\d{1,2})/(\d{4})', 2) as int) b,
+      try_cast(regexp_extract(x, '^(\d{1,2})/(\d{1,2})/(\d{4})', 3) as int) y
+    from (select file_id, arg_min(date_text, line_no) first_text, replace(regexp_replace(regexp_replace(arg_min(date_text, line_no), 'a\.m\.', 'AM', 'gi'), 'p\.m\.', 'PM', 'gi'), '..', '.') x from body group by 1)
+    join raw_files using (file_id))
+)"""
+_STAMPS = r""", parts as (
+  select file_id, line_no, form, is_day_first, regexp_extract(x, '^\s*(\d{1,2})/(\d{1,2})/(\d{4})\s+(\d{1,2}):(\d{2}):(\d{2})(?:\.(\d{1,6}))?\s*([AaPp][Mm])(?:\.(\d{1,6}))?\s*$', ['a', 'b', 'y', 'h', 'mi', 's', 'f', 'ap', 'g']) p
+  from (select *, replace(regexp_replace(regexp_replace(date_text, 'a\.m\.', 'AM', 'gi'), 'p\.m\.', 'PM', 'gi'), '..', '.') x from body join fmt using (file_id))
+), written as (
+  select file_id, line_no, form, case when p.a <> '' and (p.f <> '') = (form = 'before') and (p.g <> '') = (form = 'after') and cast(p.h as int) between 1 and 12 and cast(p.mi as int) < 60 and cast(p.s as int) < 60 then
+    epoch_us(try_cast(p.y || '-' || case when is_day_first then p.b || '-' || p.a else p.a || '-' || p.b end as date))
+      + (((cast(p.h as int) % 12 + case when upper(p.ap) = 'PM' then 12 else 0 end) * 60 + cast(p.mi as int)) * 60 + cast(p.s as int)) * cast(1000000 as bigint) + cast(rpad(p.f || p.g, 6, '0') as bigint) end us
+  from parts
+), stamped as (
+  select w.file_id, line_no, us + case when form = 'none' then cast((row_number() over (partition by w.file_id, us order by line_no) - 1) * round_even(1000000 / coalesce(rate_hz, 1.0), 0) as bigint) else 0 end us
+  from written w left join (select file_id, arg_min(case when signal = 'atm' then 1.0 else rate_hz end, case signal when 'pressure' then 0 when 'temp' then 1 when 'activity' then 2 else 3 end) rate_hz from ch group by 1) m using (file_id)
+)"""
+
+
+@query(_TELEMETRY_LINES + _CHANNELS + " select file_id, first_text, is_day_first from fmt")
+def dayfirst_decision(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.files import telemetry_rows
+    from ..sources.frames import timestamp_formats as run
+
+    return run(telemetry_rows(_telemetry_lines(spark, d)), _near(spark, d)).select(F.col("file_path").alias("file_id"), "first_text", "is_day_first")
+
+
+@query(
+    _TELEMETRY_LINES + _CHANNELS + _STAMPS
+    + """ select file_id, any_value(form) form, count(*) n_lines, count(us) n_read, min(us) first_us, max(us) last_us
+    from stamped join fmt using (file_id) group by 1"""
+)
+def timestamp_formats(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources import frames
+    from ..sources.files import telemetry_rows
+
+    lines = _telemetry_lines(spark, d)
+    rows = telemetry_rows(lines)
+    formats = frames.timestamp_formats(rows, _near(spark, d))
+    read = frames.timestamps(rows, formats, frames.master_rates(lines)).join(formats.select("file_path", "form"), "file_path")
+    sums = read.groupBy("file_path").agg(F.any_value("form").alias("form"), F.count(F.lit(1)).alias("n_lines"), F.count("us").alias("n_read"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    return sums.withColumnRenamed("file_path", "file_id")
+
+
+@query(
+    _TELEMETRY_LINES + _CHANNELS + _STAMPS
+    + """, fr as (
+      select file_id, us, arg_min(v, line_no) filter (signal = 'pressure' and v is not null) pressure, arg_min(v, line_no) filter (signal = 'temp' and v is not null) as temp,
+        arg_min(v, line_no) filter (signal = 'activity' and v is not null) activity, arg_min(v, line_no) filter (signal = 'atm' and v is not null) atm
+      from stamped left join val using (file_id, line_no) where us is not null group by 1, 2
+    ), st as (select file_id, min(us) first_us from fr where coalesce(pressure, temp, activity) is not null group by 1)
+    select file_id, us, round((us - epoch_us(received_at)) / 1e6, 6) t_s, pressure, temp, activity, atm from fr join st using (file_id) join raw_files using (file_id) where us >= first_us"""
+)
+def aligned_frame(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.frames import aligned_frame as run
+
+    f = run(_telemetry_lines(spark, d), _near(spark, d), "alignment")
+    return f.select(F.col("file_path").alias("file_id"), "us", F.round("t_s", 6).alias("t_s"), "pressure", "temp", "activity", "atm")
+
+
+@query(
+    _TELEMETRY_LINES + _CHANNELS
+    + """, g as (select file_id, head = 0 no_head, n is null no_channel, coalesce(bad, false) bad, coalesce(pressure, false) pressure, coalesce(usable, false) usable from hd
+      left join (select file_id, count(*) n, bool_or(coalesce(rate_hz <= 0, true)) bad, bool_or(signal = 'pressure') pressure from ch group by 1) using (file_id)
+      left join (select file_id, bool_or(v is not null and signal <> 'atm') usable from val group by 1) using (file_id))
+    select file_id, fault from (select file_id, unnest([case when no_head then 'no header' end, case when no_channel then 'no channel' end, case when bad then 'bad rate' end,
+      case when not pressure then 'no pressure' end, case when not usable then 'no usable signal' end]) fault from g) where fault is not null"""
+)
+def telemetry_faults(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.frames import telemetry_faults as run
+
+    return run(_telemetry_lines(spark, d)).withColumnRenamed("file_path", "file_id")
+
+
+_FILLED = f"""with {TIMELINE}, fr as (
+  select recording_id, file_no, ms, arg_min(smoothedpressure, line_no) filter (smoothedpressure is not null and not isnan(smoothedpressure)) p from tl where ms is not null group by 1, 2, 3
+), pl as (select *, row_number() over (partition by recording_id, file_no order by ms) k from fr), nb as (
+  select *, last(case when p is not null then {{'k': k, 'p': p, 'ms': ms}} end ignore nulls) over (partition by recording_id, file_no order by ms rows unbounded preceding) l,
+    first(case when p is not null then {{'k': k, 'p': p, 'ms': ms}} end ignore nulls) over (partition by recording_id, file_no order by ms rows between current row and unbounded following) r
+  from pl
+)"""
+
+
+@query(
+    _FILLED
+    + """ select recording_id, file_no, ms, round(case when p is null then l.p + (r.p - l.p) * (k - l.k) / (r.k - l.k) else p end, 6) smoothedpressure, p is null was_filled
+    from nb where p is not null or (l is not null and r is not null and r.ms - l.ms <= 5000)"""
+)
+def filled_pressure(spark: SparkSession, d: str) -> DataFrame:
+    f = _filled(spark, d)
+    return f.withColumn("smoothedpressure", F.round("smoothedpressure", 6))
+
+
+def _filled(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.frames import fill_inside
+
+    frame = align.first_valid(readings(spark, d), FILE, "ms", "line_no", ["smoothedpressure"])
+    return fill_inside(frame, FILE, "ms", "smoothedpressure", 5000, HOUR // 1000)
+
+
 CONFIG_COLUMNS = ("telemetry_file", "event_file", "behaviour", "video_time", "bin_size", "probe_time")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align
 from ..operators.instants import micros, wall_clock_files, wall_clock_us
-from ..session import durable, table
+from ..session import table, written
 
 FILE = ["recording_id", "file_no"]
 HOUR = 3_600_000  # milliseconds; the width of the pieces of a source's time axis
@@ -21,7 +21,7 @@ def on_timeline(telemetry: DataFrame, files: DataFrame) -> DataFrame:
     """
     clocks = wall_clock_files(telemetry, files).drop("last", "last_line")
     kinds = files.where("clock_kind = 'wall'").select(*FILE, F.lit(True).alias("is_wall")).dropDuplicates(FILE)
-    clocks = durable(kinds.join(clocks, FILE, "left"))
+    clocks = written(kinds.join(clocks, FILE, "left"))  # as a table its size is known: sent to the readings while small
     t = F.when(~F.isnan("timesincereference"), F.col("timesincereference"))
     since = F.round((wall_clock_us(t, F.col("line_no")) - F.col("start_us")) / 1000)
     ms = F.when(F.col("is_wall"), since).otherwise(F.round(t * 1000)).cast("bigint")

@@ -72,8 +72,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_flags(spark: SparkSession, d: str) -> DataFrame:
     # the season follows the hour of the day at the site as it is counted since the start, whatever the file's clock
-    rows = on_timeline(table(spark, d, "telemetry"), table(spark, d, "recording_files")).withColumn("since_s", F.col("ms") / 1000)
-    return flag_spikes(rows, FILE, "row_id", "timesincereference", "line_no", season="since_s")
+    telemetry = table(spark, d, "telemetry")
+    rows = on_timeline(telemetry, table(spark, d, "recording_files")).withColumn("since_s", F.col("ms") / 1000)
+    return flag_spikes(rows, FILE, "row_id", "timesincereference", "line_no", season="since_s", n_rows=telemetry.count())
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
