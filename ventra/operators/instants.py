@@ -154,19 +154,21 @@ def text_instants(
     )
 
 
-def wall_clock_files(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """What turns the counter of each file of clock kind ``wall`` into instants, one row per file:
-    ``recording_id, file_no, tz, start_us, local_us, unit_us, first_t, fold_line, last, last_line``.
+def wall_clock_units(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """Unit of the counter of each file of clock kind ``wall`` that has lines, a zone and a start, one row per file:
+    ``recording_id, file_no, tz, start_us, unit_us, first_t, lo, hi, last, last_line``.
 
-    The unit is the declared one or else the one of s, ms and min whose step fits ``interval_s`` best;
-    ``fold_line`` is the line from which on a local time that occurs twice (clocks set back) is the second
-    of the two: where the counter steps back by more than half an hour.  One pass with partial aggregation,
-    and only files in which clocks are set back are looked at line by line.
+    The unit is the declared one or else the one of s, ms and min whose step fits ``interval_s`` best.
+    One pass with partial aggregation.
     """
     keys = ["recording_id", "file_no"]
+    wall = files.where("clock_kind = 'wall' and device_start_utc is not null and tz is not null").select(
+        *keys, "tz", F.lower(F.trim("time_unit")).alias("unit"), F.col("interval_s").cast("double").alias("interval_s"), micros("device_start_utc").alias("start_us")
+    )
+    wall = wall.dropDuplicates(keys)
     t = F.col("timesincereference").cast("double")
     x = lines.select(*keys, F.col("line_no").cast("bigint").alias("line_no"), "row_id", t.alias("t")).where("t is not null and not isnan(t)")
-    spans = x.groupBy(*keys).agg(
+    spans = x.join(wall.select(*keys), keys, "left_semi").groupBy(*keys).agg(
         F.max_by(F.struct("row_id", "t"), F.struct("line_no", "row_id")).alias("last"),
         F.max("line_no").alias("last_line"),
         F.min_by("t", F.struct("line_no", "row_id")).alias("first_t"),
@@ -174,21 +176,33 @@ def wall_clock_files(lines: DataFrame, files: DataFrame) -> DataFrame:
         F.min("t").alias("lo"),
         F.count(F.lit(1)).alias("n"),
     )
-    wall = files.where("clock_kind = 'wall' and device_start_utc is not null and tz is not null").select(
-        *keys, "tz", F.lower(F.trim("time_unit")).alias("unit"), F.col("interval_s").cast("double").alias("interval_s"), micros("device_start_utc").alias("start_us")
-    )
-    f = wall.dropDuplicates(keys).join(spans, keys)
+    f = wall.join(spans, keys)
     step = (F.col("hi") - F.col("lo")) / (F.col("n") * F.col("interval_s"))
     fits = F.when(step > 31.6, F.lit(1000.0)).when(step < 0.129, F.lit(1_000_000 * 60.0)).otherwise(F.lit(1_000_000.0))
     unit = F.when(F.col("unit").isin("s", "sec", "seconds"), F.lit(1_000_000.0)).when(F.col("unit") == "ms", F.lit(1000.0))
     unit = unit.when(F.col("unit").isin("min", "minutes"), F.lit(60_000_000.0)).otherwise(fits)
-    f = f.withColumn("unit_us", unit).withColumn("local_us", F.col("start_us") + offset_s(F.floor(F.col("start_us") / 1_000_000), F.col("tz")) * 1_000_000)
+    return f.select(*keys, "tz", "start_us", unit.alias("unit_us"), "first_t", "lo", "hi", "last", "last_line")
+
+
+def wall_clock_files(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """What turns the counter of each file of clock kind ``wall`` into instants, one row per file: the columns of
+    ``wall_clock_units``, ``local_us`` (local time of the start) and ``fold_line``.
+
+    That is the line from which on a local time that occurs twice (clocks set back) is the second of the
+    two: where the counter steps back by more than half an hour.  Only files in which clocks are set back
+    are looked at line by line.
+    """
+    keys = ["recording_id", "file_no"]
+    f = wall_clock_units(lines, files)
+    f = f.withColumn("local_us", F.col("start_us") + offset_s(F.floor(F.col("start_us") / 1_000_000), F.col("tz")) * 1_000_000)
     ends = [offset_s(F.floor(_counted(F.col(v)) / 1_000_000) + s, F.col("tz")) for v, s in (("lo", -DAY), ("hi", DAY))]
     f = f.withColumn("set_back", ends[0] > ends[1])
+    t = F.col("timesincereference").cast("double")
+    x = lines.select(*keys, F.col("line_no").cast("bigint").alias("line_no"), t.alias("t")).where("t is not null and not isnan(t)")
     back = x.join(f.where("set_back").select(*keys, "unit_us"), keys)
     back = with_neighbour(back.groupBy(*keys, "line_no").agg(F.max("t").alias("t"), F.first("unit_us").alias("unit_us")), keys, "line_no", ["t"])
     folds = back.where((F.col("__near.t") - F.col("t")) * F.col("unit_us") > 1800 * 1_000_000).groupBy(*keys).agg(F.min("line_no").alias("fold_line"))
-    return f.join(folds, keys, "left").select(*keys, "tz", "start_us", "local_us", "unit_us", "first_t", "fold_line", "last", "last_line")
+    return f.join(folds, keys, "left").drop("set_back", "lo", "hi")
 
 
 def _counted(t: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align
-from ..operators.instants import micros, wall_clock_files, wall_clock_us
+from ..operators.instants import micros, wall_clock_files, wall_clock_units, wall_clock_us
 from ..session import table, written
 
 FILE = ["recording_id", "file_no"]
@@ -28,6 +28,13 @@ def on_timeline(telemetry: DataFrame, files: DataFrame) -> DataFrame:
     return telemetry.join(clocks, FILE, "left").select(*telemetry.columns, ms.alias("ms"))
 
 
+def with_counted_seconds(telemetry: DataFrame, files: DataFrame, name: str = "counted_s") -> DataFrame:
+    """Adds the file's own counter in seconds: local time for wall-clock files, whatever unit they count in."""
+    units = written(wall_clock_units(telemetry, files).select(*FILE, "unit_us"))
+    seconds = F.col("timesincereference") * F.coalesce(F.col("unit_us") / 1_000_000, F.lit(1.0))
+    return telemetry.join(units, FILE, "left").select(*telemetry.columns, seconds.alias(name))
+
+
 def readings(spark: SparkSession, d: str) -> DataFrame:
     """Telemetry of all files with ``ms`` since the start of the device."""
     return on_timeline(table(spark, d, "telemetry"), table(spark, d, "recording_files"))

@@ -11,7 +11,7 @@ from .operators.instants import text_instants, wall_clock_instants
 from .operators.intervals import merge_intervals
 from .operators.rejects import parse_lines
 from .operators.spikes import flag_spikes
-from .plans.timeline import on_timeline
+from .plans.timeline import with_counted_seconds
 from .session import table
 
 FILE = ["recording_id", "file_no"]
@@ -71,10 +71,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_flags(spark: SparkSession, d: str) -> DataFrame:
-    # the season follows the hour of the day at the site as it is counted since the start, whatever the file's clock
     telemetry = table(spark, d, "telemetry")
-    rows = on_timeline(telemetry, table(spark, d, "recording_files")).withColumn("since_s", F.col("ms") / 1000)
-    return flag_spikes(rows, FILE, "row_id", "timesincereference", "line_no", season="since_s", n_rows=telemetry.count())
+    rows = with_counted_seconds(telemetry, table(spark, d, "recording_files"))  # the season follows the hour of the day
+    return flag_spikes(rows, FILE, "row_id", "timesincereference", "line_no", season="counted_s", n_rows=telemetry.count())
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
