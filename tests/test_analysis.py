@@ -94,6 +94,34 @@ def test_periods_and_traces(spark):
     assert [r.ms for r in breaths.interval_trace(t, ["k"], "ms", 5, trim=3).orderBy("ms").collect()] == list(range(3, 18))
 
 
+def test_periods_do_not_hang_on_blocks(spark):
+    import random
+
+    random.seed(12)
+    data = []
+    for key in ("a", "b", None):
+        t = -2000
+        for _ in range(400):
+            t += random.choice([0, 3, 4, 5, 5, 6, 9, 14, 40])
+            data.append((key, t, 0))
+    want = []
+    for key in ("a", "b", None):
+        times = sorted(t for k, t, _ in data if k == key)
+        runs, recent = [[times[0]]], []
+        for before, t in zip(times, times[1:]):
+            recent = [*recent, t - before][-10:]
+            if t - before > 2 * np.median(recent):
+                runs.append([])
+                recent = []
+            runs[-1].append(t)
+        want += [(key, i, r[0], r[-1], len(r)) for i, r in enumerate([r for r in runs if len(r) >= 4])]
+    d = df_of(spark, [*data, ("c", None, 0), ("d", 5, 0)], "k string, ms long, period_no int")
+    for block in (7, 100, 10_000):
+        got = [tuple(r) for r in breaths.valid_periods(d, ["k"], "ms", 4, 10, 2.0, block).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    assert breaths.valid_periods(d.limit(0), ["k"], "ms").count() == 0
+
+
 def test_filters():
     t = np.arange(0, 4, 1 / 500)
     slow, fast = np.sin(2 * np.pi * 2 * t), np.sin(2 * np.pi * 100 * t)

@@ -243,6 +243,48 @@ def test_stuck_run_over_many_blocks(spark):
     assert got == set(range(95, 330))
 
 
+def test_residuals_of_pieces_are_those_of_the_whole():
+    rng = np.random.default_rng(13)
+    for n in (3, 20, 26, 57, 300):
+        for window in (25, 11):
+            x = np.cumsum(rng.normal(size=n))
+            whole = spikes.residuals(x, window)
+            cuts = np.sort(rng.choice(np.arange(1, n), min(4, n - 1), replace=False))
+            reach, got = window + 2 * spikes.STRIDE, []
+            for a, b in zip([0, *cuts], [*cuts, n]):
+                got.append(spikes.residuals(x[a:b], window, spikes.Around(before=x[max(0, a - reach) : a], after=x[b : b + reach], n_before=a, n_all=n)))
+            assert np.allclose(np.concatenate(got), whole)
+
+
+def test_spikes_do_not_hang_on_pieces(spark):
+    rng = np.random.default_rng(14)
+    data = []
+    for source, n in (("hot", 2500), ("a", 60), ("b", 60), (None, 90)):
+        for i in range(n):
+            t = None if source == "hot" and i % 5 == 0 else 7.0 if source == "b" else float(i // 2)  # no time, one time, ties
+            temp = 36.6 + rng.normal(0, 0.02)
+            stuck = 37.2 if source == "hot" and 1200 <= i < 1900 else None
+            p = 90.0 if rng.random() < 0.004 else rng.normal(0, 1)
+            data.append((source, 1, len(data), t, i, float(p), float(stuck or temp), 3.0 if i < 45 else 0.0, None if rng.random() < 0.7 else 1000.0, 0.0))
+    df = _telemetry(spark, data)
+    found = [rows(spikes.flag_spikes(df, ["recording_id", "file_no"], "row_id", "t", "line_no", part_rows=k)) for k in (100_000, 300, 37)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 700
+    assert {"stuck", "spike"} == {r.reason for r in spikes.flag_spikes(df, ["recording_id", "file_no"], "row_id", "t", "line_no", part_rows=37).select("reason").distinct().collect()}
+
+
+def test_what_comes_every_day_is_no_spike(spark):
+    rng = np.random.default_rng(15)
+    data = []
+    for k in range(12 * 144):  # a reading every ten minutes, for twelve days; from eight to nine they are always high
+        hour = k % 144 / 6
+        value = 36.5 + rng.normal(0, 0.03) + (1.2 if 8 <= hour < 9 else 0.0) + (1.2 if k == 5 * 144 + 100 else 0.0)
+        data.append(("r", 1, k, k * 600.0, k, None, float(value), None, None, 0.0))
+    df = _telemetry(spark, data)
+    for part_rows in (100_000, 100):
+        got = [r.row_id for r in spikes.flag_spikes(df, ["recording_id", "file_no"], "row_id", "t", "line_no", part_rows=part_rows).collect()]
+        assert 5 * 144 + 100 in got and len(got) <= 3
+
+
 # 7 intervals
 
 

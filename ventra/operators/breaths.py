@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import whole_groups
 from ..session import durable
 from .asof import neighbours
-from .neighbours import with_neighbour, with_neighbours, with_rank
+from .neighbours import beside, with_neighbour, with_neighbours, with_rank
 
 
 def local_extremes(readings: DataFrame, keys: list[str], time: str, value: str, block: int) -> DataFrame:
@@ -28,8 +29,9 @@ def peak_intervals(peaks: DataFrame, keys: list[str], time: str, block: int) ->
     ).drop("__near")
 
 
-def peak_bins(peaks: DataFrame, anchors: DataFrame, keys: list[str], time: str, value: str, before: int, after: int, width: int, block: int) -> DataFrame:
-    """Counts, rates per minute, amplitude and interval means around an anchor; the last interval of a bin is left out.
+def peak_bins(peaks: DataFrame, anchors: DataFrame, keys: list[str], time: str, value: str, before: int, after: int, width: int, block: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Counts, rates per minute, and mean and standard error of amplitude, interval and ``extra`` columns (widths)
+    around an anchor; the last interval of a bin is left out, one peak has no error.
 
     Times are milliseconds.
     """
@@ -37,13 +39,16 @@ def peak_bins(peaks: DataFrame, anchors: DataFrame, keys: list[str], time: str,
     rel = F.col(time) - F.col("anchor")
     inside = peaks.join(anchors, keys).where((rel >= -before) & (rel < n * width - before)).withColumn("bin", F.floor((rel + before) / width))
     near = with_neighbour(inside, [*keys, "bin"], time, [time], block, following=True)
-    stats = near.groupBy(*keys, "bin").agg(
-        F.count(F.lit(1)).alias("n_peaks"), F.avg(value).alias("amplitude"), F.avg(F.col(f"__near.{time}") - F.col(time)).alias("interval"),
-    )
+    measured = {"amplitude": F.col(value), "interval": F.col(f"__near.{time}") - F.col(time), **{c: F.col(c) for c in extra}}
+    aggs = [F.count(F.lit(1)).alias("n_peaks")]
+    for name, v in measured.items():
+        aggs += [F.avg(v).alias(name), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias(f"{name}_sem")]
+    stats = near.groupBy(*keys, "bin").agg(*aggs)
     spine = anchors.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("bin"))
     rows = spine.join(stats, [*keys, "bin"], "left")
     count = F.coalesce("n_peaks", F.lit(0))
-    return rows.select(*keys, (F.col("bin") * width - before).alias("bin_start"), count.alias("n_peaks"), (count * 60_000 / width).alias("per_minute"), "amplitude", "interval")
+    columns = [x for name in measured for x in (name, f"{name}_sem")]
+    return rows.select(*keys, (F.col("bin") * width - before).alias("bin_start"), count.alias("n_peaks"), (count * 60_000 / width).alias("per_minute"), *columns)
 
 
 def cycles(extremes: DataFrame, keys: list[str], time: str, value: str, block: int) -> DataFrame:
@@ -73,59 +78,118 @@ def cycles(extremes: DataFrame, keys: list[str], time: str, value: str, block: i
 
 
 def cycle_summary(breaths: DataFrame, levels: list[list[str]]) -> DataFrame:
-    """Means and population deviations of cycles at several levels at once (grouping sets)."""
+    """Means and population deviations (``_sd``) of cycles at several levels at once (grouping sets)."""
     columns = levels[0]
     sets = breaths.groupingSets([[F.col(c) for c in level] for level in levels], *[F.col(c) for c in columns])
-    return sets.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("t_in").alias("t_in"), F.avg("t_out").alias("t_out"), F.avg("t_total").alias("t_total"),
-        F.avg("duty").alias("duty"), F.avg("drive").alias("drive"), F.avg("peak_to_peak").alias("peak_to_peak"),
-        F.avg(F.try_divide(F.lit(1000.0), F.col("peak_to_peak"))).alias("frequency"), F.stddev_pop("t_total").alias("t_total_sd"), F.avg("swing").alias("swing"),
-    )
+    per_second = F.try_divide(F.lit(1000.0), F.col("peak_to_peak"))
+    measured = {c: F.col(c) for c in ("t_in", "t_out", "t_total", "duty", "drive", "swing", "peak_to_peak")} | {"frequency": per_second}
+    return sets.agg(F.count(F.lit(1)).alias("n"), *[x for c, v in measured.items() for x in (F.avg(v).alias(c), F.stddev_pop(v).alias(f"{c}_sd"))])
 
 
-def valid_periods(peaks: DataFrame, keys: list[str], time: str, min_peaks: int = 50, interval_window: int = 10, break_multiplier: float = 2.0) -> DataFrame:
+def valid_periods(
+    peaks: DataFrame, keys: list[str], time: str, min_peaks: int = 50, interval_window: int = 10, break_multiplier: float = 2.0, block: int = 3_600_000
+) -> DataFrame:
     """``keys, period_no, start_at, end_at, n_peaks`` of runs of regular peaks.
 
     A run breaks at an interval more than ``break_multiplier`` times the median of the last
     ``interval_window`` intervals since the last break, itself included; runs of fewer than
-    ``min_peaks`` are left out.  Each interval's verdict hangs on all before it, so a source is one
-    scan in order; the scan streams over sorted rows and holds ``interval_window`` numbers.
+    ``min_peaks`` are left out.
+
+    What a peak hangs on is at most that many intervals before it, so a source is scanned in blocks of
+    ``block`` on the time axis, all at once: first as if each block began after a break, then once more those
+    that the block before leaves other intervals to, until none changes.  As a block soon forgets what came
+    before it, two or three rounds do, and the last ones are small.  Runs over a cut are put together by
+    one row per block.  Null times are left out; null keys are one source; peaks at one time count each.
     """
+    kinds = dict(peaks.dtypes)
+    at = [*keys, "__b"]
+    rows = peaks.where(F.col(time).isNotNull()).select(*keys, F.col(time).cast("bigint").alias("__t"), F.floor(F.col(time) / block).alias("__b"))
+    rows = durable(rows)
+    order = Window.partitionBy(*keys).orderBy("__b")
+    last = rows.groupBy(*at).agg(F.max("__t").alias("__t"))
+    entries = durable(last.select(*at, F.lag("__t").over(order).alias("__before"), F.array().cast("array<bigint>").alias("__recent")))
+    names = [*at, "i", "start_at", "end_at", "n", "goes_on", "exit"]
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", __b bigint, i bigint, start_at bigint, end_at bigint, n bigint, goes_on boolean, exit array<bigint>"
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {"key": None}
-        out: list[tuple] = []
-
-        def end_run() -> None:
-            if state["key"] is not None and state["n"] >= min_peaks:
-                out.append((*state["key"], state["no"], state["start"], state["last"], state["n"]))
-                state["no"] += 1
-
-        for batch in batches:
-            for *key, t in batch[[*keys, time]].itertuples(index=False, name=None):
-                key = tuple(None if pd.isna(k) else k for k in key)
-                if state["key"] != key:
-                    end_run()
-                    state.update(key=key, no=0, start=t, last=t, n=1, recent=[])
-                    continue
-                gap = t - state["last"]
-                recent = state["recent"] = [*state["recent"], gap][-interval_window:]
-                order = sorted(recent)
-                middle = (order[(len(order) - 1) // 2] + order[len(order) // 2]) / 2
-                if gap > break_multiplier * middle:
-                    end_run()
-                    state.update(start=t, n=1, recent=[], last=t)
-                else:
-                    state.update(n=state["n"] + 1, last=t)
-            yield pd.DataFrame(out, columns=names)
-            out.clear()
-        end_run()
-        yield pd.DataFrame(out, columns=names)
-
-    kinds = dict(peaks.dtypes)
-    names = [*keys, "period_no", "start_at", "end_at", "n_peaks"]
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", period_no bigint, start_at {kinds[time]}, end_at {kinds[time]}, n_peaks bigint"
-    return peaks.select(*keys, time).repartition(*keys).sortWithinPartitions(*keys, time).mapInPandas(scan, schema)
+        for group in whole_groups(batches, at):
+            first = group.iloc[0]
+            before = None if pd.isna(first["__before"]) else int(first["__before"])
+            recent = [int(x) for x in first["__recent"]]
+            runs: list[list] = []  # start, end, peaks, whether it is the run of the block before
+            for t in group["__t"].tolist():
+                fresh = before is None
+                if not fresh:
+                    gap = t - before
+                    recent = [*recent, gap][-interval_window:]
+                    middle = sorted(recent)
+                    middle = (middle[(len(middle) - 1) // 2] + middle[len(middle) // 2]) / 2
+                    if gap > break_multiplier * middle:
+                        fresh, recent = True, []
+                if fresh or not runs:
+                    runs.append([t, t, 0, not fresh])
+                runs[-1][1], runs[-1][2], before = t, runs[-1][2] + 1, t
+            key = [None if pd.isna(first[k]) else first[k] for k in at]
+            yield pd.DataFrame([[*key, i, *run, recent if i + 1 == len(runs) else None] for i, run in enumerate(runs)], columns=names)
+
+    pieces: DataFrame | None = None
+    todo = entries
+    while True:
+        ready = beside(rows, todo, at).repartition(*at).sortWithinPartitions(*at, "__t")
+        got = ready.mapInPandas(scan, schema)
+        if pieces is not None:
+            mark = todo.select(*at, F.lit(True).alias("__again"))
+            got = got.unionByName(beside(pieces, mark, at, "left").where("__again is null").drop("__again"))
+        pieces = durable(got)
+        left = pieces.where("exit is not null").select(*at, F.lag("exit").over(order).alias("__left"))
+        now = F.coalesce("__left", F.array().cast("array<bigint>"))
+        seen = durable(beside(entries, left, at).select(*at, "__before", now.alias("__recent"), (now != F.col("__recent")).alias("__new")))
+        entries = seen.drop("__new")
+        todo = seen.where("__new").drop("__new")
+        if todo.isEmpty():
+            break
+
+    # a run is named by the block and place it begins in; blocks that one run goes through hand the name on
+    begun = F.struct("__b", "i")
+    ends = pieces.groupBy(*at).agg(F.max(F.when(~F.col("goes_on"), begun)).alias("__own"))
+    ends = ends.select(*at, F.last("__own", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__open"))
+    named = beside(pieces, ends, at).withColumn("__run", F.when(F.col("goes_on"), F.col("__open")).otherwise(begun))
+    runs = named.groupBy(*keys, "__run").agg(F.min("start_at").alias("start_at"), F.max("end_at").alias("end_at"), F.sum("n").alias("n_peaks")).where(F.col("n_peaks") >= min_peaks)
+    ranked = with_rank(durable(runs), keys, "start_at", ["end_at"], block, "__no")
+    return ranked.select(*keys, (F.col("__no") - 1).alias("period_no"), F.col("start_at").cast(kinds[time]).alias("start_at"), F.col("end_at").cast(kinds[time]).alias("end_at"), "n_peaks")
+
+
+def period_bins(extremes: DataFrame, periods: DataFrame, readings: DataFrame, keys: list[str], time: str, value: str, width: int, block: int, signals: tuple[str, ...] = ("temp", "activity")) -> DataFrame:
+    """Breath cycles and readings in whole bins of ``width`` from the start of each period:
+    ``keys, period_no, bin, bin_start, bin_end``, means of the cycles formed inside the bin, and of each
+    signal its mean and standard error.
+
+    ``extremes``: keys, time, value, ``kind``; ``periods``: keys, ``period_no, start_at, end_at`` (which don't overlap
+    within keys); ``readings``: keys, time, signals.  Bins are half open; a last partial bin is left out, as
+    are bins with fewer than two peaks or troughs.  A signal without readings in a bin is null, with one its
+    error is.
+    """
+    spans = periods.select(*keys, "period_no", "start_at", "end_at").withColumn("__n", F.floor((F.col("end_at") - F.col("start_at")) / width)).where("__n > 0")
+    starts = spans.select(*keys, F.col("start_at").cast("bigint").alias(time), F.col("start_at").cast("double").alias("__s"))
+    own = [*keys, "period_no"]
+
+    def placed(df: DataFrame) -> DataFrame:
+        inside = neighbours(df, starts, keys, time, "__s", block).withColumn("start_at", F.col("left.v").cast("bigint")).drop("left", "right")
+        inside = inside.join(spans.select(*keys, "period_no", "start_at", "__n"), [*keys, "start_at"])
+        return inside.withColumn("bin", F.floor((F.col(time) - F.col("start_at")) / width)).where(F.col("bin") < F.col("__n"))
+
+    found = durable(placed(extremes.select(*keys, time, value, "kind")))
+    enough = found.groupBy(*own, "bin").agg(F.count_if(F.col("kind") == "peak").alias("p"), F.count_if(F.col("kind") == "trough").alias("t")).where("p >= 2 and t >= 2")
+    formed = cycles(found.select(*own, "bin", time, value, "kind"), [*own, "bin"], time, value, block)
+    means = cycle_summary(formed, [[*own, "bin"]]).join(enough.select(*own, "bin"), [*own, "bin"])
+    stats = []
+    for s in signals:
+        v = F.when(~F.isnan(s), F.col(s))
+        stats += [F.avg(v).alias(f"{s}_mean"), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias(f"{s}_sem")]
+    beside_ = placed(readings.select(*keys, time, *signals)).groupBy(*own, "bin").agg(*stats)
+    rows = means.join(beside_, [*own, "bin"], "left").join(spans.select(*own, "start_at"), own)
+    start = F.col("start_at") + F.col("bin") * width
+    return rows.select(*own, "bin", start.alias("bin_start"), (start + width).alias("bin_end"), *[c for c in means.columns if c not in {*own, "bin"}], *[f"{s}_{k}" for s in signals for k in ("mean", "sem")])
 
 
 def peaks_per_period(peaks: DataFrame, periods: DataFrame, keys: list[str], time: str, block: int) -> DataFrame:

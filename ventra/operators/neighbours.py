@@ -59,3 +59,12 @@ def with_rank(df: DataFrame, keys: list[str], order: str, then: list[str], block
     if total:
         ranked = ranked.withColumn(total, F.col("__all").cast("bigint"))
     return ranked.drop("__block", "__b", "__r", "__off", "__all", *[f"__k{i}" for i in range(len(keys))])
+
+
+def beside(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows joined to the one row of ``table`` with the same keys, nulls included; the columns of ``table`` follow."""
+    renamed = table.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return rows.join(renamed, same, how).drop(*[f"__k{i}" for i in range(len(keys))])

@@ -189,20 +189,29 @@ def interval_spectra(trace: DataFrame, keys: list[str], segment_ms: int = 50_000
     return per_segment(padded, keys, "ms", "k bigint, frequency double, density double", kernel)
 
 
-def spectrum_metrics(spectra: DataFrame, keys: list[str], band: float = 0.25) -> DataFrame:
-    """Mean spectrum per source: frequency and height of its largest value (the lowest of equals) and
-    the area within ``band`` of it (Simpson), with a warning where the peak is at zero or near the limit."""
-    mean = spectra.groupBy(*keys, "k", "frequency").agg(F.avg("density").alias("density"))
-    top = mean.groupBy(*keys).agg(F.min_by(F.struct("frequency", "density"), F.struct(-F.col("density"), "frequency")).alias("m"), F.max("frequency").alias("limit"))
+def spectrum_metrics(spectra: DataFrame, keys: list[str], band: float = 0.25, resolution: float = 0.1, drift: DataFrame | None = None) -> DataFrame:
+    """Mean spectrum per source: ``fmax, psd_max`` (the largest value, at the lowest of equal frequencies), ``auc`` within
+    ``band`` of it (Simpson), ``n_segments, resolution`` and ``warnings``.
+
+    ``resolution`` is the sampling rate over the length of a Welch window.  Warnings: the peak is at zero, below the
+    resolution or near the Nyquist limit, or ``drift`` (keys, ``drift_dominated``) says so of the source.
+    """
+    mean = spectra.groupBy(*keys, "k", "frequency").agg(F.avg("density").alias("density"), F.count(F.lit(1)).alias("n"))
+    top = mean.groupBy(*keys).agg(F.min_by(F.struct("frequency", "density"), F.struct(-F.col("density"), "frequency")).alias("m"), F.max("frequency").alias("limit"), F.max("n").alias("n_segments"))
     near = mean.join(top, keys).where(F.abs(F.col("frequency") - F.col("m.frequency")) <= band)
-    curve = near.groupBy(*keys, F.col("m.frequency").alias("fmax"), F.col("m.density").alias("psd_max"), "limit").agg(F.sort_array(F.collect_list(F.struct("frequency", "density"))).alias("c"))
+    curve = near.groupBy(*keys, F.col("m.frequency").alias("fmax"), F.col("m.density").alias("psd_max"), "limit", "n_segments").agg(F.sort_array(F.collect_list(F.struct("frequency", "density"))).alias("c"))
+    flags = curve.join(drift.select(*keys, "drift_dominated"), keys, "left") if drift is not None else curve.withColumn("drift_dominated", F.lit(False))
 
     @F.pandas_udf("double")
     def area(c: pd.Series) -> pd.Series:
         return c.map(lambda x: dsp.simpson(np.array([p["density"] for p in x]), np.array([p["frequency"] for p in x])))
 
-    warning = F.concat_ws("; ", F.when(F.col("fmax") == 0, "peak at zero frequency"), F.when(F.col("fmax") > 0.8 * F.col("limit"), "peak near the Nyquist limit"))
-    return curve.select(*keys, "fmax", "psd_max", area("c").alias("auc"), warning.alias("warnings"))
+    f = F.col("fmax")
+    warning = F.concat_ws(
+        "; ", F.when(f == 0, "peak at zero frequency").when(f < resolution, "peak below the resolution").when(f > 0.8 * F.col("limit"), "peak near the Nyquist limit"),
+        F.when(F.col("drift_dominated"), "drift may dominate"),
+    )
+    return flags.select(*keys, "fmax", "psd_max", area("c").alias("auc"), "n_segments", F.lit(resolution).alias("resolution"), warning.alias("warnings"))
 
 
 def pooled_spectrum(spectra: DataFrame, by: list[str]) -> DataFrame:

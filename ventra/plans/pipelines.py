@@ -39,14 +39,11 @@ def pressure_analysis(readings: DataFrame, events: DataFrame, behaviour: str | N
     extremes = durable(extremes)  # what follows looks at the breaths many times, and never at the readings again
     peaks = extremes.where("kind = 'peak'")
     periods = breaths.valid_periods(peaks, keys, "ms", min_peaks)
-    in_period = coverage.points_in_windows(extremes, periods, keys, "ms")
-    in_period = durable(in_period)
+    in_period = durable(coverage.points_in_windows(extremes, periods, keys, "ms"))
     own = [*keys, "period_no"]
     cycles = breaths.cycles(in_period.select(*own, "ms", "v", "kind"), own, "ms", "v", HOUR)
-    spans = periods.select(*own, "start_at", "end_at")
-    binned = cycles.join(spans, own).withColumn("bin", F.floor((F.col("peak_t") - F.col("start_at")) / bin_ms))
-    binned = binned.where(F.col("start_at") + (F.col("bin") + 1) * bin_ms <= F.col("end_at"))  # a last partial bin is left out
-    per_bin = breaths.cycle_summary(binned, [[*own, "bin"]]).where("n >= 2")
+    beside = coverage.points_in_windows(master.select(*FILE, "ms", "temp", "activity"), covered.select(*FILE, "window_id", "start_at", "end_at"), FILE, "ms").select(*keys, "ms", "temp", "activity")
+    per_bin = breaths.period_bins(extremes, periods, beside, keys, "ms", "v", bin_ms, HOUR)
     atm = master.where(align.present("atmpressure").isNotNull())
     axis = pressure.groupBy(*FILE).agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
     trace = breaths.interval_trace(in_period.where("kind = 'peak'"), own, "ms", HOUR, trim=10)
@@ -75,7 +72,7 @@ def photometry_analysis(photometry: DataFrame, telemetry: DataFrame, injections:
         side = asof.neighbours(raw, telemetry.where(align.present(s).isNotNull()), FILE, "ms", s, HOUR)
         raw = side.withColumn(s, asof.interpolated("ms")).drop("left", "right")
     return {
-        "peaks": peaks, "peak_bins": breaths.peak_bins(peaks, injections, FILE, "ms", "amplitude", before_ms, after_ms, bin_ms, HOUR),
+        "peaks": peaks, "peak_bins": breaths.peak_bins(peaks.withColumnRenamed("amplitude", "height"), injections, FILE, "ms", "height", before_ms, after_ms, bin_ms, HOUR, ("width_ms",)),
         "signal_bins": bins.aligned_bins(raw, injections, FILE, "ms", ["dFoF_465", "temp", "activity"], before_ms, after_ms, bin_ms), "raw": raw,
     }
 

@@ -332,13 +332,15 @@ def isi_and_rank(spark: SparkSession, d: str) -> DataFrame:
     + f""", {_ANCHOR}, spine as (select *, unnest(generate_series(0, 29)) b from anchor), i as (
       select recording_id, file_no, smoothedpressure, ms, cast(floor((ms - anchor + 600000) / 60000.0) as bigint) b from peaks join anchor using (recording_id, file_no)
     ), j as (select *, lead(ms) over (partition by recording_id, file_no, b order by ms) - ms step from i),
-    s as (select recording_id, file_no, b, count(*) n_peaks, avg(smoothedpressure) amplitude, avg(step) as "interval" from j group by 1, 2, 3)
-    select recording_id, file_no, b * 60000 - 600000 bin_start, coalesce(n_peaks, 0) n_peaks, round(amplitude, 7) amplitude, round("interval", 7) as "interval"
+    s as (select recording_id, file_no, b, count(*) n_peaks, avg(smoothedpressure) amplitude, stddev_samp(smoothedpressure) / sqrt(count(*)) amplitude_sem,
+      avg(step) as "interval", stddev_samp(step) / sqrt(count(step)) interval_sem from j group by 1, 2, 3)
+    select recording_id, file_no, b * 60000 - 600000 bin_start, coalesce(n_peaks, 0) n_peaks, round(amplitude, 7) amplitude, round(amplitude_sem, 5) amplitude_sem,
+      round("interval", 7) as "interval", round(interval_sem, 5) interval_sem
     from spine left join s using (recording_id, file_no, b)"""
 )
 def peak_bins(spark: SparkSession, d: str) -> DataFrame:
     b = breaths.peak_bins(_peaks(spark, d), _anchors(spark, d), FILE, "ms", "smoothedpressure", 600_000, 1_200_000, 60_000, HOUR)
-    return b.select(*FILE, "bin_start", "n_peaks", F.round("amplitude", 7).alias("amplitude"), F.round("interval", 7).alias("interval"))
+    return b.select(*FILE, "bin_start", "n_peaks", F.round("amplitude", 7).alias("amplitude"), F.round("amplitude_sem", 5).alias("amplitude_sem"), F.round("interval", 7).alias("interval"), F.round("interval_sem", 5).alias("interval_sem"))
 
 
 _CYCLES = (
@@ -375,12 +377,14 @@ def breath_cycles(spark: SparkSession, d: str) -> DataFrame:
 @query(
     _CYCLES
     + """ select coalesce(recording_id, 'all') recording_id, coalesce(file_no, -1) file_no, count(*) n, round(avg(t_in), 7) t_in, round(avg(t_out), 7) t_out, round(avg(t_total), 7) t_total, round(avg(t_in / nullif(t_total, 0)), 7) duty,
-      round(stddev_pop(t_total), 5) t_total_sd, round(avg(1000.0 / nullif(peak_to_peak, 0)), 7) frequency, round(avg(swing), 7) swing
+      round(stddev_pop(t_total), 5) t_total_sd, round(avg(1000.0 / nullif(peak_to_peak, 0)), 7) frequency, round(avg(swing), 7) swing,
+      round(stddev_pop(t_in), 5) t_in_sd, round(stddev_pop(t_out), 5) t_out_sd, round(stddev_pop(t_in / nullif(t_total, 0)), 5) duty_sd, round(stddev_pop(swing), 5) swing_sd,
+      round(stddev_pop(1000.0 / nullif(peak_to_peak, 0)), 5) frequency_sd
     from cyc group by grouping sets ((recording_id, file_no), (recording_id), ())"""
 )
 def breath_summary(spark: SparkSession, d: str) -> DataFrame:
     s = breaths.cycle_summary(_breaths(spark, d), [FILE, ["recording_id"], []])
-    digits = {"t_in": 7, "t_out": 7, "t_total": 7, "duty": 7, "t_total_sd": 5, "frequency": 7, "swing": 7}
+    digits = {"t_in": 7, "t_out": 7, "t_total": 7, "duty": 7, "t_total_sd": 5, "frequency": 7, "swing": 7, "t_in_sd": 5, "t_out_sd": 5, "duty_sd": 5, "swing_sd": 5, "frequency_sd": 5}
     return s.select(F.coalesce("recording_id", F.lit("all")).alias("recording_id"), F.coalesce("file_no", F.lit(-1)).alias("file_no"), "n", *[F.round(c, n).alias(c) for c, n in digits.items()])
 
 
@@ -396,18 +400,82 @@ def binned_cycle_metrics(spark: SparkSession, d: str) -> DataFrame:
     return s.where("n >= 2").select(*FILE, "bin", "n", F.round("t_in", 7).alias("t_in"), F.round("t_total", 7).alias("t_total"), F.round("swing", 7).alias("swing"))
 
 
+_PERIODS = (
+    _PEAKS.replace("with ", "with recursive ", 1)
+    + """, pk as (select recording_id, file_no, ms, row_number() over (partition by recording_id, file_no order by ms) k from peaks
+), sc as (
+  select recording_id, file_no, k, ms, cast([] as bigint[]) recent, 1 run from pk where k = 1
+  union all
+  select recording_id, file_no, k, ms, case when gap > 3.0 * list_median(r) then cast([] as bigint[]) else r end, run + case when gap > 3.0 * list_median(r) then 1 else 0 end
+  from (select pk.recording_id, pk.file_no, pk.k, pk.ms, run, pk.ms - sc.ms gap, list_slice(list_append(recent, pk.ms - sc.ms), greatest(1, len(recent) - 8), len(recent) + 1) r
+    from sc join pk on pk.recording_id = sc.recording_id and pk.file_no = sc.file_no and pk.k = sc.k + 1)
+), pd as (
+  select recording_id, file_no, row_number() over (partition by recording_id, file_no order by min(ms)) - 1 period_no, min(ms) start_at, max(ms) end_at, count(*) n_peaks
+  from sc group by recording_id, file_no, run having count(*) >= 10
+), pp as (
+  select recording_id, file_no, period_no, start_at, end_at, count(peaks.ms) n_inside from pd left join peaks using (recording_id, file_no) where peaks.ms between start_at and end_at group by all
+)"""
+)
+
+
 def _periods(spark: SparkSession, d: str) -> DataFrame:
-    return breaths.valid_periods(_peaks(spark, d), FILE, "ms", min_peaks=10, interval_window=10, break_multiplier=3.0)
+    return breaths.valid_periods(_peaks(spark, d), FILE, "ms", min_peaks=10, interval_window=10, break_multiplier=3.0, block=HOUR)
 
 
-@query()
+@query(_PERIODS + " select * from pd")
 def valid_periods(spark: SparkSession, d: str) -> DataFrame:
     return _periods(spark, d)
 
 
-@query()
+@query(_PERIODS + " select *, round(n_inside * 60000.0 / nullif(end_at - start_at, 0), 6) per_minute from pp")
 def peaks_per_period(spark: SparkSession, d: str) -> DataFrame:
-    return breaths.peaks_per_period(_peaks(spark, d), durable(_periods(spark, d)), FILE, "ms", HOUR)
+    peaks = _peaks(spark, d)
+    periods = durable(breaths.valid_periods(peaks, FILE, "ms", min_peaks=10, interval_window=10, break_multiplier=3.0, block=HOUR))
+    return breaths.peaks_per_period(peaks, periods, FILE, "ms", HOUR).withColumn("per_minute", F.round("per_minute", 6))
+
+
+_PERIOD_BINS = (
+    _PERIODS
+    + """, ex as (
+  select e.recording_id, e.file_no, period_no, start_at, kind, ms, smoothedpressure, cast(floor((ms - start_at) / 60000.0) as bigint) bin
+  from e join pd on e.recording_id = pd.recording_id and e.file_no = pd.file_no and ms >= start_at and ms < start_at + floor((end_at - start_at) / 60000.0) * 60000
+  where kind = 'trough' or smoothedpressure > 0
+), rk as (
+  select *, row_number() over (partition by recording_id, file_no, period_no, bin, kind order by ms) k,
+    min(case when kind = 'peak' then ms end) over w first_p, min(case when kind = 'trough' then ms end) over w first_t,
+    count(case when kind = 'peak' then 1 end) over w n_p, count(case when kind = 'trough' then 1 end) over w n_t
+  from ex window w as (partition by recording_id, file_no, period_no, bin)
+), zp as (
+  select recording_id, file_no, period_no, bin, start_at, t.k, t.ms trough_t, p.ms peak_t, abs(p.smoothedpressure - t.smoothedpressure) swing
+  from (select * from rk where kind = 'trough' and n_p >= 2 and n_t >= 2) t
+  join (select *, case when first_t > first_p then k - 1 else k end kk from rk where kind = 'peak') p using (recording_id, file_no, period_no, bin, start_at) where t.k = p.kk
+), cy as (
+  select *, peak_t - trough_t t_in, lead(trough_t) over w - trough_t t_total, lead(peak_t) over w - peak_t p2p from zp window w as (partition by recording_id, file_no, period_no, bin order by k)
+), bn as (
+  select recording_id, file_no, period_no, bin, start_at, count(*) n, avg(t_in) t_in, stddev_pop(t_in) t_in_sd, avg(t_total) t_total, avg(swing) swing, avg(1000.0 / nullif(p2p, 0)) frequency from cy group by 1, 2, 3, 4, 5
+), rd as (
+  select recording_id, file_no, ms, arg_min(temp, line_no) filter (temp is not null and not isnan(temp)) as temp, arg_min(activity, line_no) filter (activity is not null and not isnan(activity)) activity
+  from tl where ms is not null group by 1, 2, 3
+), ts as (
+  select recording_id, file_no, period_no, bin, avg(temp) temp_mean, stddev_samp(temp) / sqrt(count(temp)) temp_sem, avg(activity) activity_mean, stddev_samp(activity) / sqrt(count(activity)) activity_sem
+  from bn join rd using (recording_id, file_no) where ms >= start_at + bin * 60000 and ms < start_at + (bin + 1) * 60000 group by 1, 2, 3, 4
+)"""
+)
+
+
+@query(
+    _PERIOD_BINS
+    + """ select recording_id, file_no, period_no, bin, start_at + bin * 60000 bin_start, n, round(t_in, 7) t_in, round(t_in_sd, 4) t_in_sd, round(t_total, 7) t_total, round(swing, 8) swing, round(frequency, 6) frequency,
+      round(temp_mean, 8) temp_mean, round(temp_sem, 5) temp_sem, round(activity_mean, 8) activity_mean, round(activity_sem, 5) activity_sem
+    from bn left join ts using (recording_id, file_no, period_no, bin)"""
+)
+def period_bins(spark: SparkSession, d: str) -> DataFrame:
+    e = _extremes(spark, d).where("kind = 'trough' or smoothedpressure > 0")
+    periods = durable(breaths.valid_periods(e.where("kind = 'peak'"), FILE, "ms", min_peaks=10, interval_window=10, break_multiplier=3.0, block=HOUR))
+    frame = align.first_valid(readings(spark, d), FILE, "ms", "line_no", ["temp", "activity"])
+    b = breaths.period_bins(e, periods, frame, FILE, "ms", "smoothedpressure", 60_000, HOUR)
+    digits = {"t_in": 7, "t_in_sd": 4, "t_total": 7, "swing": 8, "frequency": 6, "temp_mean": 8, "temp_sem": 5, "activity_mean": 8, "activity_sem": 5}
+    return b.select(*FILE, "period_no", "bin", "bin_start", "n", *[F.round(c, n).alias(c) for c, n in digits.items()])
 
 
 _TRACE = _PEAKS + """, tr as (select * from (select recording_id, file_no, ms, lead(ms) over (partition by recording_id, file_no order by ms) - ms as iv from peaks) where iv is not null)"""
@@ -560,7 +628,7 @@ def interval_spectra(spark: SparkSession, d: str) -> DataFrame:
 def spectrum_metrics(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.signals import spectrum_metrics as run
 
-    return run(_spectra(spark, d), FILE)
+    return run(_spectra(spark, d), FILE, drift=drift_r2(spark, d))
 
 
 def _analysis(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -570,11 +638,80 @@ def _analysis(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return pressure_analysis(r, _windows(spark, d), min_peaks=5)
 
 
+def _photometry(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The injection-aligned analysis; the smoothed pressure stands for the fluorescence, of which the tables have none."""
+    from .pipelines import photometry_analysis
+
+    r = durable(align.first_valid(readings(spark, d), FILE, "ms", "line_no", ["smoothedpressure", "temp", "activity"]))
+    trace = r.where(align.present("smoothedpressure").isNotNull()).select(*FILE, "ms", F.col("smoothedpressure").alias("dFoF_465"))
+    return photometry_analysis(trace, r.select(*FILE, "ms", "temp", "activity"), _anchors(spark, d), 600_000, 1_200_000, 60_000)
+
+
+@query()
+def photometry_peaks(spark: SparkSession, d: str) -> DataFrame:
+    return _photometry(spark, d)["peaks"]
+
+
+@query()
+def photometry_peak_bins(spark: SparkSession, d: str) -> DataFrame:
+    return _photometry(spark, d)["peak_bins"]
+
+
+_PHOTO = f"""with {TIMELINE}, {_ANCHOR}, fr as (
+  select recording_id, file_no, ms, arg_min(smoothedpressure, line_no) filter (smoothedpressure is not null and not isnan(smoothedpressure)) p,
+    arg_min(temp, line_no) filter (temp is not null and not isnan(temp)) as temp, arg_min(activity, line_no) filter (activity is not null and not isnan(activity)) activity
+  from tl where ms is not null group by 1, 2, 3
+), nr as (select fr.*, anchor from fr join anchor using (recording_id, file_no) where p is not null and ms between anchor - 600000 and anchor + 1200000),
+st as (select recording_id, file_no, ms, temp from fr where temp is not null), sa as (select recording_id, file_no, ms, activity from fr where activity is not null),
+raw as (
+  select nr.recording_id, nr.file_no, nr.ms, nr.anchor, nr.p,
+    case when tl_.ms is null or tr.ms is null then null when tl_.ms = tr.ms then tl_.temp else tl_.temp + (tr.temp - tl_.temp) * ((nr.ms - tl_.ms) / (tr.ms - tl_.ms)) end as temp,
+    case when al.ms is null or ar.ms is null then null when al.ms = ar.ms then al.activity else al.activity + (ar.activity - al.activity) * ((nr.ms - al.ms) / (ar.ms - al.ms)) end activity
+  from nr asof left join st tl_ on nr.recording_id = tl_.recording_id and nr.file_no = tl_.file_no and nr.ms >= tl_.ms
+  asof left join st tr on nr.recording_id = tr.recording_id and nr.file_no = tr.file_no and nr.ms <= tr.ms
+  asof left join sa al on nr.recording_id = al.recording_id and nr.file_no = al.file_no and nr.ms >= al.ms
+  asof left join sa ar on nr.recording_id = ar.recording_id and nr.file_no = ar.file_no and nr.ms <= ar.ms
+)"""
+
+
+@query(_PHOTO + " select recording_id, file_no, ms, p, round(temp, 5) as temp, round(activity, 5) activity from raw")
+def photometry_raw(spark: SparkSession, d: str) -> DataFrame:
+    r = _photometry(spark, d)["raw"]
+    return r.select(*FILE, "ms", F.col("dFoF_465").alias("p"), F.round("temp", 5).alias("temp"), F.round("activity", 5).alias("activity"))
+
+
+@query(
+    _PHOTO
+    + """, spine as (select *, unnest(generate_series(0, 29)) b from anchor), s as (
+      select recording_id, file_no, cast(floor((ms - anchor + 600000) / 60000.0) as bigint) b, avg(p) p, stddev_samp(p) / sqrt(count(p)) p_sem, avg(temp) as temp, avg(activity) activity from raw group by 1, 2, 3)
+    select recording_id, file_no, b * 60000 - 600000 bin_start, round(p, 8) p, round(p_sem, 5) p_sem, round(temp, 8) as temp, round(activity, 8) activity from spine left join s using (recording_id, file_no, b)"""
+)
+def photometry_signal_bins(spark: SparkSession, d: str) -> DataFrame:
+    b = _photometry(spark, d)["signal_bins"]
+    digits = {"p": ("dFoF_465_mean", 8), "p_sem": ("dFoF_465_sem", 5), "temp": ("temp_mean", 8), "activity": ("activity_mean", 8)}
+    return b.select(*FILE, F.col("bin_start").cast("bigint").alias("bin_start"), *[F.round(c, n).alias(k) for k, (c, n) in digits.items()])
+
+
 @query()
 def pressure_windows(spark: SparkSession, d: str) -> DataFrame:
     return _analysis(spark, d)["windows"].select("window_id", "event", "status")
 
 
+@query()
+def pressure_per_bin(spark: SparkSession, d: str) -> DataFrame:
+    return _analysis(spark, d)["per_bin"]
+
+
+@query()
+def pressure_per_period(spark: SparkSession, d: str) -> DataFrame:
+    return _analysis(spark, d)["per_period"]
+
+
+@query()
+def pressure_overall(spark: SparkSession, d: str) -> DataFrame:
+    return _analysis(spark, d)["overall"]
+
+
 @query()
 def pressure_per_window(spark: SparkSession, d: str) -> DataFrame:
     return _analysis(spark, d)["per_window"]
@@ -629,12 +766,19 @@ def equal_counts(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
-@query()
+@query(
+    _PERIODS
+    + _CLASS[_CLASS.index(", marked as ("):]
+    + """, cw as (select window_id, recording_id, file_no, s, e from classed where status = 'fully_covered')
+    select recording_id, file_no, window_id, 'Overall Time Window' what, null::bigint period_no, s start_at, e end_at, null::bigint n_peaks, null::double per_minute from cw
+    union all select recording_id, file_no, window_id, 'Valid Period', period_no, start_at, end_at, n_inside, round(n_inside * 60000.0 / nullif(end_at - start_at, 0), 6)
+    from cw join pp using (recording_id, file_no) where start_at >= s and end_at <= e"""
+)
 def window_peak_counts(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.summaries import window_peak_counts as run
 
     w = _classified(spark, d).where("status = 'fully_covered'").select("window_id", *FILE, "start_at", "end_at")
-    return run(w, peaks_per_period(spark, d).drop("per_minute"), FILE)
+    return run(w, peaks_per_period(spark, d).drop("per_minute"), FILE).withColumn("per_minute", F.round("per_minute", 6))
 
 
 @query(
