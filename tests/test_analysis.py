@@ -259,6 +259,22 @@ def test_segments_are_whole_stretches(spark):
     assert all(clean[t] == pytest.approx(w) for t, w in list(zip(times, want))[20:-20])
 
 
+def test_pieces_of_segments_give_what_the_whole_gives(spark):
+    from ventra.operators import signals, summaries
+
+    rng = np.random.default_rng(16)
+    data = [(k, t, float(v)) for k in ("r", None) for t, v in zip(range(0, 30_000, 10), np.cumsum(rng.normal(size=3000)))] + [("s", t, 1.0) for t in range(0, 200, 10)]
+    segs = signals.segmented(df_of(spark, data, "k string, ms long, v double"), ["k"], "ms", "v", 50, 1000).cache()
+    for run in (
+        lambda n: signals.preprocess(segs, ["k"], "v", size=n),
+        lambda n: summaries.lowpass_sweep(segs, ["k"], "v", size=n),
+        lambda n: signals.smoothed(segs, ["k"], "v", "y", size=n),
+        lambda n: signals.rolling_quantiles(segs, ["k"], "v", 15, size=n),
+    ):
+        whole, cut = ({(r["k"], r["ms"]): [x for x in r if isinstance(x, float)] for r in run(n).collect()} for n in (100_000, 700))
+        assert whole.keys() == cut.keys() and all(np.allclose(whole[k], cut[k], atol=1e-7, equal_nan=True) for k in whole)
+
+
 def test_wall_clock_files_are_kept_in_time_since_start(spark, tmp_path):
     from datetime import datetime
 

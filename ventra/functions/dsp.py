@@ -35,6 +35,11 @@ def _response(share: float, high: bool) -> np.ndarray:
     return _RESPONSES[share, high]
 
 
+def reach(share: float, high: bool = False) -> int:
+    """Readings after which a one-way filter has forgotten what it saw."""
+    return len(_response(share, high))
+
+
 def _one_way(x: np.ndarray, high: bool, cutoff: float, rate: float) -> np.ndarray:
     """Both sections in turn, from the steady state of the first sample: as if it had stood there for ever."""
     h = _response(cutoff / rate, high)

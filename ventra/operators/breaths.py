@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.batches import whole_groups
@@ -159,8 +159,8 @@ def valid_periods(
     return ranked.select(*keys, (F.col("__no") - 1).alias("period_no"), F.col("start_at").cast(kinds[time]).alias("start_at"), F.col("end_at").cast(kinds[time]).alias("end_at"), "n_peaks")
 
 
-def period_bins(extremes: DataFrame, periods: DataFrame, readings: DataFrame, keys: list[str], time: str, value: str, width: int, block: int, signals: tuple[str, ...] = ("temp", "activity")) -> DataFrame:
-    """Breath cycles and readings in whole bins of ``width`` from the start of each period:
+def period_bins(extremes: DataFrame, periods: DataFrame, readings: DataFrame, keys: list[str], time: str, value: str, width: int | Column, block: int, signals: tuple[str, ...] = ("temp", "activity")) -> DataFrame:
+    """Breath cycles and readings in whole bins of ``width`` (a number or an expression over ``periods``) from the start of each period:
     ``keys, period_no, bin, bin_start, bin_end``, means of the cycles formed inside the bin, and of each
     signal its mean and standard error.
 
@@ -169,14 +169,15 @@ def period_bins(extremes: DataFrame, periods: DataFrame, readings: DataFrame, ke
     are bins with fewer than two peaks or troughs.  A signal without readings in a bin is null, with one its
     error is.
     """
-    spans = periods.select(*keys, "period_no", "start_at", "end_at").withColumn("__n", F.floor((F.col("end_at") - F.col("start_at")) / width)).where("__n > 0")
+    spans = periods.select(*keys, "period_no", "start_at", "end_at", (F.lit(width) if isinstance(width, int) else width).cast("bigint").alias("__w"))
+    spans = durable(spans.withColumn("__n", F.floor((F.col("end_at") - F.col("start_at")) / F.col("__w"))).where("__n > 0"))
     starts = spans.select(*keys, F.col("start_at").cast("bigint").alias(time), F.col("start_at").cast("double").alias("__s"))
     own = [*keys, "period_no"]
 
     def placed(df: DataFrame) -> DataFrame:
         inside = neighbours(df, starts, keys, time, "__s", block).withColumn("start_at", F.col("left.v").cast("bigint")).drop("left", "right")
-        inside = inside.join(spans.select(*keys, "period_no", "start_at", "__n"), [*keys, "start_at"])
-        return inside.withColumn("bin", F.floor((F.col(time) - F.col("start_at")) / width)).where(F.col("bin") < F.col("__n"))
+        inside = inside.join(spans.select(*keys, "period_no", "start_at", "__n", "__w"), [*keys, "start_at"])
+        return inside.withColumn("bin", F.floor((F.col(time) - F.col("start_at")) / F.col("__w"))).where(F.col("bin") < F.col("__n"))
 
     found = durable(placed(extremes.select(*keys, time, value, "kind")))
     enough = found.groupBy(*own, "bin").agg(F.count_if(F.col("kind") == "peak").alias("p"), F.count_if(F.col("kind") == "trough").alias("t")).where("p >= 2 and t >= 2")
@@ -187,9 +188,9 @@ def period_bins(extremes: DataFrame, periods: DataFrame, readings: DataFrame, ke
         v = F.when(~F.isnan(s), F.col(s))
         stats += [F.avg(v).alias(f"{s}_mean"), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias(f"{s}_sem")]
     beside_ = placed(readings.select(*keys, time, *signals)).groupBy(*own, "bin").agg(*stats)
-    rows = means.join(beside_, [*own, "bin"], "left").join(spans.select(*own, "start_at"), own)
-    start = F.col("start_at") + F.col("bin") * width
-    return rows.select(*own, "bin", start.alias("bin_start"), (start + width).alias("bin_end"), *[c for c in means.columns if c not in {*own, "bin"}], *[f"{s}_{k}" for s in signals for k in ("mean", "sem")])
+    rows = means.join(beside_, [*own, "bin"], "left").join(spans.select(*own, "start_at", "__w"), own)
+    start = F.col("start_at") + F.col("bin") * F.col("__w")
+    return rows.select(*own, "bin", start.alias("bin_start"), (start + F.col("__w")).alias("bin_end"), *[c for c in means.columns if c not in {*own, "bin"}], *[f"{s}_{k}" for s in signals for k in ("mean", "sem")])
 
 
 def peaks_per_period(peaks: DataFrame, periods: DataFrame, keys: list[str], time: str, block: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -72,6 +73,23 @@ def _alike(a: str, b: str) -> float:
     return 1.8 * len(p & q) / (len(p) + len(q)) if p and q else 0.0
 
 
+@lru_cache(maxsize=10_000)
+def _explained(name: str, fields: tuple[Field, ...]) -> list[tuple[float, list[tuple[str, float, str]]]]:
+    """For each field how much of a name it explains, and by which of its words; of them first those no other field has."""
+    shared = _shared(fields)
+    out = []
+    for f in fields:
+        best = [(w, *max(((_alike(w, v), v) for v in f.words), key=lambda x: (x[0], -shared[x[1]]))) for w in _words(name)]
+        kept = [(w, s, v) for w, s, v in best if s >= _WORD]
+        out.append((sum(s for _, s, _ in kept) / len(best), kept))
+    return out
+
+
+@lru_cache(maxsize=100)
+def _shared(fields: tuple[Field, ...]) -> dict[str, int]:
+    return {w: sum(w in f.words for f in fields) for f in fields for w in f.words}
+
+
 def flood(columns: list[tuple[str, str]], fields: tuple[Field, ...]) -> list[str | None]:
     """Field of each column (name, value form) by similarity flooding, None where there is none.
 
@@ -91,20 +109,15 @@ def flood(columns: list[tuple[str, str]], fields: tuple[Field, ...]) -> list[str
 
     edges: list[tuple[int, int, str]] = []
     root = node(("file",), 1.0)
-    shared = {w: sum(w in f.words for f in fields) for f in fields for w in f.words}
+    shared = _shared(fields)
     first: dict[tuple[int, int], float] = {}
     for i, (name, kind) in enumerate(columns):
-        own = _words(name)
-        for j, f in enumerate(fields):
-            # how much of the column's name the field explains, and of it by words no other field has
-            best = [max(((_alike(w, v), v) for v in f.words), key=lambda x: (x[0], -shared[x[1]])) for w in own]
-            sim = float(np.mean([s if s >= _WORD else 0.0 for s, _ in best]))
+        for j, (f, (sim, words)) in enumerate(zip(fields, _explained(name, fields))):
             first[i, j] = sim
             here = node(("column", i, j), sim)
             edges.append((root, here, "holds"))
-            for w, (s, v) in zip(own, best):
-                if s >= _WORD:
-                    edges.append((here, node(("word", w, v), s / shared[v]), "word"))
+            for w, s, v in words:
+                edges.append((here, node(("word", w, v), s / shared[v]), "word"))
             if kind in f.kinds:
                 edges.append((here, node(("form", kind, j), 1.0 if kind in _PRESSURES else 0.5), "form"))
     n = len(start)
@@ -172,7 +185,7 @@ def headers(lines: DataFrame, files: DataFrame) -> DataFrame:
 def field_rows(lines: DataFrame, heads: DataFrame) -> DataFrame:
     """Lines below the header with as many fields as it: ``file_id, line_no, parts``."""
     text = F.regexp_replace(F.col("line_text"), "[\\r\\n]+$", "")
-    body = lines.select("file_id", "line_no", text.alias("text")).where("length(trim(text)) > 0").join(heads, "file_id")
+    body = lines.select("file_id", "line_no", text.alias("text")).where("length(trim(text)) > 0").join(heads.hint("shuffle_hash"), "file_id")
     body = body.where("line_no > head_line").withColumn("parts", _split(F.col("text"), F.col("delimiter")))
     return body.where(F.size("parts") == F.size("names"))
 
@@ -206,9 +219,16 @@ def profiles(rows: DataFrame, heads: DataFrame) -> DataFrame:
     half = F.col("n") / 2
     kind = F.when(F.col("n").isNull(), "none").when(F.col("hpa") > half, "hpa").when(F.col("pa") > half, "pa").when(F.col("words") > half, "words")
     kind = kind.when(text > half, "text").when(F.col("negative") > half / 2, "signed").when(F.col("whole") > half, "count").otherwise("small")
-    names = heads.select("file_id", "file_kind", F.posexplode("names").alias("pos", "name"))
-    cols = names.join(by, ["file_id", "pos"], "left").select("file_id", "file_kind", F.struct("pos", "name", form.alias("form"), kind.alias("kind")).alias("c"))
-    return cols.groupBy("file_id", "file_kind").agg(F.sort_array(F.collect_list("c")).alias("columns"))
+    seen = by.groupBy("file_id").agg(F.collect_list(F.struct("pos", form.alias("form"), kind.alias("kind"))).alias("seen"))  # an entry per column
+    of = heads.select("file_id", "file_kind", "names").join(seen, "file_id", "left")
+    place = F.map_from_entries(F.transform("seen", lambda x: F.struct(x["pos"], F.struct(x["form"], x["kind"]))))
+    of = of.withColumn("seen", place)
+
+    def column(name: Column, i: Column) -> Column:
+        got = F.try_element_at("seen", i)
+        return F.struct(i.alias("pos"), name.alias("name"), got["form"].alias("form"), F.coalesce(got["kind"], F.lit("none")).alias("kind"))
+
+    return of.select("file_id", "file_kind", F.transform("names", column).alias("columns"))
 
 
 def match_fields(profiled: DataFrame) -> DataFrame:

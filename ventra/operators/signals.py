@@ -1,8 +1,9 @@
 """Filtered pressure, breaths, photometry peaks and interval spectra per source and segment.
 
-The kernels need a segment in order, so they run in tasks that read sorted rows and hold one
-segment at a time.  A segment is a whole stretch without gaps: how far a prominence, a breath's onset or
-a filter reaches hangs on the readings, so no fixed piece of a stretch would do.
+A segment is a whole stretch without gaps.  Kernels run in tasks that read sorted rows.  Where what a reading
+hangs on reaches a known number of readings (filters, smoothing, rolling quantiles), a segment of any length
+is cut into pieces that overlap by that reach.  How far a prominence or a breath's onset reaches hangs on the
+readings themselves, so there a task holds one whole segment at a time.
 """
 
 from __future__ import annotations
@@ -16,37 +17,49 @@ from pyspark.sql import functions as F
 
 from ..functions import dsp
 from ..functions.batches import whole_groups
-from .neighbours import with_neighbour, with_neighbours
+from .neighbours import beside, with_neighbour, with_neighbours, with_rank
 
 
-def segmented(readings: DataFrame, keys: list[str], time: str, value: str, max_gap: int, block: int, cut: bool = False) -> DataFrame:
+def segmented(readings: DataFrame, keys: list[str], time: str, value: str, max_gap: int, block: int) -> DataFrame:
     """Adds ``segment``: the first time of the stretch without gaps that a reading lies in.
 
     Stretches are found in pieces of ``block`` on the time axis, and one row per piece carries the open
-    stretch on to the next.  With ``cut`` they also end at each multiple of ``block``.
+    stretch on to the next.
     """
     near = with_neighbour(readings, keys, time, [time], block)
-    piece = F.floor(F.col(time) / block)
     opens = F.col("__near").isNull() | (F.col(time) - F.col(f"__near.{time}") > max_gap)
-    if cut:
-        opens = opens | (F.floor(F.col(f"__near.{time}") / block) != piece)
     within = Window.partitionBy(*keys, "__piece").orderBy(time)
-    rows = near.withColumns({"__piece": piece, "__open": F.when(opens, F.col(time))})
+    rows = near.withColumns({"__piece": F.floor(F.col(time) / block), "__open": F.when(opens, F.col(time))})
     rows = rows.withColumn("segment", F.last("__open", True).over(within))
-    if not cut:
-        before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-        last = rows.groupBy(*keys, "__piece").agg(F.max("__open").alias("__last"))
-        last = last.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__piece").alias("__p"), F.last("__last", True).over(before).alias("__before"))
-        same = F.col("__piece") == F.col("__p")
-        for i, k in enumerate(keys):
-            same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-        rows = rows.join(last, same).withColumn("segment", F.coalesce("segment", "__before"))
+    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.groupBy(*keys, "__piece").agg(F.max("__open").alias("__last"))
+    last = last.select(*keys, "__piece", F.last("__last", True).over(before).alias("__before"))
+    rows = beside(rows, last, [*keys, "__piece"]).withColumn("segment", F.coalesce("segment", "__before"))
     return rows.select(*keys, "segment", time, value)
 
 
-def per_segment(segments: DataFrame, keys: list[str], time: str, schema: str, kernel: Callable[[pd.DataFrame], pd.DataFrame | None]) -> DataFrame:
-    """Runs ``kernel`` on each whole segment, rows sorted by time; None gives no rows."""
+PIECE = 16_384  # readings of a segment that one piece holds besides its reach
+
+
+def in_pieces(segments: DataFrame, keys: list[str], time: str, reach: int, size: int = PIECE, block: int = 3_600_000) -> DataFrame:
+    """Segments cut into pieces of ``size`` readings that also hold ``reach`` readings of their neighbours.
+
+    Adds ``__piece``, ``__own`` (the piece a reading belongs to), ``__place`` and ``__of`` (its place in the segment, from 1,
+    and the segment's readings), ``__lo`` and ``__hi`` (the segment's first and last time).
+    """
     ids = [*keys, "segment"]
+    ranked = with_rank(segments, ids, time, [], block, "__place", "__of")
+    ends = segments.groupBy(*ids).agg(F.min(time).alias("__lo"), F.max(time).alias("__hi"))
+    at = F.col("__place") - 1
+    last = F.floor((F.col("__of") - 1) / size)
+    pieces = F.sequence(F.floor(F.greatest(at - reach, F.lit(0)) / size), F.least(F.floor((at + reach) / size), last))
+    return beside(ranked, ends, ids).withColumn("__own", F.floor(at / size)).withColumn("__piece", F.explode(pieces))
+
+
+def per_segment(segments: DataFrame, keys: list[str], time: str, schema: str, kernel: Callable[[pd.DataFrame], pd.DataFrame | None]) -> DataFrame:
+    """Runs ``kernel`` on each whole segment, or on each piece of ``in_pieces``, rows sorted by time; None gives no rows."""
+    cut = "__piece" in segments.columns
+    ids = [*keys, "segment", "__piece"] if cut else [*keys, "segment"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -74,7 +87,7 @@ def per_segment(segments: DataFrame, keys: list[str], time: str, schema: str, ke
         for out in run(batches):
             yield out[names]
 
-    return ordered.mapInPandas(named, full)
+    return ordered.mapInPandas(named, full).drop("__piece")
 
 
 def _rate(ms: np.ndarray) -> float:
@@ -84,36 +97,55 @@ def _rate(ms: np.ndarray) -> float:
     return 1000.0 / float(np.median(step)) if len(step) else 0.0
 
 
-def preprocess(segments: DataFrame, keys: list[str], value: str, low: float = 0.2, high: float = 0.02, margin: int = 1000) -> DataFrame:
+def _own(g: pd.DataFrame) -> np.ndarray:
+    return (g["__own"] == g["__piece"]).to_numpy()
+
+
+def preprocess(segments: DataFrame, keys: list[str], value: str, low: float = 0.2, high: float = 0.02, margin: int = 1000, size: int = PIECE) -> DataFrame:
     """High-pass, low-pass, and the low-pass smoothed and its slope; null within ``margin`` of a segment's ends.
 
     ``low`` and ``high`` are cut-offs as shares of the sampling rate.  Segments of fewer than 36
-    readings have nulls.
+    readings have nulls.  The slope is per second, by the mean step of the segment.
     """
 
     def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        ms, x = g["ms"].to_numpy(np.int64), g[value].to_numpy(float)
-        out = pd.DataFrame({"ms": ms, "raw": x})
-        rate = _rate(ms)
+        ms, x, own = g["ms"].to_numpy(np.int64), g[value].to_numpy(float), _own(g)
+        lo, hi, n = (int(g[c].iloc[0]) for c in ("__lo", "__hi", "__of"))
         names = ("highpass", "lowpass", "smoothed", "slope")
-        if len(x) < 36 or not rate:
-            return out.assign(**{n: np.nan for n in names})
-        inner = (ms >= ms[0] + margin) & (ms <= ms[-1] - margin)
-        lowpass = dsp.zero_phase(x, low * rate, rate)
-        found = (dsp.zero_phase(x, high * rate, rate, high=True), lowpass, dsp.smooth(lowpass), dsp.smooth(lowpass, True, rate))
-        return out.assign(**{n: np.where(inner, v, np.nan) for n, v in zip(names, found)})
+        out = pd.DataFrame({"ms": ms, "raw": x})
+        if n < 36 or hi <= lo or not own.any():
+            return out.assign(**{k: np.nan for k in names})[own]
+        rate = (n - 1) * 1000.0 / (hi - lo)
+        inner = (ms >= lo + margin) & (ms <= hi - margin)
+        lowpass = dsp.zero_phase(x, low, 1.0)
+        found = (dsp.zero_phase(x, high, 1.0, high=True), lowpass, dsp.smooth(lowpass), dsp.smooth(lowpass, True, rate))
+        return out.assign(**{k: np.where(inner, v, np.nan) for k, v in zip(names, found)})[own]
+
+    reach = 2 * max(dsp.reach(low), dsp.reach(high, True)) + 36
+    return per_segment(in_pieces(segments, keys, "ms", reach, size), keys, "ms", "ms bigint, raw double, highpass double, lowpass double, smoothed double, slope double", kernel)
+
+
+def smoothed(segments: DataFrame, keys: list[str], value: str, name: str, derivative: bool = False, half: int = 17, size: int = PIECE) -> DataFrame:
+    """Quadratic smoothing over 2·half+1 readings, or its slope per reading, as ``name``; readings nearer than ``half`` to a segment's ends are left out."""
+
+    def kernel(g: pd.DataFrame) -> pd.DataFrame | None:
+        if len(g) < 2 * half + 1:
+            return None
+        y = dsp.smooth(g[value].to_numpy(float), derivative, half=half)
+        keep = _own(g) & (g["__place"] > half).to_numpy() & (g["__place"] <= g["__of"] - half).to_numpy()
+        return pd.DataFrame({"ms": g["ms"], name: y})[keep]
 
-    return per_segment(segments, keys, "ms", "ms bigint, raw double, highpass double, lowpass double, smoothed double, slope double", kernel)
+    return per_segment(in_pieces(segments, keys, "ms", half, size), keys, "ms", f"ms bigint, {name} double", kernel)
 
 
-def rolling_quantiles(segments: DataFrame, keys: list[str], value: str, window: int, upper: float = 0.8, lower: float = 0.2) -> DataFrame:
+def rolling_quantiles(segments: DataFrame, keys: list[str], value: str, window: int, upper: float = 0.8, lower: float = 0.2, size: int = PIECE) -> DataFrame:
     """Centred rolling quantiles over ``window`` readings, fewer at the ends of a segment."""
 
     def kernel(g: pd.DataFrame) -> pd.DataFrame:
         roll = g[value].astype(float).rolling(window, center=True, min_periods=1)
-        return pd.DataFrame({"ms": g["ms"], "upper": roll.quantile(upper), "lower": roll.quantile(lower)})
+        return pd.DataFrame({"ms": g["ms"], "upper": roll.quantile(upper), "lower": roll.quantile(lower)})[_own(g)]
 
-    return per_segment(segments, keys, "ms", "ms bigint, upper double, lower double", kernel)
+    return per_segment(in_pieces(segments, keys, "ms", window, size), keys, "ms", "ms bigint, upper double, lower double", kernel)
 
 
 def detect_breaths(segments: DataFrame, keys: list[str], pressure: str, prominence: float = 3.0, distance_s: float = 0.05, envelope: int = 41, depth: float = 0.45) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dsp
 from .coverage import points_in_windows
 from .neighbours import with_rank
-from .signals import per_segment
+from .signals import PIECE, in_pieces, per_segment
 
 
 def clip_window(bounds: DataFrame, before: float, after: float) -> DataFrame:
@@ -57,17 +57,19 @@ def run_summary(segments: DataFrame, key: str, accepted: str, drift: str) -> Dat
     )
 
 
-def lowpass_sweep(segments: DataFrame, keys: list[str], value: str, shares: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4)) -> DataFrame:
-    """Low-pass filtered signal at several cut-offs (shares of the sampling rate), one column each."""
+def lowpass_sweep(segments: DataFrame, keys: list[str], value: str, shares: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4), size: int = PIECE) -> DataFrame:
+    """Low-pass filtered signal at several cut-offs (shares of the sampling rate), one column each; segments
+    of fewer than 36 readings have no rows."""
     names = [f"low_{round(s * 100)}" for s in shares]
 
     def kernel(g: pd.DataFrame) -> pd.DataFrame | None:
-        x, ms = g[value].to_numpy(float), g["ms"].to_numpy(np.int64)
-        if len(x) < 36:
+        x, ms, own = g[value].to_numpy(float), g["ms"].to_numpy(np.int64), (g["__own"] == g["__piece"]).to_numpy()
+        if g["__of"].iloc[0] < 36 or not own.any():
             return None
-        return pd.DataFrame({"ms": ms, "raw": x, **{n: dsp.zero_phase(x, s, 1.0) for n, s in zip(names, shares)}})
+        return pd.DataFrame({"ms": ms, "raw": x, **{n: dsp.zero_phase(x, s, 1.0) for n, s in zip(names, shares)}})[own]
 
-    return per_segment(segments, keys, "ms", "ms bigint, raw double, " + ", ".join(f"{n} double" for n in names), kernel)
+    reach = 2 * max(dsp.reach(s) for s in shares) + 36
+    return per_segment(in_pieces(segments, keys, "ms", reach, size), keys, "ms", "ms bigint, raw double, " + ", ".join(f"{n} double" for n in names), kernel)
 
 
 def label_lists(events: DataFrame, keys: list[str], label: str) -> DataFrame:

@@ -16,7 +16,7 @@ def pressure_analysis(readings: DataFrame, events: DataFrame, behaviour: str | N
     """Event-aligned pressure analysis.
 
     ``readings``: FILE, ms, line_no, smoothedpressure, temp, activity, atmpressure; ``events``: FILE, window_id,
-    event, start_at, end_at in ms, duration in s.  Breaths are found at once and kept; the rest are lazy tables: coverage, windows, breaths, periods, per_bin,
+    event, start_at, end_at in ms, duration in s, and ``bin_ms`` where windows have bins of their own.  Breaths are found at once and kept; the rest are lazy tables: coverage, windows, breaths, periods, per_bin,
     per_period, per_window, overall, atm_session, atm_bins, intervals, spectra, spectrum_metrics.
     """
     names = ["smoothedpressure", "temp", "activity", "atmpressure"]
@@ -38,12 +38,16 @@ def pressure_analysis(readings: DataFrame, events: DataFrame, behaviour: str | N
     ).dropDuplicates([*keys, "ms", "kind"])
     extremes = durable(extremes)  # what follows looks at the breaths many times, and never at the readings again
     peaks = extremes.where("kind = 'peak'")
-    periods = breaths.valid_periods(peaks, keys, "ms", min_peaks)
+    periods = durable(breaths.valid_periods(peaks, keys, "ms", min_peaks))
     in_period = durable(coverage.points_in_windows(extremes, periods, keys, "ms"))
     own = [*keys, "period_no"]
     cycles = breaths.cycles(in_period.select(*own, "ms", "v", "kind"), own, "ms", "v", HOUR)
     beside = coverage.points_in_windows(master.select(*FILE, "ms", "temp", "activity"), covered.select(*FILE, "window_id", "start_at", "end_at"), FILE, "ms").select(*keys, "ms", "temp", "activity")
-    per_bin = breaths.period_bins(extremes, periods, beside, keys, "ms", "v", bin_ms, HOUR)
+    if "bin_ms" in events.columns:  # each window its own
+        periods = periods.join(events.select("window_id", "bin_ms"), "window_id")
+        per_bin = breaths.period_bins(extremes, periods, beside, keys, "ms", "v", F.col("bin_ms"), HOUR)
+    else:
+        per_bin = breaths.period_bins(extremes, periods, beside, keys, "ms", "v", bin_ms, HOUR)
     atm = master.where(align.present("atmpressure").isNotNull())
     axis = pressure.groupBy(*FILE).agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
     trace = breaths.interval_trace(in_period.where("kind = 'peak'"), own, "ms", HOUR, trim=10)
@@ -86,3 +90,27 @@ def batch_status(config: DataFrame, recordings: DataFrame) -> DataFrame:
     status = F.when(F.col("__known").isNull(), "no_recording").when(F.length(F.trim(F.coalesce("video_time", F.lit("")))) == 0, "no_time")
     status = status.when(F.col("bin_size").isNull() | (F.col("bin_size") <= 0), "bad_bin").otherwise("ready")
     return config.join(known, FILE, "left").withColumn("status", status).drop("__known")
+
+
+def batch_run(config: DataFrame, recordings: DataFrame, readings: DataFrame, events: DataFrame, min_peaks: int = 50) -> dict[str, DataFrame]:
+    """The pressure analysis for all rows of a batch configuration in one job.
+
+    ``config``: ``config_id``, FILE, ``behaviour, video_time, bin_size`` (s); the rest as in ``pressure_analysis``, with
+    ``event_id``.  Each row that is ready (``batch_status``) takes the events of its recording that are exactly its
+    behaviour, with bins of its own size.  Returns the tables of ``pressure_analysis``, whose ``window_id`` is
+    ``config_id-event_id``, and ``batch``: ``config_id, status, n_windows, n_covered, n_periods, n_bins``, where status is
+    that of ``batch_status``, ``no_windows`` (no event of the behaviour is covered), ``no_periods`` or ``complete``.
+    """
+    rows = durable(batch_status(config, recordings))
+    ready = rows.where("status = 'ready'").select("config_id", *FILE, F.col("behaviour").alias("event"), (F.col("bin_size") * 1000).cast("bigint").alias("bin_ms"))
+    windows = durable(events.join(ready, [*FILE, "event"]).withColumn("window_id", F.concat_ws("-", "config_id", "event_id")))
+    tables = pressure_analysis(readings, windows.select(*FILE, "window_id", "event", "start_at", "end_at", "duration", "bin_ms"), min_peaks=min_peaks)
+    of = windows.select("window_id", "config_id").distinct()
+    count = lambda name, df, what: df.join(of, "window_id").groupBy("config_id").agg(F.count(what).alias(name))
+    statuses = durable(tables["windows"].select("window_id", F.when(F.col("status") == "fully_covered", 1).alias("covered")))
+    batch = rows.select("config_id", "status")
+    for part in (count("n_windows", statuses, F.lit(1)), count("n_covered", statuses, "covered"), count("n_periods", tables["periods"], F.lit(1)), count("n_bins", tables["per_bin"], F.lit(1))):
+        batch = batch.join(part, "config_id", "left")
+    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_windows", "n_covered", "n_periods", "n_bins")}
+    status = F.when(F.col("status") != "ready", F.col("status")).when(n["n_covered"] == 0, "no_windows").when(n["n_periods"] == 0, "no_periods").otherwise("complete")
+    return {**tables, "batch": batch.select("config_id", status.alias("status"), *[v.alias(c) for c, v in n.items()])}

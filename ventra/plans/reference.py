@@ -588,14 +588,9 @@ _TAPS = [3 * (3 * 17 * 17 + 3 * 17 - 1 - 5 * k * k) / ((2 * 17 - 1) * (2 * 17 +
     + " select recording_id, file_no, ms, round(y, 6) smoothed from s where r > 17 and r <= n - 17"
 )
 def savgol_smooth(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.signals import dsp, np, pd, per_segment
+    from ..operators.signals import smoothed
 
-    def kernel(g: pd.DataFrame) -> pd.DataFrame | None:
-        if len(g) < 35:
-            return None
-        return pd.DataFrame({"ms": g["ms"], "smoothed": dsp.smooth(g["smoothedpressure"].to_numpy(float))}).iloc[17 : len(g) - 17].copy()
-
-    s = per_segment(_segments(spark, d), FILE, "ms", "ms bigint, smoothed double", kernel)
+    s = smoothed(_segments(spark, d), FILE, "smoothedpressure", "smoothed")
     return s.select(*FILE, "ms", F.round("smoothed", 6).alias("smoothed"))
 
 
@@ -728,6 +723,15 @@ def batch_status(spark: SparkSession, d: str) -> DataFrame:
     return run(table(spark, d, "batch_config"), table(spark, d, "recording_files")).select("config_id", "status")
 
 
+@query()
+def batch_run(spark: SparkSession, d: str) -> DataFrame:
+    from .pipelines import batch_run as run
+
+    r = readings(spark, d).select(*FILE, "ms", "line_no", "smoothedpressure", "temp", "activity", "atmpressure").where("ms is not null")
+    events = _windows(spark, d).withColumnRenamed("window_id", "event_id")
+    return run(table(spark, d, "batch_config"), table(spark, d, "recording_files"), r, events, min_peaks=5)["batch"]
+
+
 @query(
     f"with {TIMELINE}, {_ANCHOR}"
     + """ select recording_id, file_no, anchor, greatest(lo, anchor - 600000) start_at, least(hi, anchor + 1200000) end_at
@@ -811,15 +815,9 @@ _SLOPE = [k / 3570 for k in range(-17, 18)]
     + " select recording_id, file_no, ms, round(y, 6) slope from s where r > 17 and r <= n - 17"
 )
 def savgol_slope(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.signals import dsp, np, pd, per_segment
-
-    def kernel(g: pd.DataFrame) -> pd.DataFrame | None:
-        if len(g) < 35:
-            return None
-        slope = dsp.smooth(g["smoothedpressure"].to_numpy(float), derivative=True)
-        return pd.DataFrame({"ms": g["ms"], "slope": slope}).iloc[17 : len(g) - 17].copy()
+    from ..operators.signals import smoothed
 
-    s = per_segment(_segments(spark, d), FILE, "ms", "ms bigint, slope double", kernel)
+    s = smoothed(_segments(spark, d), FILE, "smoothedpressure", "slope", derivative=True)
     return s.select(*FILE, "ms", F.round("slope", 6).alias("slope"))
 
 

@@ -11,7 +11,7 @@ from .operators.instants import text_instants, wall_clock_instants
 from .operators.intervals import merge_intervals
 from .operators.rejects import parse_lines
 from .operators.spikes import flag_spikes
-from .plans.timeline import with_counted_seconds
+from .plans.timeline import TIMELINE, with_counted_seconds
 from .session import table
 
 FILE = ["recording_id", "file_no"]
@@ -63,7 +63,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_series(spark: SparkSession, d: str) -> DataFrame:
     elapsed = table(spark, d, "recording_files").where("clock_kind = 'elapsed'")
-    return regular_grid(table(spark, d, "telemetry"), FILE, "timesincereference", ["temp", "atmpressure"], 10.0, sources=elapsed)
+    return regular_grid(table(spark, d, "telemetry"), FILE, "timesincereference", ["temp", "atmpressure"], 10.0, sources=elapsed).withColumn("value", F.round("value", 6))
+
+
+def p5_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """The series of whole files: extended to the cells of the file's first and last line, whatever that line reads."""
+    files = table(spark, d, "recording_files").where("clock_kind = 'elapsed'")
+    lines = table(spark, d, "telemetry").where("not isnan(timesincereference)").join(files.select(*FILE), FILE, "left_semi")
+    cell = lambda f: F.floor(f("timesincereference") / 10.0)
+    bounds = lines.groupBy(*FILE).agg(cell(F.min).alias("first_cell"), cell(F.max).alias("last_cell"))
+    grid = regular_grid(table(spark, d, "telemetry"), FILE, "timesincereference", ["temp", "atmpressure"], 10.0, bounds=bounds, sources=files)
+    return grid.withColumn("value", F.round("value", 6))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +107,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_schema_changes, p1_unified_telemetry, p1_unified_events, p2_found, p2_wall_lines, p4_found, p4_loaded,
-        p5_found, p5_series, p6_found, p6_flags, p7_found, p7_periods,
+        p5_found, p5_series, p5_bounded, p6_found, p6_flags, p7_found, p7_periods,
     )
 }
 
@@ -141,7 +151,26 @@ with cells as (
   select *, unnest(generate_series(cell_no + 1, next_no - 1)) n from pairs where next_no > cell_no + 1
 )"""
 
+_SERIES = """, series as (
+  select recording_id, file_no, signal_name, cell_no, v as "value", 'observed' status from cells
+  union all
+  select recording_id, file_no, signal_name, n, case when next_no - cell_no - 1 <= 6 then v + (next_v - v) * (n - cell_no) / (next_no - cell_no) end, case when next_no - cell_no - 1 <= 6 then 'filled' else 'gap' end from missing
+)"""
+
 ORACLE = {
+    "p2_wall_lines": f"with {TIMELINE} select recording_id, file_no, cast(line_no as bigint) line_no, row_id, cast(tl_wi.since + tl_wf.start as bigint) utc_us from tl_wi join telemetry using (row_id)"
+    " join (select recording_id, file_no, epoch_us(device_start_utc) as start from recording_files) tl_wf using (recording_id, file_no)",
+    "p5_series": _GRID + _SERIES + ' select recording_id, file_no, signal_name, cell_no, round("value", 6) as "value", status from series',
+    "p5_bounded": _GRID
+    + _SERIES
+    + """, b as (
+  select recording_id, file_no, signal_name, cast(floor(min(timesincereference) / 10.0) as bigint) f, cast(floor(max(timesincereference) / 10.0) as bigint) l
+  from telemetry join recording_files using (recording_id, file_no), (select unnest(['temp', 'atmpressure']) signal_name)
+  where clock_kind = 'elapsed' and not isnan(timesincereference) group by 1, 2, 3
+), e as (select b.*, lo, hi from b left join (select recording_id, file_no, signal_name, min(cell_no) lo, max(cell_no) hi from cells group by 1, 2, 3) using (recording_id, file_no, signal_name))
+select recording_id, file_no, signal_name, cell_no, round("value", 6) as "value", status from series
+union all select recording_id, file_no, signal_name, unnest(generate_series(f, coalesce(lo - 1, l))), null, 'edge' from e
+union all select recording_id, file_no, signal_name, unnest(generate_series(hi + 1, l)), null, 'edge' from e""",
     "p5_found": _GRID + " select recording_id, file_no, signal_name, n as cell_no from missing",
     "p7_found": _BOUTS
     + """
