@@ -238,6 +238,7 @@ def match_fields(profiled: DataFrame) -> DataFrame:
     in_order = F.array_sort(F.transform("columns", lambda c: F.struct(F.coalesce(plain(c), F.lit("")).alias("plain"), c["kind"].alias("kind"), c["pos"].alias("pos"), c.alias("c"))))
     signed = profiled.select("file_id", "file_kind", in_order.alias("sorted"))
     signed = signed.withColumn("signature", F.to_json(F.transform("sorted", lambda x: F.struct(x["c"]["name"].alias("name"), x["kind"].alias("kind")))))
+    signed = durable(signed)  # one row per file, used for the layouts and for the files
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
