@@ -196,8 +196,10 @@ def interval_spectra(trace: DataFrame, keys: list[str], segment_ms: int = 50_000
 
     ``trace``: keys, ms, interval (ms).  Segments are cut from each source's first breath; each takes
     one breath more on both sides.  Those with fewer than four breaths, not covered, or with a
-    spline that falls to zero are left out.  Returns the frequencies up to the Nyquist rate.
+    spline that falls to zero are left out (``segment_log`` tells).  Returns the frequencies up to the Nyquist rate.
     """
+    if segment_ms <= 0 or rate <= 0 or segment_ms * rate < 100_000 or nfft < 100:
+        raise ValueError("length, rate and nfft must be positive, and a segment must hold a window of 100 samples")
     span = trace.groupBy(*keys).agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
     rows = trace.join(span, keys).withColumn("own", F.floor((F.col("ms") - F.col("lo")) / segment_ms))
     # padding: the breath before a segment's first and the one after its last belong to it too
@@ -221,6 +223,15 @@ def interval_spectra(trace: DataFrame, keys: list[str], segment_ms: int = 50_000
     return per_segment(padded, keys, "ms", "k bigint, frequency double, density double", kernel)
 
 
+def segment_log(segments: DataFrame, spectra: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
+    """Each segment of ``trace_segments`` with ``status`` ``accepted`` (it has a spectrum) or ``rejected`` and the ``reason``:
+    fewer than ``least`` breaths, or not covered by breaths from end to end with positive intervals."""
+    have = spectra.select(*keys, "segment").distinct().withColumn("__has", F.lit(True))
+    rows = segments.join(have, [*keys, "segment"], "left")
+    reason = F.when(F.col("__has"), None).when(F.col("n_breaths") < least, f"fewer than {least} breaths").otherwise("not covered by positive intervals")
+    return rows.withColumn("status", F.when(F.col("__has"), "accepted").otherwise("rejected")).withColumn("reason", reason).drop("__has")
+
+
 def spectrum_metrics(spectra: DataFrame, keys: list[str], band: float = 0.25, resolution: float = 0.1, drift: DataFrame | None = None) -> DataFrame:
     """Mean spectrum per source: ``fmax, psd_max`` (the largest value, at the lowest of equal frequencies), ``auc`` within
     ``band`` of it (Simpson), ``n_segments, resolution`` and ``warnings``.

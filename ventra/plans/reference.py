@@ -619,6 +619,27 @@ def interval_spectra(spark: SparkSession, d: str) -> DataFrame:
     return _spectra(spark, d)
 
 
+@query(
+    _CLASS
+    + """ select window_id, event, status, cast(s / 1000.0 as decimal(18, 3)) || '_' || cast(e / 1000.0 as decimal(18, 3)) window_key
+    from classed where status = 'fully_covered'"""
+)
+def window_keys(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.sinks import window_key
+
+    w = _classified(spark, d).where("status = 'fully_covered'")
+    return w.select("window_id", "event", "status", window_key("start_at", "end_at").alias("window_key"))
+
+
+@query()
+def segment_log(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.signals import interval_spectra as run
+    from ..operators.signals import segment_log as log
+
+    trace = durable(breaths.interval_trace(_peaks(spark, d), FILE, "ms", HOUR))
+    return log(breaths.trace_segments(trace, FILE, "ms", 50_000), run(trace, FILE), FILE)
+
+
 @query()
 def spectrum_metrics(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.signals import spectrum_metrics as run

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,17 @@ def write_run(spark: SparkSession, folder: str, status: str, settings: dict) ->
     spark.createDataFrame([(record,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/run")
 
 
+def window_key(start: str, end: str) -> Column:
+    """Name of a window for files and sheets: its ends in seconds to the millisecond, ``start_end``; times are whole milliseconds."""
+    seconds = lambda c: (F.col(c) / F.lit(1000).cast("decimal(18,0)")).cast("decimal(18,3)").cast("string")
+    return F.concat_ws("_", seconds(start), seconds(end))
+
+
+def write_per_window(df: DataFrame, folder: str, key: str = "window_key") -> None:
+    """One CSV folder per window, with a header; a window without rows writes nothing."""
+    df.write.mode("overwrite").partitionBy(key).option("header", True).csv(folder)
+
+
 def export_periods(per_period: DataFrame, per_bin: DataFrame, keys: list[str]) -> DataFrame:
     """Periods as exported: those without a bin are left out."""
     return per_period.join(per_bin.select(*keys).distinct(), keys, "left_semi")
