@@ -39,6 +39,7 @@ def label_code(label: str | None) -> str | None:
 
 TIME_LINE = re.compile(r"^[^\n\d-]*-?\d+:\d{1,2}:\d{1,2}[,.]\d+[ \t]*-->.*$", re.M)
 _MARKUP = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}|\S*(?:www\.|://)\S*|\S+\.(?:com|org|net|invalid|example)\S*")
+_MARKED = re.compile(r"[<{]|www\.|://|\.(?:com|org|net|invalid|example)")  # what any markup has
 _WORD = re.compile(r"[^\W\d_]+")
 _BROKEN = re.compile("[ÂÃÐÑ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ�]|[À-ÿ]{4}")
 #: Letters that are frequent in Russian, to tell which reading of the bytes is right.
@@ -75,7 +76,17 @@ def repaired(text: str) -> str:
 
 
 def words_of(cue: str) -> list[str]:
-    return _WORD.findall(_MARKUP.sub(" ", cue).lower())
+    return _WORD.findall(_MARKUP.sub(" ", cue.lower()))
+
+
+def cue_words(text: str) -> list[list[str]]:
+    """Words of each cue.  Markup never reaches over a line break, so the text is cleaned before it is cut."""
+    if _BROKEN.search(text):
+        return [words_of(repaired(c)) for c in cues_of(text)]
+    plain = text.lower()
+    if _MARKED.search(plain):
+        plain = _MARKUP.sub(" ", plain)
+    return [_WORD.findall(c) for c in cues_of(plain)]
 
 
 class Model:
@@ -225,11 +236,7 @@ def segments(scores: np.ndarray, filled: np.ndarray) -> list[tuple[int, int]]:
 
 def _documents(batch: pd.DataFrame) -> Iterator[tuple[int, list[list[str]]]]:
     for doc_id, text in zip(batch["doc_id"], batch["text"]):
-        text = text or ""
-        if _BROKEN.search(text):
-            yield doc_id, [words_of(repaired(c)) for c in cues_of(text)]
-        else:
-            yield doc_id, [words_of(c) for c in cues_of(text)]
+        yield doc_id, cue_words(text or "")
 
 
 def _labelled(documents: DataFrame) -> DataFrame:
