@@ -24,8 +24,6 @@ class Signal:
     high: float
     resolution: float
     zero_is_rest: bool = False
-    max_shape: float = 0.02  # of the fitted tail; counts have heavier tails than continuous signals
-    max_scale: float = 0.8  # of the fitted tail, as a share of its threshold
     window: int = 25  # readings in a running median; the medians stand for level, trend and season
 
 
@@ -33,13 +31,16 @@ class Signal:
 SIGNALS = (
     Signal("smoothedpressure", -400.0, 400.0, 0.05),
     Signal("temp", 10.0, 50.0, 0.02),
-    Signal("activity", 0.0, 5000.0, 1.0, zero_is_rest=True, max_shape=0.1, max_scale=1.5, window=11),
+    Signal("activity", 0.0, 5000.0, 1.0, zero_is_rest=True, window=11),
     Signal("atmpressure", 300.0, 1100.0, 0.1),
 )
 
 STRIDE = 4  # the running median is taken at every fourth reading
 STUCK = 30  # equal readings that count as stuck
 THRESHOLD = 0.90  # quantile of the absolute residual over which the tail is fitted
+#: Bounds of the fitted tail, the scale as a share of its threshold (0.35 is that of a normal tail): in a short source
+#: half of the excesses may be spikes, and a tail fitted to those has no cut-off to speak of.
+MAX_SHAPE, MAX_SCALE = 0.1, 1.0
 RISK = 1e-8  # chance of a reading of the fitted tail to pass the cut-off
 SEASON, PHASES, SEASONS = 86_400.0, 24, 3  # length of the season in seconds, its parts, and how many a source must span to have one
 #: Residuals are counted in bins of 1/16 octave from 2^-14 on, by sign; bin 0 holds what is below.
@@ -152,12 +153,12 @@ def tail_cutoff(counts: np.ndarray, s: Signal, threshold: float = THRESHOLD, ris
         if above >= 8:
             q2, q3 = quantile(1 - rate / 2) - u, quantile(1 - rate / 4) - u
             if q2 > 0 and q3 > q2:
-                xi = float(np.clip(math.log2((q3 - q2) / q2), -0.25, s.max_shape))
+                xi = float(np.clip(math.log2((q3 - q2) / q2), -0.25, MAX_SHAPE))
                 beta = xi * q2 / (2.0**xi - 1) if abs(xi) > 1e-6 else q2 / math.log(2)
-                shape, scale = weight * xi, weight * min(beta, s.max_scale * u) + (1 - weight) * scale
+                shape, scale = weight * xi, weight * min(beta, MAX_SCALE * u) + (1 - weight) * scale
         excess = max(rate, 1e-3) / risk
         reach = scale / shape * (excess**shape - 1) if abs(shape) > 1e-6 else scale * math.log(excess)
-        new = u + max(reach, 3 * u)
+        new = u + reach
         if new >= cut * 0.999:
             break
         cut = new
