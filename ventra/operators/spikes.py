@@ -40,7 +40,7 @@ STUCK = 30  # equal readings that count as stuck
 THRESHOLD = 0.90  # quantile of the absolute residual over which the tail is fitted
 #: Bounds of the fitted tail, the scale as a share of its threshold (0.35 is that of a normal tail): in a short source
 #: half of the excesses may be spikes, and a tail fitted to those has no cut-off to speak of.
-MAX_SHAPE, MAX_SCALE = 0.1, 1.0
+MAX_SHAPE, MAX_SCALE = 0.1, 1.5
 RISK = 1e-8  # chance of a reading of the fitted tail to pass the cut-off
 SEASON, PHASES, SEASONS = 86_400.0, 24, 3  # length of the season in seconds, its parts, and how many a source must span to have one
 #: Residuals are counted in bins of 1/16 octave from 2^-14 on, by sign; bin 0 holds what is below.
