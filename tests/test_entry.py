@@ -31,6 +31,53 @@ def test_against_sql(spark, tables, name):
     assert plain(got.select(cols).collect()) == plain(want.select(*cols).fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+@pytest.mark.parametrize("name", ["photometry_peaks", "photometry_peak_bins", "batch_run", "segment_log", "pressure_per_bin", "spectrum_metrics", "p1_unified_events"])
+def test_queries_without_sql_run(spark, name):
+    got = entry.queries()[name](spark, DIR)
+    assert got.count() >= 0 and len(set(got.columns)) == len(got.columns)
+
+
+def test_frames_from_telemetry_text(spark):
+    from datetime import datetime
+
+    from ventra.sources import frames
+
+    head = ["# Col 2:,Pressure,x,x,Rate: 4", "# Col 3:,Temp,x,x,Rate: 1", "Time,Pressure,Temp"]
+    texts = {
+        1: [*head, "03/07/2023 01:00:00 a.m.,,", "03/07/2023 01:00:01 AM,1,36", "03/07/2023 01:00:01 AM,2,x", "03/07/2023 13:00:00 AM,3,37", "no time,4,37"],
+        2: [*head, "07/03/2023 11:59:59.5 PM,5,", "07/03/2023 11:59:59.5 PM,6,38", "07/03/2023 11:59:58.25 PM,7,", "07/03/2023 11:59:59 PM,8,39"],
+        3: ["# Col 2:,Pressure,x,x,Rate: 0", "x,1"],
+        4: ["# Col 2:,Apr,x,x,Rate", "time,a", "04/07/2023 01:00:00 AM.25,1000"],
+    }
+    lines = spark.createDataFrame([(f, i, t) for f, rows in texts.items() for i, t in enumerate(rows, 1)], "file_path long, line_no int, line string")
+    near = spark.createDataFrame([(1, datetime(2023, 7, 3)), (2, datetime(2023, 7, 3)), (4, None)], "file_path long, near timestamp").withColumn("near", __import__("pyspark").sql.functions.col("near").cast("timestamp_ntz"))
+    got = sorted((r.file_path, r.t_s, r.pressure, r.temp, r.n_lines) for r in frames.aligned_frame(lines, near, "first_valid").collect())
+    assert got == [(1, 0.0, 1.0, 36.0, 1), (1, 0.25, 2.0, None, 1), (2, 0.0, 7.0, None, 1), (2, 1.25, 5.0, 38.0, 2)]
+    got = {r.file_path: r.t_s for r in frames.aligned_frame(lines, near, "alignment").where("pressure in (1, 7)").collect()}
+    assert got == {1: 3601.0, 2: 86_398.25}
+    from ventra.sources.files import telemetry_rows
+
+    forms = {r.file_path: (r.form, r.is_day_first) for r in frames.timestamp_formats(telemetry_rows(lines), near).collect()}
+    assert forms == {1: ("none", True), 2: ("before", False), 3: ("none", False), 4: ("after", False)}
+    faults = {(r.file_path, r.fault) for r in frames.telemetry_faults(lines).collect()}
+    assert faults == {(3, "no header"), (3, "bad rate"), (4, "bad rate"), (4, "no pressure"), (4, "no usable signal")}
+    assert frames.aligned_frame(lines.limit(0), near).count() == frames.telemetry_faults(lines.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        frames.aligned_frame(lines, near, "now")
+
+
+def test_readings_are_filled_inside_stretches(spark):
+    from ventra.sources.frames import fill_inside
+
+    data = [("a", t, v) for t, v in ((0, None), (1, 1.0), (2, None), (5, None), (6, 7.0), (7, None), (30, 9.0), (31, float("nan")), (33, 12.0), (40, None))] + [(None, 1, 2.0), (None, 2, None), (None, 3, 4.0), ("b", None, 1.0)]
+    got = fill_inside(spark.createDataFrame(data, "k string, t long, v double"), ["k"], "t", "v", 6, block=3).collect()
+    assert sorted((str(r.k), r.t, r.v, r.was_filled) for r in got) == [
+        ("None", 1, 2.0, False), ("None", 2, 3.0, True), ("None", 3, 4.0, False),
+        ("a", 1, 1.0, False), ("a", 2, 3.0, True), ("a", 5, 5.0, True), ("a", 6, 7.0, False), ("a", 30, 9.0, False), ("a", 31, 10.5, True), ("a", 33, 12.0, False),
+    ]
+
+
 def test_telemetry_text_and_tables(spark, tmp_path):
     from ventra.sources import files, sinks
 

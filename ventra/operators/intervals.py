@@ -68,7 +68,7 @@ def merge_intervals(intervals: DataFrame, keys: list[str], start: str, end: str,
     Rows with a null start or end, or with the end before the start, are left out; null keys form
     one entity; repeated rows count each; columns not named are ignored; no rows give no rows.
 
-    The rows are range-sorted by entity and start, so an entity of any size spreads over
+    The rows are range-sorted by entity, start and end, so an entity of any size spreads over
     partitions.  One summary per partition (its last entity and that entity's largest end) is
     combined in order, and each partition is scanned again with what reaches it from before.  Only
     those summaries, one small row per partition, pass the driver.
@@ -77,7 +77,7 @@ def merge_intervals(intervals: DataFrame, keys: list[str], start: str, end: str,
     clean = intervals.select(*keys, F.col(start).cast("bigint").alias("__start"), F.col(end).cast("bigint").alias("__end"))
     clean = clean.where(F.col("__start") <= F.col("__end"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = clean.repartitionByRange(n, *keys, "__start").sortWithinPartitions(*keys, "__start", "__end")
+    ordered = clean.repartitionByRange(n, *keys, "__start", "__end").sortWithinPartitions(*keys, "__start", "__end")
     ordered = durable(ordered.withColumn("__part", F.spark_partition_id()))
 
     def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
