@@ -50,7 +50,7 @@ def p3_mapping(spark: SparkSession, d: str) -> DataFrame:
     wordings = durable(_wordings(spark, d, first))
     second = map_to_list(first.where("status = 'unmatched'"), _labels(spark, d).limit(0), wordings)
     mapped = first.where("status = 'matched'").unionByName(second)
-    return mapped.join(F.broadcast(_labels(spark, d).select(F.col("label").alias("value"))), "value", "left_anti")
+    return mapped.join(_labels(spark, d).select(F.col("label").alias("value")), "value", "left_anti")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
