@@ -275,6 +275,27 @@ def test_pieces_of_segments_give_what_the_whole_gives(spark):
         assert whole.keys() == cut.keys() and all(np.allclose(whole[k], cut[k], atol=1e-7, equal_nan=True) for k in whole)
 
 
+def test_batch_run_of_many_rows(spark):
+    from ventra.plans import pipelines
+
+    times = range(0, 120_000, 100)
+    rows = [("r", 1, t, i, float(4 * np.sin(2 * np.pi * t / 2000)), 36.0 + t / 60_000, 1.0, None) for i, t in enumerate(times)]
+    readings = df_of(spark, rows, "recording_id string, file_no int, ms long, line_no int, smoothedpressure double, temp double, activity double, atmpressure double")
+    events = df_of(spark, [(1, "r", 1, "sleep", 10_000, 110_000, 100.0), (2, "r", 1, "sleep", 100_000, 200_000, 100.0), (3, "r", 1, "eat", 0, 1000, 1.0)], "event_id long, recording_id string, file_no int, event string, start_at long, end_at long, duration double")
+    config = [(1, "r", 1, "sleep", "12:00:00", 20), (2, "r", 1, "sleep", "12:00:00", 50), (3, "r", 1, "eat", "12:00:00", 10), (4, "r", 1, "sleep", " ", 10), (5, "r", 1, "sleep", "x", 0), (6, "q", 1, "sleep", "x", 5), (7, "r", 1, None, "x", 5)]
+    config = df_of(spark, config, "config_id long, recording_id string, file_no int, behaviour string, video_time string, bin_size int")
+    known = df_of(spark, [("r", 1)], "recording_id string, file_no int")
+    got = pipelines.batch_run(config, known, readings, events, min_peaks=5)
+    out = {r.config_id: tuple(r)[1:] for r in got["batch"].collect()}
+    assert out == {
+        1: ("complete", 2, 1, 1, 4), 2: ("complete", 2, 1, 1, 1), 3: ("no_windows", 1, 0, 0, 0), 4: ("no_time", 0, 0, 0, 0),
+        5: ("bad_bin", 0, 0, 0, 0), 6: ("no_recording", 0, 0, 0, 0), 7: ("no_windows", 0, 0, 0, 0),
+    }
+    bins_ = [r for r in got["per_bin"].orderBy("window_id", "bin").collect() if r.window_id == "1-1"]
+    # 200 temperatures a bin, rising a degree a minute
+    assert all(r.t_total == 2000 and r.frequency == pytest.approx(0.5) and r.temp_mean == pytest.approx(36 + (r.bin_start + 9950) / 60_000) and r.activity_sem == 0 for r in bins_)
+
+
 def test_wall_clock_files_are_kept_in_time_since_start(spark, tmp_path):
     from datetime import datetime
 
