@@ -151,6 +151,33 @@ with cells as (
   select *, unnest(generate_series(cell_no + 1, next_no - 1)) n from pairs where next_no > cell_no + 1
 )"""
 
+_REJECTS = r"""
+with t as (
+  select file_id, file_kind, line_no, rtrim(line_text, chr(13) || chr(10)) x from raw_lines join raw_files using (file_id) where file_kind in ('event', 'config')
+), b as (
+  select file_id, file_kind, ltrim(x, chr(65279)) header, regexp_replace(ltrim(x, chr(65279)), '"[^"]*"', '', 'g') bare from t where line_no = 1
+), h as (
+  select file_id, file_kind, header, case when c >= s and c >= t then ',' when s >= t then ';' else chr(9) end d
+  from (select *, length(bare) - length(replace(bare, ',', '')) c, length(bare) - length(replace(bare, ';', '')) s, length(bare) - length(replace(bare, chr(9), '')) t from b)
+), n as (
+  select *, list_transform(regexp_extract_all(header || d, '([ ]*"(?:[^"]|"")*"[ ]*|[^"' || d || ']*)' || d, 1), lambda v: lower(trim(trim(v), '"'))) names from h
+), k as (
+  select *, list_position(list_transform(names, lambda v: contains(v, 'start')), true) a, list_position(list_transform(names, lambda v: contains(v, 'duration')), true) z, list_position(list_transform(names, lambda v: contains(v, 'bin_size')), true) q from n
+), f as (
+  select t.file_id, t.file_kind, line_no, a, z, q, len(names) width, regexp_full_match(x, '(?:\s*"(?:[^"]|"")*"\s*|[^"' || d || ']*)(?:' || d || '(?:\s*"(?:[^"]|"")*"\s*|[^"' || d || ']*))*') whole,
+    list_transform(regexp_extract_all(x || d, '([ ]*"(?:[^"]|"")*"[ ]*|[^"' || d || ']*)' || d, 1), lambda v: trim(replace(regexp_replace(trim(v), '^"(.*)"$', '\1'), '""', '"'))) p
+  from t join k using (file_id) where line_no > 1 and trim(x, ' ' || chr(9) || chr(13) || chr(10)) <> ''
+), v as (
+  select *, case when file_kind = 'event' then coalesce(p[a], '') end start, case when file_kind = 'event' then coalesce(p[z], '') end duration, case when q is not null then p[q] end bin from f
+), r as (
+  select file_id, line_no, case when not whole then 'quoting' when len(p) <> width then 'columns'
+    when file_kind = 'config' then case when q is not null and not (regexp_full_match(bin, '[0-9]+') and try_cast(bin as hugeint) between 1 and 2147483647) then 'value' end
+    when not (start in ('', 'NA', 'n/a') or regexp_full_match(start, '[+-]?(\d+([.,]\d*)?|[.,]\d+)(\s+s)?') or regexp_full_match(start, '-?(\d{1,2}:[0-5]\d|[0-5]?\d):[0-5]\d([.,]\d+)?')) then 'value'
+    when not (duration in ('', 'NA', 'n/a') or regexp_full_match(duration, '[+-]?(\d+([.,]\d*)?|[.,]\d+)(\s+s)?') or regexp_full_match(duration, '-?(\d{1,2}:[0-5]\d|[0-5]?\d):[0-5]\d([.,]\d+)?')) then 'value'
+    when duration like '-%' and regexp_matches(duration, '[1-9]') then 'value' end reason
+  from v
+) select file_id, line_no, reason from r where reason is not null"""
+
 _SERIES = """, series as (
   select recording_id, file_no, signal_name, cell_no, v as "value", 'observed' status from cells
   union all
@@ -171,6 +198,7 @@ ORACLE = {
 select recording_id, file_no, signal_name, cell_no, round("value", 6) as "value", status from series
 union all select recording_id, file_no, signal_name, unnest(generate_series(f, coalesce(lo - 1, l))), null, 'edge' from e
 union all select recording_id, file_no, signal_name, unnest(generate_series(hi + 1, l)), null, 'edge' from e""",
+    "p4_found": _REJECTS,
     "p5_found": _GRID + " select recording_id, file_no, signal_name, n as cell_no from missing",
     "p7_found": _BOUTS
     + """
