@@ -37,9 +37,10 @@ def label_code(label: str | None) -> str | None:
     return _BY_NAME.get(text) or _BY_NAME.get(first) or first
 
 
-TIME_LINE = re.compile(r"^[^\n\d-]*-?\d+:\d{1,2}:\d{1,2}[,.]\d+[ \t]*-->.*$", re.M)
-_MARKUP = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}|\S*(?:www\.|://)\S*|\S+\.(?:com|org|net|invalid|example)\S*")
-_MARKED = re.compile(r"[<{]|www\.|://|\.(?:com|org|net|invalid|example)")  # what any markup has
+TIME_LINE = re.compile(r"[^\n\d-]*-?\d+:\d{1,2}:\d{1,2}[,.]\d+[ \t]*-->")
+_TAG = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}")
+_SITES = ("://", "www.", ".com", ".org", ".net", ".invalid", ".example")
+_LINK = re.compile(r"\S*(?:www\.|://)\S*|\S+\.(?:com|org|net|invalid|example)\S*")
 _WORD = re.compile(r"[^\W\d_]+")
 _BROKEN = re.compile("[ÂÃÐÑ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ�]|[À-ÿ]{4}")
 #: Letters that are frequent in Russian, to tell which reading of the bytes is right.
@@ -48,8 +49,16 @@ _RUSSIAN = set("оеаинтсрвлкмдпуыья ")
 
 def cues_of(text: str) -> list[str]:
     """Texts of the cues, each from its time line to the next; a text without time lines is one cue."""
-    parts = TIME_LINE.split(text)
-    return parts[1:] if len(parts) > 1 else parts
+    ends, starts = [], []
+    at = text.find("-->")
+    while at >= 0:
+        line, end = text.rfind("\n", 0, at) + 1, text.find("\n", at)
+        end = len(text) if end < 0 else end
+        if TIME_LINE.match(text, line, end):
+            starts.append(line)
+            ends.append(end)
+        at = text.find("-->", end)
+    return [text[a:b] for a, b in zip(ends, [*starts[1:], len(text)])] if ends else [text]
 
 
 def repaired(text: str) -> str:
@@ -75,18 +84,21 @@ def repaired(text: str) -> str:
     return text
 
 
+def _without_markup(text: str) -> str:
+    if "<" in text or "{" in text:
+        text = _TAG.sub(" ", text)
+    return _LINK.sub(" ", text) if any(s in text for s in _SITES) else text
+
+
 def words_of(cue: str) -> list[str]:
-    return _WORD.findall(_MARKUP.sub(" ", cue.lower()))
+    return _WORD.findall(_without_markup(cue.lower()))
 
 
 def cue_words(text: str) -> list[list[str]]:
     """Words of each cue.  Markup never reaches over a line break, so the text is cleaned before it is cut."""
-    if _BROKEN.search(text):
+    if not text.isascii() and _BROKEN.search(text):
         return [words_of(repaired(c)) for c in cues_of(text)]
-    plain = text.lower()
-    if _MARKED.search(plain):
-        plain = _MARKUP.sub(" ", plain)
-    return [_WORD.findall(c) for c in cues_of(plain)]
+    return [_WORD.findall(c) for c in cues_of(_without_markup(text.lower()))]
 
 
 class Model:
