@@ -116,8 +116,8 @@ def test_periods_do_not_hang_on_blocks(spark):
             runs[-1].append(t)
         want += [(key, i, r[0], r[-1], len(r)) for i, r in enumerate([r for r in runs if len(r) >= 4])]
     d = df_of(spark, [*data, ("c", None, 0), ("d", 5, 0)], "k string, ms long, period_no int")
-    for block in (7, 100, 10_000):
-        got = [tuple(r) for r in breaths.valid_periods(d, ["k"], "ms", 4, 10, 2.0, block).collect()]
+    for size in (40, 4096):
+        got = [tuple(r) for r in breaths.valid_periods(d, ["k"], "ms", 4, 10, 2.0, 100, size).collect()]
         assert sorted(map(str, got)) == sorted(map(str, want))
     assert breaths.valid_periods(d.limit(0), ["k"], "ms").count() == 0
 

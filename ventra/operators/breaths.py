@@ -87,7 +87,7 @@ def cycle_summary(breaths: DataFrame, levels: list[list[str]]) -> DataFrame:
 
 
 def valid_periods(
-    peaks: DataFrame, keys: list[str], time: str, min_peaks: int = 50, interval_window: int = 10, break_multiplier: float = 2.0, block: int = 3_600_000
+    peaks: DataFrame, keys: list[str], time: str, min_peaks: int = 50, interval_window: int = 10, break_multiplier: float = 2.0, block: int = 3_600_000, size: int = 4096
 ) -> DataFrame:
     """``keys, period_no, start_at, end_at, n_peaks`` of runs of regular peaks.
 
@@ -96,15 +96,15 @@ def valid_periods(
     ``min_peaks`` are left out.
 
     What a peak hangs on is at most that many intervals before it, so a source is scanned in blocks of
-    ``block`` on the time axis, all at once: first as if each block began after a break, then once more those
-    that the block before leaves other intervals to, until none changes.  As a block soon forgets what came
-    before it, two or three rounds do, and the last ones are small.  Runs over a cut are put together by
-    one row per block.  Null times are left out; null keys are one source; peaks at one time count each.
+    ``size`` peaks, all at once: first as if each block began after a break, then once more those
+    that the block before leaves other intervals to, until none changes.  As a block of many more peaks than
+    ``interval_window`` soon forgets what came before it, two or three rounds do, and the last ones are small.
+    Runs over a cut are put together by one row per block; ``block`` is the width in time for ranking peaks.  Null times are left out; null keys are one source; peaks at one time count each.
     """
     kinds = dict(peaks.dtypes)
     at = [*keys, "__b"]
-    rows = peaks.where(F.col(time).isNotNull()).select(*keys, F.col(time).cast("bigint").alias("__t"), F.floor(F.col(time) / block).alias("__b"))
-    rows = durable(rows)
+    rows = with_rank(peaks.where(F.col(time).isNotNull()).select(*keys, F.col(time).cast("bigint").alias("__t")), keys, "__t", [], block, "__place")
+    rows = durable(rows.select(*keys, "__t", F.floor((F.col("__place") - 1) / size).alias("__b")))
     order = Window.partitionBy(*keys).orderBy("__b")
     last = rows.groupBy(*at).agg(F.max("__t").alias("__t"))
     entries = durable(last.select(*at, F.lag("__t").over(order).alias("__before"), F.array().cast("array<bigint>").alias("__recent")))
